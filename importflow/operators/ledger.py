@@ -44,7 +44,7 @@ def insert_if_absent(
 # --- storage -------------------------------------------------------------------------
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
@@ -54,7 +54,7 @@ def _batch_folder(root: str, kind: str, batch_id: int) -> str:
 
 
 def committed_batches(spark: SparkSession, root: str) -> list[int]:
-    fs, pattern = _file_system(spark, f"{root}/progress/*/_SUCCESS")
+    fs, pattern = file_system(spark, f"{root}/progress/*/_SUCCESS")
     found = fs.globStatus(pattern) or []
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
 
@@ -96,7 +96,7 @@ def batch_counts(rows: DataFrame) -> DataFrame:
 
 def commit_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int) -> None:
     """Write one batch; running it again for the same batch leaves the same ledger."""
-    fs, marker = _file_system(spark, _batch_folder(root, "progress", batch_id))
+    fs, marker = file_system(spark, _batch_folder(root, "progress", batch_id))
     fs.delete(marker, True)
     columns = [f.name for f in LEDGER.fields if f.name != "batch_id"]
     target = _batch_folder(root, "rows", batch_id)

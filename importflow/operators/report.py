@@ -49,7 +49,8 @@ def report_lines(errors: DataFrame, part_rows: int = REPORT_ROWS) -> DataFrame:
 def write_reports(errors: DataFrame, path: str, part_rows: int = REPORT_ROWS) -> None:
     """Write ``job_id=<id>/part=<n>/`` with one file each, in row order.
 
-    The files of a job, put together by part number, are its report.
+    The files of a job, put together by part number, are its report.  Reports of other jobs
+    below ``path`` stay as they are.
     """
     (
         report_lines(errors, part_rows)
@@ -57,5 +58,5 @@ def write_reports(errors: DataFrame, path: str, part_rows: int = REPORT_ROWS) ->
         .sortWithinPartitions("job_id", "part", "source_row_number")
         .select("job_id", "part", "line")
         .write.mode("overwrite").partitionBy("job_id", "part")
-        .option("lineSep", LINE_END).text(path)
+        .option("partitionOverwriteMode", "dynamic").option("lineSep", LINE_END).text(path)
     )
