@@ -54,12 +54,13 @@ def csv_line(columns: list[str]) -> Column:
 
 
 def upload_lines(
-    spark: SparkSession, lines: DataFrame, header: Column = F.lit(",".join(CONTACT_FIELDS))
+    spark: SparkSession, lines: DataFrame, header: Column | None = None
 ) -> str:
     """Write ``job_id, source_row_number, line`` rows as one CSV file per job; returns the folder.
 
-    ``header`` is an expression over ``job_id``; a file holds at most FILE_ROWS rows.
+    ``header`` is an expression over a file's first row; a file holds at most FILE_ROWS rows.
     """
+    header = F.lit(",".join(CONTACT_FIELDS)) if header is None else header
     headers = lines.where("source_row_number = 1").select(
         "job_id", F.lit(0).cast("bigint").alias("source_row_number"), header.alias("line")
     )
@@ -106,6 +107,10 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transition_log(spark: SparkSession, folder: str) -> DataFrame:
+    return log_of(table(spark, folder, "events"))
+
+
+def log_of(events: DataFrame) -> DataFrame:
     """A job per user and day; event types stand for transitions."""
     kind = F.col("event_type")
     event = (
@@ -113,7 +118,7 @@ def transition_log(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "view", "FLUSH").when(kind == "purchase", "COMPLETE").otherwise("FAIL")
     )
     number = F.col("event_id")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"),
                  F.col("ts").cast("date").cast("string")).alias("job_id"),
         "ts", "event_id", event.alias("event"),

@@ -40,27 +40,31 @@ def validate_files(
     rows = validate(pick_fields(found.rows)).where(F.col("source_row_number") > F.col("cursor"))
     files = found.files
     # Only a file with a line longer than the shortest limit can hold an over-long value.
-    if files.where("suspect").take(1):
+    if found.any_suspect:
         over = rows.where(F.col("suspect") & too_long(rows)).groupBy("file_path").agg(
             F.min("source_row_number").alias("long_row")
         )
-        files = files.join(over, "file_path", "left")
         first = F.least("failed_row", "long_row")
-        files = files.withColumn(
-            "failed_why",
-            F.when(F.col("long_row") == first, "value too long").otherwise(F.col("failed_why")),
-        ).withColumn("failed_row", first).drop("long_row")
-    files = freeze(files)
-    stopped = files.where("failed_row is not null").select(
-        "file_path", (F.floor((F.col("failed_row") - 1) / COMMIT_ROWS) * COMMIT_ROWS).alias("kept_to")
-    )
-    if stopped.take(1):
+        files = freeze(
+            files.join(over, "file_path", "left").withColumn("first", first)
+            .withColumn("failed_why", F.when(F.col("long_row") == F.col("first"), "value too long")
+                        .otherwise(F.col("failed_why")))
+            .withColumn("failed_row", F.col("first")).drop("long_row", "first")
+        )
+    told = files.agg(
+        F.count(F.lit(1)).alias("files"), F.count_distinct("job_id").alias("jobs"),
+        F.count("failed_row").alias("failed"),
+    ).first()
+    if told["files"] != told["jobs"]:
+        raise ValueError("a job has more than one source file, or a file has no job")
+    if told["failed"]:
+        stopped = files.where("failed_row is not null").select(
+            "file_path",
+            (F.floor((F.col("failed_row") - 1) / COMMIT_ROWS) * COMMIT_ROWS).alias("kept_to"),
+        )
         rows = rows.join(checked_broadcast(stopped), "file_path", "left").where(
             F.col("kept_to").isNull() | (F.col("source_row_number") <= F.col("kept_to"))
         )
-    shared = files.groupBy("job_id").count().where("count > 1").take(1)
-    if shared:
-        raise ValueError(f"job {shared[0]['job_id']} has more than one source file")
     return rows, files
 
 

@@ -21,7 +21,8 @@ from importflow.session import freeze
 
 PRUNE_FILES = 1_000                  # up to here a file list goes into the scan itself
 RECORD_BYTES = 256 * 1024 * 1024     # a longer record cannot be held and fails its file
-_LONG_LINE = min(RECORD_LENGTHS[f] for f in CONTACT_FIELDS)
+# A valid phone is far below its limit, so only the other fields can be too long.
+_LONG_LINE = min(RECORD_LENGTHS[f] for f in CONTACT_FIELDS if f != "phone")
 
 # One field: quoted (blanks may follow the closing quote), or bare text up to the comma.
 # All loops are possessive, so matching needs no backtracking and no stack.
@@ -34,15 +35,19 @@ _OPENS = rf'\A(?:{_FIELD},)*+"{_INSIDE}\z'                        # begins outsi
 _STAYS = rf"\A{_INSIDE}\z"                                        # begins and ends inside
 _CLOSES = rf'\A{_INSIDE}"{_BLANK}(?=,|\z){_MORE}\z'               # begins inside, ends outside
 _REOPENS = rf'\A{_INSIDE}"{_BLANK},(?:{_FIELD},)*+"{_INSIDE}\z'   # inside, out, and inside again
-_TOKEN = rf"(?:\A|,)({_FIELD})"
+_TOKEN = rf",({_FIELD})"      # for a record with a comma put before it
 
 
 @dataclass
 class ContactFiles:
-    """``rows``: one row per data record; ``files``: one row per file that has a header."""
+    """``rows``: one row per data record; ``files``: one row per file that has a header.
+
+    ``any_suspect`` says whether some file has lines long enough for over-long values.
+    """
 
     rows: DataFrame
     files: DataFrame
+    any_suspect: bool
 
 
 def scan_lines(spark: SparkSession, paths, line_sep: str = "\n") -> DataFrame:
@@ -84,7 +89,7 @@ def tokens(record: Column | str) -> Column:
     """Field values of one well-formed record."""
     record = F.col(record) if isinstance(record, str) else record
     unquoted = F.transform(
-        F.regexp_extract_all(record, F.lit(_TOKEN), F.lit(1)),
+        F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_TOKEN), F.lit(1)),
         lambda t: F.when(
             F.startswith(t, F.lit('"')),
             F.replace(F.regexp_extract(t, rf'(?s)\A"(.*)"{_BLANK}\z', 1), F.lit('""'), F.lit('"')),
@@ -340,6 +345,7 @@ def read_contact_files(
     )
     describe = describe or (lambda df: df)
     files = freeze(describe(files))
+    seen = files.agg(F.max("odd").alias("odd"), F.max("suspect").alias("suspect")).first()
 
     plain = _with_header(files.where(~F.col("odd")).drop("odd")).withColumns(
         {"failed_row": F.lit(None).cast("bigint"), "failed_why": F.lit(None).cast("string")}
@@ -354,8 +360,8 @@ def read_contact_files(
     keep = [*own, *at, "source_row_number", "record"]
     rows = rows.select(*keep)
 
-    odd = files.where("odd").select("file_path")
-    if odd.take(1):
+    if seen["odd"]:
+        odd = files.where("odd").select("file_path")
         if has_at_most(odd, PRUNE_FILES):
             wanted = [r["file_path"] for r in odd.collect()]
             odd_lines = lines.where(F.col("file_path").isin(wanted))
@@ -379,4 +385,4 @@ def read_contact_files(
         F.coalesce("header_error", "failed_why").alias("failed_why"),
     )
     data = rows.where(F.col("source_row_number") >= 1).withColumn("tokens", tokens("record"))
-    return ContactFiles(data.drop("record"), described)
+    return ContactFiles(data.drop("record"), described, bool(seen["suspect"]))

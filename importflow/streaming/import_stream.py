@@ -79,8 +79,11 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
     ledger = home.folder("ledger")
     if there:
         def assign(files: DataFrame) -> DataFrame:
-            key = F.array_join(F.slice(F.split("file_path", "/"), -3, 3), "/")
-            return files.withColumn("source_object_key", key).join(
+            # The object is the file, or the folder that holds its one file.
+            below = F.substring_index("file_path", "/uploads/", -1)
+            folder = F.regexp_replace(below, "/[^/]*$", "")
+            named = files.withColumn("source_object_key", F.explode(F.array(below, folder)))
+            return named.join(
                 F.broadcast(keyed), "source_object_key"    # bounded as said above
             ).drop("source_object_key")
 
