@@ -13,6 +13,7 @@ import pickle
 from collections.abc import Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -116,32 +117,36 @@ def number_rows(
 
 
 class Fold(Protocol):
-    """A sequential calculation over the rows of one key."""
+    """A sequential calculation over one column of the rows of one key."""
 
-    schema: T.StructType
+    reads: str                  # the column it reads
+    gives: list[str]            # the columns it adds, one tuple per row
 
     def start(self) -> Any: ...
-    def rows(self, state: Any, part: pd.DataFrame) -> tuple[Any, pd.DataFrame]: ...
+    def rows(self, state: Any, values: list) -> tuple[Any, list[tuple]]: ...
     def unknown(self) -> Any: ...
-    def extend(self, summary: Any, part: pd.DataFrame) -> Any: ...
+    def extend(self, summary: Any, values: list) -> Any: ...
     def resolve(self, summary: Any, state: Any) -> Any: ...
 
 
-def _runs(part: pd.DataFrame, key: str) -> Iterator[tuple[Any, pd.DataFrame]]:
-    """Consecutive rows of one key; ``part`` is sorted by key."""
-    change = part[key].ne(part[key].shift())
-    for _, run in part.groupby(change.cumsum(), sort=False):
-        yield run[key].iloc[0], run
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive equal keys."""
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])
 
 
 def fold_in_order(
-    df: DataFrame, key: str, order: list[str], fold: Fold, limit: int | None = None
+    df: DataFrame, key: str, order: list[str], fold: Fold, schema: T.StructType,
+    limit: int | None = None,
 ) -> DataFrame:
     """Apply ``fold`` to the rows of each key in order; keys must not be NULL.
 
+    The result has the columns of ``schema``: some of ``df`` and those the fold gives.
+
     A key that spans several segments is not folded by one task: each inner segment is
     summarised as a function of its unknown start state, the few summaries (one per
     segment at most) are chained, and every segment is then folded from its true start.
+    Rows pass through in batches, so the memory of a task does not grow with its keys.
     """
     columns = [F.col(o) for o in order]
     carry: dict[int, Any] = {}
@@ -155,19 +160,22 @@ def fold_in_order(
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, first = None, None, True
         for part in batches:
-            out = []
-            for value, run in _runs(part, key) if len(part) else ():
-                if first or value != current:
+            if not len(part):
+                continue
+            keys, values = part[key].to_numpy(), part[fold.reads].tolist()
+            results: list[tuple] = []
+            for begin, end in _runs(keys):
+                if first or keys[begin] != current:
                     state = fold.start()
                     if first:
-                        state = carry.get(int(run[SEGMENT].iloc[0]), state)
-                    current, first = value, False
-                state, result = fold.rows(state, run)
-                out.append(result)
-            if out:
-                yield pd.concat(out)[fold.schema.names]
+                        state = carry.get(int(part[SEGMENT].iloc[0]), state)
+                    current, first = keys[begin], False
+                state, given = fold.rows(state, values[begin:end])
+                results += given
+            out = part.assign(**dict(zip(fold.gives, map(list, zip(*results)))))
+            yield out[schema.names]
 
-    return laid.mapInPandas(apply, fold.schema)
+    return laid.mapInPandas(apply, schema)
 
 
 def _start_states(laid: DataFrame, key: str, fold: Fold) -> dict[int, Any]:
@@ -200,9 +208,9 @@ def _start_states(laid: DataFrame, key: str, fold: Fold) -> dict[int, Any]:
                 segment, inner = int(part[SEGMENT].iloc[0]), bool(part["__inner"].iloc[0])
                 state = fold.unknown() if inner else fold.start()
             if inner:
-                state = fold.extend(state, part)
+                state = fold.extend(state, part[fold.reads].tolist())
             else:
-                state, _ = fold.rows(state, part)
+                state, _ = fold.rows(state, part[fold.reads].tolist())
         if segment is not None:
             yield pd.DataFrame({"segment": [segment], "state": [pickle.dumps(state)]})
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from importflow.operators.ordered import Timeline, fold_in_order
@@ -66,34 +65,28 @@ def _apply_event(pieces: list[tuple], now: int, slack: int, cost: int) -> list[t
 class BucketFold:
     """A bucket run over the events of one key, in segments if need be."""
 
-    def __init__(self, bucket: Bucket, key: str, key_type: T.DataType):
-        self.bucket, self.key = bucket, key
-        self.schema = T.StructType([
-            T.StructField(key, key_type), T.StructField("event_id", T.LongType()),
-            T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType()),
-            T.StructField("retry_after", T.LongType()),
-        ])
+    reads = "ts_us"
+    gives = ["allowed", "remaining", "retry_after"]
+
+    def __init__(self, bucket: Bucket):
+        self.bucket = bucket
 
     def start(self):
         return None
 
-    def rows(self, state, part: pd.DataFrame):
+    def rows(self, state, values: list[int]):
         results = []
-        for ts_us in part["ts_us"].tolist():
-            state, allowed, remaining, wait = self.bucket.step(state, ts_us)
-            results.append((allowed, remaining, wait))
-        out = part[[self.key, "event_id"]].copy()
-        out["allowed"] = [r[0] for r in results]
-        out["remaining"] = [r[1] for r in results]
-        out["retry_after"] = [r[2] for r in results]
-        return state, out
+        for ts_us in values:
+            state, *decision = self.bucket.step(state, ts_us)
+            results.append(decision)
+        return state, results
 
     def unknown(self):
         return [(-(1 << 62), True, 0)]
 
-    def extend(self, summary, part: pd.DataFrame):
+    def extend(self, summary, values: list[int]):
         slack = (self.bucket.capacity - 1) * self.bucket.period_us
-        for ts_us in part["ts_us"].tolist():
+        for ts_us in values:
             summary = _apply_event(
                 summary, ts_us * self.bucket.refill, slack, self.bucket.period_us
             )
@@ -117,8 +110,18 @@ def token_bucket(
     slim = events.where(F.col(key).isNotNull()).select(
         key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
     )
-    fold = BucketFold(Bucket(capacity, refill, period_us), key, slim.schema[key].dataType)
-    return fold_in_order(slim, key, ["ts_us", "event_id"], fold, limit)
+    fold = BucketFold(Bucket(capacity, refill, period_us))
+    return fold_in_order(
+        slim, key, ["ts_us", "event_id"], fold, decision_schema(slim.schema[key]), limit
+    )
+
+
+def decision_schema(key: T.StructField) -> T.StructType:
+    return T.StructType([
+        T.StructField(key.name, key.dataType), T.StructField("event_id", T.LongType()),
+        T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType()),
+        T.StructField("retry_after", T.LongType()),
+    ])
 
 
 CHUNK_ROWS = 1_000_000

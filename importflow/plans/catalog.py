@@ -18,7 +18,7 @@ from importflow.plans.importer import import_files
 from importflow.schemas import CONTACT_FIELDS, JOB_DEFAULTS, JOBS
 from importflow.session import freeze, scratch_path
 from importflow.sources.csv_files import read_contact_files
-from importflow.sources.messages import publish
+from importflow.sources.messages import publish, table_stream
 from importflow.sources.tables import write_table
 from importflow.sources.uploads import list_uploads
 
@@ -182,11 +182,14 @@ FROM run WHERE seq > 0"""
 
 def _contact_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """One job per contact file."""
-    made = derive.contacts(spark, folder).select("job_id", "c_nationkey").distinct()
+    sizes = table(spark, folder, "customer").groupBy("c_nationkey").count()
+    last = F.floor((F.col("count") - 1) / derive.FILE_ROWS)
+    made = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     org = F.col("c_nationkey").cast("string")
+    job = F.concat(org, F.lit("-"), F.col("part").cast("string"))
     return made.select(
-        F.col("job_id").alias("id"), org.alias("org_id"),
-        source_key(org, F.col("job_id")).alias("source_object_key"), "c_nationkey",
+        job.alias("id"), org.alias("org_id"), source_key(org, job).alias("source_object_key"),
+        "c_nationkey",
     )
 
 
@@ -871,18 +874,12 @@ def _run_stream(stream: DataFrame, name: str) -> str:
     return f"{out}/rows"
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        spark.readStream.schema(table(spark, folder, "events").schema)
-        .option("pathGlobFilter", "events.parquet").parquet(folder)
-    )
-
-
 @query(BUCKET_SQL)
 def stream_token_bucket(spark: SparkSession, folder: str) -> DataFrame:
     from importflow.streaming.stateful import stream_token_bucket as decide
 
-    rows = _run_stream(decide(_event_stream(spark, folder), "event_type", **BUCKET), "bucket")
+    events = table_stream(spark, folder, "events.parquet", table(spark, folder, "events").schema)
+    rows = _run_stream(decide(events, "event_type", **BUCKET), "bucket")
     return spark.read.parquet(rows).drop("batch")
 
 
@@ -890,9 +887,8 @@ def stream_token_bucket(spark: SparkSession, folder: str) -> DataFrame:
 def stream_job_state(spark: SparkSession, folder: str) -> DataFrame:
     from importflow.streaming.stateful import JOB_ROW, stream_job_states
 
-    rows = _run_stream(
-        stream_job_states(derive.log_of(_event_stream(spark, folder))), "states"
-    )
+    events = table_stream(spark, folder, "events.parquet", table(spark, folder, "events").schema)
+    rows = _run_stream(stream_job_states(derive.log_of(events)), "states")
     latest = spark.read.parquet(rows).groupBy("job_id").agg(
         F.max(F.struct("batch", *[c for c in JOB_ROW.names if c != "job_id"])).alias("s")
     )

@@ -227,64 +227,73 @@ def _with_flips_to(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def _multi_line(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, headers, failures) of files with quoted line ends.
 
-    Blocks bound every window here: a block is one split of one file.
+    A block is one split of one file, and no window here is larger.  What depends on the
+    state at the start of the block is worked out for both states in the same pass; the
+    table of blocks then says which of the two is true.
     """
     block = ["file_path", "block_start"]
+    outside, inside = F.lit(0), F.lit(1)
+    upto = Window.partitionBy(*block).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+
+    def after(state: Column) -> Column:
+        return F.pmod(F.coalesce(F.col("sets"), state + F.col("flips")), F.lit(2)).cast("int")
+
+    def starts(state: str) -> Column:
+        return ((F.col(state) == 0) & (F.col("line") != "")).cast("int")
+
     coded = _classify(lines.withColumn("place", F.monotonically_increasing_id()))
     coded = _with_flips_to(coded, block, "place")
-    outside, inside = F.lit(0), F.lit(1)
     coded = coded.withColumns({
         "if_out": _state_before(block, "place", outside),
         "if_in": _state_before(block, "place", inside),
     })
-    coded = freeze(coded)
-
-    def after(state: Column) -> Column:
-        return F.pmod(F.coalesce(F.col("sets"), state + F.col("flips")), F.lit(2)).cast("int")
+    coded = coded.withColumns({
+        "nth_out": F.sum(starts("if_out")).over(upto), "nth_in": F.sum(starts("if_in")).over(upto),
+    })
+    coded = freeze(coded.drop("flips_to"))
 
     # A block as a whole acts on the state just as a line does.
-    ends = coded.groupBy(*block).agg(
-        F.max_by(F.struct(after(F.col("if_out")).alias("o"), after(F.col("if_in")).alias("i")),
-                 "place").alias("end")
-    ).select(
-        *block,
+    last = F.max_by(
+        F.struct(after(F.col("if_out")).alias("o"), after(F.col("if_in")).alias("i"),
+                 "nth_out", "nth_in"), "place",
+    )
+    blocks = coded.groupBy(*block).agg(last.alias("end")).select(
+        *block, "end.nth_out", "end.nth_in",
         F.when(F.col("end.o") == F.col("end.i"), F.col("end.o")).alias("sets"),
         ((F.col("end.o") == 1) & (F.col("end.i") == 0)).cast("int").alias("flips"),
     )
-    ends = _with_flips_to(ends, ["file_path"], "block_start").withColumn(
+    blocks = _with_flips_to(blocks, ["file_path"], "block_start").withColumn(
         "state_in", _state_before(["file_path"], "block_start", outside)
-    ).withColumn("state_out", after(F.col("state_in")))
-    ends = freeze(ends)
-
-    known = coded.join(checked_broadcast(ends.select(*block, "state_in")), block).withColumn(
-        "state", F.when(F.col("state_in") == 1, F.col("if_in")).otherwise(F.col("if_out"))
     )
-    known = known.where((F.col("state") == 1) | (F.col("line") != "")).withColumns({
-        "starts": (1 - F.col("state")),
-        "ends_in": after(F.col("state")),
-        "bad": F.when(F.col("state") == 1, F.col("from_in")).otherwise(F.col("from_out")).isNull(),
+    blocks = blocks.withColumns({
+        "state_out": after(F.col("state_in")),
+        "lines": F.when(F.col("state_in") == 1, F.col("nth_in")).otherwise(F.col("nth_out")),
     })
-    counts = known.groupBy(*block).agg(F.sum("starts").alias("lines"))
-    offsets = freeze(counts.withColumn("row_start", _starts_per_file(counts, "lines")))
-    upto = Window.partitionBy(*block).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = known.withColumn("nth", F.sum("starts").over(upto)).join(
-        checked_broadcast(offsets.select(*block, "row_start")), block
-    ).select(
-        *block, "place", "line", "eol", "bad", "starts", "ends_in",
+    blocks = freeze(blocks.withColumn("row_start", _starts_per_file(blocks, "lines")))
+
+    began_in = F.col("state_in") == 1
+    known = coded.join(
+        checked_broadcast(blocks.select(*block, "state_in", "row_start")), block
+    ).withColumns({
+        "state": F.when(began_in, F.col("if_in")).otherwise(F.col("if_out")),
+        "nth": F.when(began_in, F.col("nth_in")).otherwise(F.col("nth_out")),
+    }).where((F.col("state") == 1) | (F.col("line") != ""))
+    from_here = F.when(F.col("state") == 1, F.col("from_in")).otherwise(F.col("from_out"))
+    numbered = known.select(
+        *block, "place", "line", "eol", from_here.isNull().alias("bad"),
         (F.col("row_start") + F.col("nth") - 1).alias("source_row_number"),
-        ((F.col("starts") == 0) | (F.col("ends_in") == 1)).alias("several"),
+        ((F.col("state") == 1) | (after(F.col("state")) == 1)).alias("several"),
     )
 
     record = ["file_path", "source_row_number"]
     broken = numbered.where("bad").select(
         *record, F.lit("invalid character between encapsulated token and delimiter").alias("why")
     )
-    last_rows = offsets.groupBy("file_path").agg(
-        (F.sum("lines") - 1).alias("source_row_number")
-    )
     unclosed = (
-        ends.groupBy("file_path").agg(F.max_by("state_out", "block_start").alias("open"))
-        .where("open = 1").join(last_rows, "file_path")
+        blocks.groupBy("file_path").agg(
+            F.max_by("state_out", "block_start").alias("open"),
+            (F.sum("lines") - 1).alias("source_row_number"),
+        ).where("open = 1")
         .select(*record, F.lit("EOF reached before encapsulated token finished").alias("why"))
     )
     oversize = (

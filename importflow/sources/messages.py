@@ -1,8 +1,8 @@
-"""Job messages: JSON objects naming a job, delivered at least once."""
+"""Streams: job messages (JSON objects naming a job, delivered at least once) and tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from importflow.schemas import JOB_MESSAGE
 
@@ -27,3 +27,13 @@ def message_topic(spark: SparkSession, servers: str, topic: str, offsets_per_bat
 def publish(jobs: DataFrame, folder: str) -> None:
     """Append messages for ``jobs`` (``jobId``) to a message folder."""
     jobs.select("jobId").write.mode("append").json(folder)
+
+
+def table_stream(
+    spark: SparkSession, folder: str, pattern: str, schema: T.StructType, bytes_per_batch: int = 1 << 30
+) -> DataFrame:
+    """Stream of the Parquet files in ``folder``; a batch takes a bounded number of bytes."""
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+        .option("maxBytesPerTrigger", bytes_per_batch).parquet(folder)
+    )

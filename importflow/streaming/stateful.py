@@ -1,8 +1,10 @@
 """Streaming job states and token buckets, one small state per key.
 
-Within a micro-batch the rows of a key are taken in (time, event id) order.  There is no
-watermark: state is kept for as long as its key may come back.  The state store must be the
-RocksDB one (``importflow.session.STATE_STORE``).
+Within a micro-batch the rows of a key are taken in (time, event id) order, so a task holds
+the key's rows of one micro-batch; the source must bound the micro-batch (``table_stream``
+does).  There is no watermark: state is kept for as long as its key may come back.  The state
+store must be the RocksDB one (``importflow.session.STATE_STORE``).  To work through a large
+table, use the batch operators, which cut up large keys.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from importflow.operators.throttle import Bucket
+from importflow.operators.throttle import Bucket, decision_schema
 
 _JOB_STATE = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("version", T.LongType()),
@@ -110,12 +112,7 @@ def stream_token_bucket(
     slim = events.where(F.col(key).isNotNull()).select(
         key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
     )
-    shape = T.StructType([
-        slim.schema[key], T.StructField("event_id", T.LongType()),
-        T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType()),
-        T.StructField("retry_after", T.LongType()),
-    ])
     return slim.groupBy(key).transformWithStateInPandas(
-        BucketProcessor(Bucket(capacity, refill, period_us), key), shape,
+        BucketProcessor(Bucket(capacity, refill, period_us), key), decision_schema(slim.schema[key]),
         outputMode="update", timeMode="none",
     )
