@@ -33,12 +33,13 @@ class Bucket:
         return full, True, self.capacity - -(-(full - now) // self.period_us), 0
 
 
-def _apply_event(pieces: list[tuple], now: int, slack: int, cost: int) -> list[tuple]:
+def _apply_event(pieces: list[tuple], top: int, now: int, slack: int, cost: int) -> list[tuple]:
     """Compose one event onto a piecewise map of start state to current state.
 
     A piece is (first start state, moves, value): the current state is start + value where
-    it moves with the start, else value itself.  Full bucket, event allowed and event refused
-    are three ranges of the current state, so a moving piece may be cut twice.
+    it moves with the start, else value itself; the last piece ends before ``top``.  Full
+    bucket, event allowed and event refused are three ranges of the current state, so a
+    moving piece may be cut twice; neighbours that come to agree are joined again.
     """
     out: list[tuple] = []
 
@@ -46,18 +47,18 @@ def _apply_event(pieces: list[tuple], now: int, slack: int, cost: int) -> list[t
         if not out or out[-1][1] != moves or out[-1][2] != value:
             out.append((first, moves, value))
 
-    for n, (first, moves, value) in enumerate(pieces):
+    ends = [p[0] for p in pieces[1:]] + [top]
+    for (first, moves, value), end in zip(pieces, ends):
         if not moves:
             at = max(value, now)
             add(first, False, at + cost if at <= now + slack else at)
             continue
-        end = pieces[n + 1][0] if n + 1 < len(pieces) else None
         full_to, allowed_to = now - value, now + slack + 1 - value
         if first < full_to:
             add(first, False, now + cost)
-        if max(first, full_to) < (allowed_to if end is None else min(end, allowed_to)):
+        if max(first, full_to) < min(end, allowed_to):
             add(max(first, full_to), True, value + cost)
-        if end is None or end > max(first, allowed_to):
+        if max(first, allowed_to) < end:
             add(max(first, allowed_to), True, value)
     return out
 
@@ -82,18 +83,22 @@ class BucketFold:
         return state, results
 
     def unknown(self):
-        return [(-(1 << 62), True, 0)]
+        return None
 
     def extend(self, summary, values: list[int]):
-        slack = (self.bucket.capacity - 1) * self.bucket.period_us
+        """A bucket is empty at worst, which bounds the start states by the first event."""
+        bucket = self.bucket
+        slack = (bucket.capacity - 1) * bucket.period_us
+        if summary is None:
+            top = values[0] * bucket.refill + bucket.capacity * bucket.period_us + 1
+            summary = top, [(-(1 << 62), True, 0)]
+        top, pieces = summary
         for ts_us in values:
-            summary = _apply_event(
-                summary, ts_us * self.bucket.refill, slack, self.bucket.period_us
-            )
-        return summary
+            pieces = _apply_event(pieces, top, ts_us * bucket.refill, slack, bucket.period_us)
+        return top, pieces
 
     def resolve(self, summary, state):
-        for first, moves, value in reversed(summary):
+        for first, moves, value in reversed(summary[1]):
             if first <= state:
                 return state + value if moves else value
         raise ValueError("no piece holds the start state")

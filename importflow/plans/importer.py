@@ -91,10 +91,9 @@ def import_files(
     else:
         staged = scratch_path(spark, "chunks")
         chunk = F.floor((F.col("source_row_number") - 1) / chunk_rows)
-        outcomes.withColumn("chunk", chunk).write.partitionBy("chunk").parquet(staged)
-        stage = spark.read.schema(
-            outcomes.schema.add("chunk", "bigint")
-        ).parquet(staged)
+        staging = outcomes.withColumn("chunk", chunk)
+        staging.write.partitionBy("chunk").parquet(staged)
+        stage = spark.read.schema(staging.schema).parquet(staged)
         for r in stage.select("chunk").distinct().orderBy("chunk").collect():
             part = stage.where(F.col("chunk") == r["chunk"]).drop("chunk")
             commit_batch(spark, ledger, part, batch_id * _CHUNK_BATCHES + r["chunk"])
