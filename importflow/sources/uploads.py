@@ -8,7 +8,11 @@ from importflow.functions import object_key_parts
 
 
 def list_uploads(spark: SparkSession, root: str, pattern: str = "source.csv") -> DataFrame:
-    """(object_key, length) of the objects below ``root``; a missing object has no row."""
+    """(object_key, length) of the objects below ``root``.
+
+    A missing object has no row, nor has an empty one: Spark's listing leaves it out.  No
+    caller tells the two apart.
+    """
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern).load(root)
