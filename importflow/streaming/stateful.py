@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from importflow.operators.throttle import Bucket, decision_schema
@@ -27,7 +26,7 @@ JOB_ROW = T.StructType([T.StructField("job_id", T.StringType()), *_JOB_STATE.fie
 NEW_JOB = ("PENDING", 0, 0, 0, 0, None, None)
 
 
-def next_job_state(state: tuple, event: dict) -> tuple:
+def next_job_state(state: tuple, event) -> tuple:
     """One transition; the batch fold in ``operators.lifecycle`` gives the same result."""
     status, version, processed, failed, last, total, updated = state
     kind = event["event"]
@@ -49,19 +48,21 @@ def next_job_state(state: tuple, event: dict) -> tuple:
     return status, version, processed, failed, last, total, updated
 
 
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    return sorted(rows, key=lambda r: (r["ts_us"], r["event_id"]))
+
+
 class JobStateProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("job", _JOB_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else NEW_JOB
-        part = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        for event in part.to_dict("records"):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get()     # None for a new key
+        state = NEW_JOB if held is None else tuple(held)
+        for event in _in_order(rows):
             state = next_job_state(state, event)
         self.state.update(state)
-        yield pd.DataFrame([(key[0], *state)], columns=JOB_ROW.names).astype(
-            {"total_rows": "Int64", "updated_us": "Int64"}
-        )
+        yield Row(*JOB_ROW.names)(key[0], *state)
 
     def close(self) -> None:
         pass
@@ -75,14 +76,14 @@ def stream_job_states(log: DataFrame) -> DataFrame:
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
           for c in ("valid_rows", "invalid_rows", "last_row")],
     )
-    return slim.groupBy("job_id").transformWithStateInPandas(
+    return slim.groupBy("job_id").transformWithState(
         JobStateProcessor(), JOB_ROW, outputMode="update", timeMode="none"
     )
 
 
 class BucketProcessor(StatefulProcessor):
-    def __init__(self, bucket: Bucket, key: str):
-        self.bucket, self.key = bucket, key
+    def __init__(self, bucket: Bucket, columns: list[str]):
+        self.bucket, self.columns = bucket, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         shape = T.StructType([
@@ -90,17 +91,16 @@ class BucketProcessor(StatefulProcessor):
         ])
         self.state = handle.getValueState("bucket", shape)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        full_at, seen = self.state.get() if self.state.exists() else (None, None)
-        part = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        out = []
-        for ts_us, event_id in zip(part["ts_us"].tolist(), part["event_id"].tolist()):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        full_at, seen = self.state.get() or (None, None)
+        named, out = Row(*self.columns), []
+        for row in _in_order(rows):
             # An event older than the last one seen refills nothing.
-            seen = ts_us if seen is None else max(seen, ts_us)
-            full_at, allowed, remaining, wait = self.bucket.step(full_at, seen)
-            out.append((key[0], event_id, allowed, remaining, wait))
+            seen = row["ts_us"] if seen is None else max(seen, row["ts_us"])
+            full_at, *decision = self.bucket.step(full_at, seen)
+            out.append(named(key[0], row["event_id"], *decision))
         self.state.update((full_at, seen))
-        yield pd.DataFrame(out, columns=[self.key, "event_id", "allowed", "remaining", "retry_after"])
+        yield from out
 
     def close(self) -> None:
         pass
@@ -112,7 +112,8 @@ def stream_token_bucket(
     slim = events.where(F.col(key).isNotNull()).select(
         key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
     )
-    return slim.groupBy(key).transformWithStateInPandas(
-        BucketProcessor(Bucket(capacity, refill, period_us), key), decision_schema(slim.schema[key]),
-        outputMode="update", timeMode="none",
+    shape = decision_schema(slim.schema[key])
+    processor = BucketProcessor(Bucket(capacity, refill, period_us), shape.names)
+    return slim.groupBy(key).transformWithState(
+        processor, shape, outputMode="update", timeMode="none"
     )
