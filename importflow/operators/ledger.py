@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from importflow.operators.skew import filter_by_keys, spread_join
 from importflow.schemas import LEDGER
+from importflow.session import freeze
 
 KEY = ["job_id", "source_row_number"]
 
@@ -94,15 +95,35 @@ def batch_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def commit_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int) -> None:
-    """Write one batch; running it again for the same batch leaves the same ledger."""
+def require_rows(counts: DataFrame, expected: DataFrame) -> None:
+    """Stop if a job has not just as many rows as ``expected`` (``job_id, expected_rows``)."""
+    found = expected.join(counts, "job_id", "left").withColumn(
+        "found_rows", F.coalesce(F.col("valid_rows") + F.col("invalid_rows"), F.lit(0))
+    )
+    wrong = found.where(F.col("found_rows") != F.col("expected_rows")).take(1)
+    if wrong:
+        raise RuntimeError(
+            f"job {wrong[0]['job_id']}: {wrong[0]['found_rows']} rows written, "
+            f"{wrong[0]['expected_rows']} expected; batch not committed"
+        )
+
+
+def commit_batch(
+    spark: SparkSession, root: str, rows: DataFrame, batch_id: int, expected: DataFrame | None = None
+) -> None:
+    """Write one batch; running it again for the same batch leaves the same ledger.
+
+    With ``expected`` the batch is committed only if every job's rows are all there.
+    """
     fs, marker = file_system(spark, _batch_folder(root, "progress", batch_id))
     fs.delete(marker, True)
     columns = [f.name for f in LEDGER.fields if f.name != "batch_id"]
     target = _batch_folder(root, "rows", batch_id)
     rows.select(*columns).write.mode("overwrite").parquet(target)
-    written = spark.read.schema(LEDGER).parquet(target)
-    batch_counts(written).write.mode("overwrite").parquet(_batch_folder(root, "progress", batch_id))
+    counts = freeze(batch_counts(spark.read.schema(LEDGER).parquet(target)))
+    if expected is not None:
+        require_rows(counts, expected)
+    counts.write.mode("overwrite").parquet(_batch_folder(root, "progress", batch_id))
 
 
 def to_outcomes(validated: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from importflow.functions import row_hash, trim_to_null
 from importflow.schemas import CONTACT_FIELDS, RECORD_LENGTHS
+from importflow.sources.csv_files import unquote
 
 # --- fixed values -----------------------------------------------------------------
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
@@ -49,7 +50,7 @@ def pick_fields(rows: DataFrame) -> DataFrame:
     """Named fields from the tokens, plus the ``malformed`` text where there are none."""
     picked = rows.withColumn("malformed", malformed_problem())
     return picked.withColumns(
-        {f: F.get("tokens", F.col(f"at_{f}")) for f in CONTACT_FIELDS}
+        {f: unquote(F.get("tokens", F.col(f"at_{f}"))) for f in CONTACT_FIELDS}
     ).drop("tokens", "header_names", *[f"at_{f}" for f in CONTACT_FIELDS])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from importflow.operators.ledger import (
-    commit_batch, cursors, read_progress, to_outcomes,
+    batch_counts, commit_batch, cursors, read_progress, require_rows, to_outcomes,
 )
 from importflow.operators.skew import checked_broadcast
 from importflow.operators.validate import pick_fields, too_long, validate
@@ -57,14 +57,17 @@ def validate_files(
     ).first()
     if told["files"] != told["jobs"]:
         raise ValueError("a job has more than one source file, or a file has no job")
+    # Of a file that fails, whole commits before the failure are kept.
+    whole = F.floor((F.col("failed_row") - 1) / COMMIT_ROWS) * COMMIT_ROWS
+    failed = F.col("failed_row").isNotNull()
+    files = files.withColumn("kept_to", F.when(failed, F.greatest(whole, F.lit(0))))
     if told["failed"]:
-        stopped = files.where("failed_row is not null").select(
-            "file_path",
-            (F.floor((F.col("failed_row") - 1) / COMMIT_ROWS) * COMMIT_ROWS).alias("kept_to"),
-        )
+        stopped = files.where("kept_to is not null").select("file_path", "kept_to")
         rows = rows.join(checked_broadcast(stopped), "file_path", "left").where(
             F.col("kept_to").isNull() | (F.col("source_row_number") <= F.col("kept_to"))
         )
+    expected = F.greatest(F.coalesce("kept_to", "data_rows") - F.col("cursor"), F.lit(0))
+    files = files.withColumn("expected_rows", expected)
     return rows, files
 
 
@@ -87,13 +90,14 @@ def import_files(
     rows, files = validate_files(spark, paths, assign, job_cursors, line_sep)
     outcomes = to_outcomes(rows)
     if chunk_rows is None:
-        commit_batch(spark, ledger, outcomes, batch_id)
+        commit_batch(spark, ledger, outcomes, batch_id, files.select("job_id", "expected_rows"))
     else:
         staged = scratch_path(spark, "chunks")
         chunk = F.floor((F.col("source_row_number") - 1) / chunk_rows)
         staging = outcomes.withColumn("chunk", chunk)
         staging.write.partitionBy("chunk").parquet(staged)
         stage = spark.read.schema(staging.schema).parquet(staged)
+        require_rows(batch_counts(stage), files.select("job_id", "expected_rows"))
         for r in stage.select("chunk").distinct().orderBy("chunk").collect():
             part = stage.where(F.col("chunk") == r["chunk"]).drop("chunk")
             commit_batch(spark, ledger, part, batch_id * _CHUNK_BATCHES + r["chunk"])

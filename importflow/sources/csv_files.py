@@ -42,6 +42,7 @@ _TOKEN = rf",({_FIELD})"      # for a record with a comma put before it
 class ContactFiles:
     """``rows``: one row per data record; ``files``: one row per file that has a header.
 
+    A file's ``data_rows`` is what it must yield unless it fails at ``failed_row``.
     ``any_suspect`` says whether some file has lines long enough for over-long values.
     """
 
@@ -70,7 +71,7 @@ def scan_lines(spark: SparkSession, paths, line_sep: str = "\n") -> DataFrame:
     pieces = F.when(inside, F.split("raw", r"\r(?!\z)")).otherwise(F.array("raw"))
     parts = raw.withColumn("pieces", pieces).select(
         "file_path", "block_start", F.size("pieces").alias("n"),
-        F.posexplode("pieces").alias("i", "piece"),
+        F.posexplode_outer("pieces").alias("i", "piece"),   # never empty; spares an inferred filter
     )
     ends_cr = F.endswith("piece", F.lit("\r"))
     return parts.select(
@@ -86,16 +87,20 @@ def _has_quote(c: str) -> Column:
 
 
 def tokens(record: Column | str) -> Column:
-    """Field values of one well-formed record."""
+    """Fields of one well-formed record as they stand there, quotes and all."""
     record = F.col(record) if isinstance(record, str) else record
-    unquoted = F.transform(
+    return F.when(
+        F.contains(record, F.lit('"')),
         F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_TOKEN), F.lit(1)),
-        lambda t: F.when(
-            F.startswith(t, F.lit('"')),
-            F.replace(F.regexp_extract(t, rf'(?s)\A"(.*)"{_BLANK}\z', 1), F.lit('""'), F.lit('"')),
-        ).otherwise(t),
-    )
-    return F.when(F.contains(record, F.lit('"')), unquoted).otherwise(F.split(record, ",", -1))
+    ).otherwise(F.split(record, ",", -1))
+
+
+def unquote(token: Column) -> Column:
+    """The value of a field; only a quoted field begins with a quote."""
+    inner = F.regexp_extract(token, rf'(?s)\A"(.*)"{_BLANK}\z', 1)
+    return F.when(
+        F.startswith(token, F.lit('"')), F.replace(inner, F.lit('""'), F.lit('"'))
+    ).otherwise(token)
 
 
 def _with_header(files: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def _with_header(files: DataFrame) -> DataFrame:
 
     Names match exactly; of equal names the last position counts; a blank name fails the file.
     """
-    names = files.withColumn("names", tokens("header"))
+    names = files.withColumn("names", F.transform(tokens("header"), unquote))
     turned = F.reverse("names")
 
     def position(name: str) -> Column:
@@ -160,17 +165,15 @@ def _profile(stamped: DataFrame) -> DataFrame:
 
 
 def _number_plain(stamped: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Number the records of the blocks marked ``plain``.
+    """Number the records of the given blocks, which carry their file's columns.
 
-    Both scans come from one file listing, so they cut the files alike; a line whose block
-    is not in the table means they did not, and must not be dropped in silence.
+    Both scans come from one file listing, so they cut the files alike.  The commit checks
+    that every file has all of its rows, so a scan that did not could not go unnoticed.
     """
     placed = blocks.withColumn("shift", F.col("row_start") - F.col("first_place")).drop(
         "first_place", "lines", "first_line", "flags", "row_start"
     )
-    found = stamped.join(checked_broadcast(placed), ["task", "file_path", "block_start"], "left")
-    moved = F.raise_error(F.lit("the two scans of the contact files were cut differently"))
-    found = found.where(F.coalesce(F.col("plain"), moved.cast("boolean")))
+    found = stamped.join(checked_broadcast(placed), ["task", "file_path", "block_start"])
     return found.withColumn("source_row_number", F.col("place") + F.col("shift")).withColumnRenamed(
         "line", "record"
     )
@@ -225,7 +228,7 @@ def _with_flips_to(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def _multi_line(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, headers, failures) of files with quoted line ends.
+    """(records, headers, failures and row counts) of files with quoted line ends.
 
     A block is one split of one file, and no window here is larger.  What depends on the
     state at the start of the block is worked out for both states in the same pass; the
@@ -329,7 +332,8 @@ def _multi_line(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     headers = records.where(F.col("source_row_number") == 0).select(
         "file_path", F.col("record").alias("header")
     )
-    return records, headers, failures
+    counts = blocks.groupBy("file_path").agg((F.sum("lines") - 1).alias("data_rows"))
+    return records, headers, counts.join(failures, "file_path", "left")
 
 
 # --- public -------------------------------------------------------------------------
@@ -351,6 +355,7 @@ def read_contact_files(
         F.min_by("first_line", "block_start").alias("header"),
         F.max(F.array_contains("flags", "odd")).alias("odd"),
         F.max(F.size("flags") > 0).alias("suspect"),
+        (F.sum("lines") - 1).alias("data_rows"),
     )
     describe = describe or (lambda df: df)
     files = freeze(describe(files))
@@ -359,13 +364,10 @@ def read_contact_files(
     plain = _with_header(files.where(~F.col("odd")).drop("odd")).withColumns(
         {"failed_row": F.lit(None).cast("bigint"), "failed_why": F.lit(None).cast("string")}
     )
-    own = [c for c in files.columns if c not in ("header", "odd")]
+    own = [c for c in files.columns if c not in ("header", "odd", "data_rows")]
     at = [f"at_{f}" for f in CONTACT_FIELDS] + ["header_names"]
-    readable = plain.where(F.col("header_error").isNull()).select(*own, *at, F.lit(True).alias("p"))
-    all_blocks = blocks.join(readable, "file_path", "left").withColumn(
-        "plain", F.coalesce("p", F.lit(False))
-    ).drop("p")
-    rows = _number_plain(stamped, freeze(all_blocks))
+    readable = plain.where(F.col("header_error").isNull()).select(*own, *at)
+    rows = _number_plain(stamped, freeze(blocks.join(readable, "file_path")))
     keep = [*own, *at, "source_row_number", "record"]
     rows = rows.select(*keep)
 
@@ -376,11 +378,13 @@ def read_contact_files(
             odd_lines = lines.where(F.col("file_path").isin(wanted))
         else:
             odd_lines = lines.join(checked_broadcast(odd), "file_path", "left_semi")
-        records, headers, failures = _multi_line(odd_lines)
-        quoted = _with_header(
-            files.where("odd").drop("odd", "header").join(headers, "file_path", "left")
-        ).join(failures, "file_path", "left")
-        quoted = freeze(quoted)
+        records, headers, counted = _multi_line(odd_lines)
+        quoted = freeze(
+            _with_header(
+                files.where("odd").drop("odd", "header", "data_rows")
+                .join(headers, "file_path", "left")
+            ).join(counted, "file_path")
+        )
         sound = quoted.where(F.col("header_error").isNull() & F.col("header_names").isNotNull())
         rows = rows.unionByName(
             records.join(checked_broadcast(sound.select(*own, *at)), "file_path").select(*keep)
@@ -388,7 +392,7 @@ def read_contact_files(
         plain = plain.unionByName(quoted.select(*plain.columns))
     # A blank header name fails the file before its first row.
     described = plain.select(
-        *own,
+        *own, "data_rows",
         F.when(F.col("header_error").isNotNull(), 1).otherwise(F.col("failed_row"))
         .cast("bigint").alias("failed_row"),
         F.coalesce("header_error", "failed_why").alias("failed_why"),

@@ -139,8 +139,10 @@ def test_random_files_against_a_plain_reader(spark, uploads, monkeypatch, seed,
     spark.conf.set("spark.sql.files.openCostInBytes", "0" if seed == 2 else "50")
     try:
         found = read_contact_files(spark, uploads.pattern, _upload_of)
-        rows = [r.asDict() for r in found.rows.select("job_id", "source_row_number", "tokens").collect()]
+        values = F.transform("tokens", csv_files.unquote).alias("tokens")
+        rows = found.rows.select("job_id", "source_row_number", values).collect()
         failed = {r["job_id"]: r["failed_row"] for r in found.files.collect()}
+        counted = {r["job_id"]: r["data_rows"] for r in found.files.collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -152,6 +154,7 @@ def test_random_files_against_a_plain_reader(spark, uploads, monkeypatch, seed,
         wanted = {i + 1: fields for i, fields in enumerate(data)}
         assert got.get(name, {}) == wanted, name
         assert failed[name] == (len(data) + 1 if broken else None), name
+        assert broken or counted[name] == len(data), name
 
 
 def test_columns_are_picked_by_name(spark, uploads):

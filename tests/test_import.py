@@ -165,14 +165,25 @@ def test_insert_if_absent(spark):
     assert sorted(map(tuple, added.collect())) == [("j", 3, "a"), ("k", 1, None)]
 
 
+def test_a_batch_that_lost_rows_is_not_committed(spark, uploads, tmp_path, monkeypatch):
+    uploads.put("e", FIVE)
+    root = str(tmp_path / "ledger")
+    real = importer.to_outcomes
+    with monkeypatch.context() as m:
+        m.setattr(importer, "to_outcomes", lambda rows: real(rows).where("source_row_number != 3"))
+        with pytest.raises(RuntimeError, match="4 rows written, 5 expected"):
+            run(spark, uploads, root)
+    assert stored(spark, root) == []
+
+
 def test_commit_needs_no_shuffle(spark, uploads, tmp_path, monkeypatch):
     uploads.put("e", FIVE)
     plans = []
     real = importer.commit_batch
 
-    def look(spark, root, rows, batch):
+    def look(spark, root, rows, *rest):
         plans.append(rows._jdf.queryExecution().executedPlan().toString())
-        real(spark, root, rows, batch)
+        real(spark, root, rows, *rest)
 
     monkeypatch.setattr(importer, "commit_batch", look)
     run(spark, uploads, str(tmp_path / "ledger"))
