@@ -60,8 +60,11 @@ def committed_batches(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
 
 
-def _read(spark: SparkSession, root: str, kind: str, schema, without: int | None) -> DataFrame:
-    batches = [b for b in committed_batches(spark, root) if b != without]
+def _read(
+    spark: SparkSession, root: str, kind: str, schema, without: int | None, only: list[int] | None = None
+) -> DataFrame:
+    batches = [b for b in committed_batches(spark, root)
+               if b != without and (only is None or b in only)]
     if not batches:
         return spark.createDataFrame([], schema)
     return (
@@ -75,9 +78,20 @@ PROGRESS_SCHEMA = (
 )
 
 
-def read_ledger(spark: SparkSession, root: str, without: int | None = None) -> DataFrame:
-    """Committed outcomes, if wanted ``without`` one batch that is about to be replayed."""
-    return _read(spark, root, "rows", LEDGER, without)
+def read_ledger(
+    spark: SparkSession, root: str, without: int | None = None, only: list[int] | None = None
+) -> DataFrame:
+    """Committed outcomes; ``without`` a batch that is about to be replayed, or ``only`` some."""
+    return _read(spark, root, "rows", LEDGER, without, only)
+
+
+def outcomes_of(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
+    """Committed outcomes of some jobs (``job_id``), from just the batches that hold any."""
+    held = filter_by_keys(
+        read_progress(spark, root), jobs, "job_id", ["batch_id"], keep=True
+    ).select("batch_id").distinct().collect()     # one row per batch
+    found = read_ledger(spark, root, only=[r["batch_id"] for r in held])
+    return filter_by_keys(found, jobs, "job_id", ["source_row_number"], keep=True)
 
 
 def read_progress(spark: SparkSession, root: str, without: int | None = None) -> DataFrame:

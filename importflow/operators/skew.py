@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from importflow.session import freeze
+
 BROADCAST_ROWS = 200_000    # tables above this are never hinted for broadcast
 PIECE_ROWS = 1_000_000      # rows of one key that may go to one task
 MOST_HOT_KEYS = 10_000      # at most this many keys are ever treated as hot
@@ -36,6 +38,7 @@ def spread_join(
     the matching row of ``small`` is copied once per piece.  The piece size follows the
     total, so the list of hot keys that is broadcast never exceeds MOST_HOT_KEYS.
     """
+    small = freeze(small)
     total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
     piece = max(piece or PIECE_ROWS, total // MOST_HOT_KEYS + 1)
     hot = small.where(F.col(rows) > piece).select(
@@ -62,7 +65,7 @@ def filter_by_keys(
 ) -> DataFrame:
     """Rows of ``big`` whose key is (``keep``) or is not in ``keys``; NULL keys never match."""
     how = "left_semi" if keep else "left_anti"
-    keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    keys = freeze(keys.select(key).where(F.col(key).isNotNull()).distinct())
     if has_at_most(keys, BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
         return big.join(F.broadcast(keys), key, how)
     weighted = big.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).join(keys, key, "left_semi")

@@ -846,7 +846,7 @@ def stream_import(spark: SparkSession, folder: str) -> DataFrame:
         zero.alias("invalid_rows"), zero.alias("last_row"),
     ), -1)
     for _ in range(2):
-        publish(confirmed.select(F.col("job_id").alias("jobId")).coalesce(2), home.folder("messages"))
+        publish(confirmed.select(F.col("job_id").alias("jobId")), home.folder("messages"))
     start_import(spark, home, available_now=True).awaitTermination()
     return jobs_now(spark, home).select(
         "id", "status", F.col("version").cast("int").alias("version"), "processed_rows",

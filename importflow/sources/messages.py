@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from importflow.schemas import JOB_MESSAGE
 
+MESSAGES_PER_FILE = 1_000
+
 
 def message_files(spark: SparkSession, folder: str, files_per_batch: int = 3) -> DataFrame:
     """Stream of messages from JSON files; a batch takes a bounded number of files."""
@@ -25,8 +27,13 @@ def message_topic(spark: SparkSession, servers: str, topic: str, offsets_per_bat
 
 
 def publish(jobs: DataFrame, folder: str) -> None:
-    """Append messages for ``jobs`` (``jobId``) to a message folder."""
-    jobs.select("jobId").write.mode("append").json(folder)
+    """Append messages for ``jobs`` (``jobId``) to a message folder.
+
+    The size of a file is bounded, and with it what a micro-batch takes at once.
+    """
+    jobs.select("jobId").write.mode("append").option(
+        "maxRecordsPerFile", MESSAGES_PER_FILE
+    ).json(folder)
 
 
 def table_stream(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from importflow.operators.ledger import (
-    file_system, import_errors, read_ledger, read_progress,
+    file_system, import_errors, outcomes_of, read_progress,
 )
 from importflow.operators.lifecycle import claim_gate, current_jobs
 from importflow.operators.report import write_reports
@@ -43,9 +43,17 @@ def read_log(spark: SparkSession, home: ImportHome, without: int | None = None)
     return log if without is None else log.where(F.col("batch_id") != without)
 
 
-def jobs_now(spark: SparkSession, home: ImportHome, without: int | None = None) -> DataFrame:
+def jobs_now(
+    spark: SparkSession, home: ImportHome, without: int | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """The jobs as the log leaves them; ``only`` (``job_id``) spares folding all other jobs."""
     created = read_table(spark, home.folder("jobs"), JOBS)
-    return current_jobs(created, read_log(spark, home, without))
+    log = read_log(spark, home, without)
+    if only is not None:
+        log = filter_by_keys(log, only, "job_id", ["event_id"], keep=True)
+        named = only.select(F.col("job_id").alias("id"))
+        created = filter_by_keys(created, named, "id", ["id"], keep=True)
+    return current_jobs(created, log)
 
 
 def append_log(spark: SparkSession, home: ImportHome, events: DataFrame, batch_id: int) -> None:
@@ -62,13 +70,14 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
     stream's admission limit bounds it.
     """
     spark = messages.sparkSession
-    gate = freeze(claim_gate(messages, jobs_now(spark, home, without=batch_id)))
+    named = freeze(messages.select(F.col("jobId").alias("job_id")).distinct())
+    jobs = freeze(jobs_now(spark, home, without=batch_id, only=named))
+    gate = claim_gate(named.withColumnRenamed("job_id", "jobId"), jobs)
     claimed = gate.where(F.col("decision").isin("CLAIM", "RESUME")).select("job_id")
-    keyed = freeze(
-        claimed.join(
-            read_table(spark, home.folder("jobs"), JOBS)
-            .select(F.col("id").alias("job_id"), "source_object_key"), "job_id")
-    )
+    keyed = freeze(claimed.join(
+        jobs.select(F.col("id").alias("job_id"), "source_object_key"), "job_id"
+    ))
+    claimed = keyed.select("job_id")
     keys = [r["source_object_key"] for r in keyed.collect()]
     fs, _ = file_system(spark, home.root)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
@@ -98,10 +107,7 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
     ended = freeze(ended)
     done = ended.where("status = 'COMPLETED'").select("job_id")
 
-    errors = filter_by_keys(
-        import_errors(read_ledger(spark, ledger)), done, "job_id", ["source_row_number"], keep=True
-    )
-    write_reports(errors, home.folder("reports"))
+    write_reports(import_errors(outcomes_of(spark, ledger, done)), home.folder("reports"))
     ended.where("status = 'FAILED'").select(F.col("job_id").alias("jobId")).write.mode(
         "overwrite"
     ).json(f"{home.folder('dead_letters')}/batch_id={batch_id}")
