@@ -77,7 +77,7 @@ def validate(rows: DataFrame) -> DataFrame:
     })
 
 
-def too_long(rows: DataFrame) -> Column:
+def too_long() -> Column:
     """Whether a valid row holds a value the record table has no room for."""
     over = [F.length(f) > RECORD_LENGTHS[f] for f in CONTACT_FIELDS]
     any_over = F.coalesce(over[0], F.lit(False))

@@ -41,8 +41,10 @@ def validate_files(
     files = found.files
     # Only a file with a line longer than the shortest limit can hold an over-long value.
     if found.any_suspect:
-        over = rows.where(F.col("suspect") & too_long(rows)).groupBy("file_path").agg(
-            F.min("source_row_number").alias("long_row")
+        # An aggregate, not a filter: a filter would be pushed down to the scan and validate
+        # every row once per use of every field.
+        over = rows.where("suspect").groupBy("file_path").agg(
+            F.min(F.when(too_long(), F.col("source_row_number"))).alias("long_row")
         )
         first = F.least("failed_row", "long_row")
         files = freeze(

@@ -71,3 +71,10 @@ def freeze(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from there."""
     workspace(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """The same for large data whose partitions do not matter: a Parquet table."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

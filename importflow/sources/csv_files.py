@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from importflow.operators.skew import BROADCAST_ROWS, checked_broadcast, has_at_most
 from importflow.schemas import CONTACT_FIELDS, RECORD_LENGTHS
-from importflow.session import freeze
+from importflow.session import freeze, store
 
 PRUNE_FILES = 1_000                  # up to here a file list goes into the scan itself
 RECORD_BYTES = 256 * 1024 * 1024     # a longer record cannot be held and fails its file
@@ -253,7 +253,7 @@ def _multi_line(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     coded = coded.withColumns({
         "nth_out": F.sum(starts("if_out")).over(upto), "nth_in": F.sum(starts("if_in")).over(upto),
     })
-    coded = freeze(coded.drop("flips_to"))
+    coded = store(coded.drop("flips_to"), "lines")
 
     # A block as a whole acts on the state just as a line does.
     last = F.max_by(
