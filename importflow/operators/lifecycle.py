@@ -1,14 +1,15 @@
 """Job states: the fold over a transition log, the claim gate, retries and the outbox.
 
 A log row is ``job_id, ts, event_id, event`` plus, for CONFIRM, ``upload_present`` and, for
-FLUSH, ``valid_rows, invalid_rows, last_row``.  Order within a job is (ts, event_id).
+FLUSH, ``valid_rows, invalid_rows, last_row``.  Events are CONFIRM, CLAIM, FLUSH, ATTACH (of
+the error report), COMPLETE and FAIL.  Order within a job is (ts, event_id).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from importflow.functions import backoff_seconds
+from importflow.functions import backoff_seconds, report_key
 from importflow.operators.ordered import Timeline
 from importflow.schemas import JOB_STATUSES, MAX_ATTEMPTS
 
@@ -26,7 +27,7 @@ def log_decisions(log: DataFrame, limit: int | None = None) -> DataFrame:
     an earlier confirmation, and a confirmation counts only on a fresh job.  So the status
     before a row follows from how often each kind of event came before it, and such running
     counts can be had for a job of any size.  ``decision`` is CHANGED, SAME, REJECTED or
-    IGNORED.  A flush without rows changes nothing.
+    IGNORED.  A flush without rows changes nothing, nor does a second report.
     """
     event = F.col("event")
     log = log.withColumns({
@@ -40,6 +41,7 @@ def log_decisions(log: DataFrame, limit: int | None = None) -> DataFrame:
         confirms=("sum", F.col("confirmed")),
         fails=("sum", (event == "FAIL").cast("int")),
         completes=("sum", (event == "COMPLETE").cast("int")),
+        attaches=("sum", (event == "ATTACH").cast("int")),
         moved_before=("sum", F.col("moved")),
     )
     open_job = ~_happened("fails") & ~_happened("completes")
@@ -66,6 +68,7 @@ def log_decisions(log: DataFrame, limit: int | None = None) -> DataFrame:
             F.when(was == "QUEUED", "CHANGED").when(was == "PROCESSING", "SAME").otherwise("IGNORED"),
         )
         .when(event == "FLUSH", F.when(F.col("moved") > 0, "CHANGED").otherwise("SAME"))
+        .when(event == "ATTACH", F.when(_happened("attaches"), "SAME").otherwise("CHANGED"))
         .when(
             event == "COMPLETE",
             F.when((was == "COMPLETED") & (F.col("last_total") == F.col("moved_before")), "SAME")
@@ -84,7 +87,7 @@ def log_decisions(log: DataFrame, limit: int | None = None) -> DataFrame:
         .otherwise(was)
     )
     return decided.withColumn("status_after", after).drop(
-        "confirmed", "confirms", "fails", "completes", "claims", "last_total", "moved"
+        "confirmed", "confirms", "fails", "completes", "claims", "attaches", "last_total", "moved"
     )
 
 
@@ -106,6 +109,7 @@ def job_states(log: DataFrame, limit: int | None = None) -> DataFrame:
         F.max(F.when(flush, F.struct(*ORDER, "last_row"))).alias("flushed"),
         F.max(F.when(F.col("event") == "COMPLETE", F.col("moved_before"))).alias("total_rows"),
         F.max(F.when(changed, F.col("ts"))).alias("updated_at"),
+        F.max(F.col("event") == "ATTACH").alias("report_attached"),
     )
     return folded.select(
         "job_id",
@@ -114,7 +118,7 @@ def job_states(log: DataFrame, limit: int | None = None) -> DataFrame:
         F.coalesce("valid_rows", zero).alias("processed_rows"),
         F.coalesce("invalid_rows", zero).alias("failed_rows"),
         F.coalesce(F.col("flushed.last_row"), zero).alias("last_processed_row"),
-        "total_rows", "updated_at",
+        "total_rows", "updated_at", "report_attached",
     )
 
 
@@ -123,11 +127,15 @@ def current_jobs(jobs: DataFrame, log: DataFrame, limit: int | None = None) -> D
     states = job_states(log, limit)
     told = ["status", "version", "processed_rows", "failed_rows", "last_processed_row",
             "total_rows", "updated_at"]
-    named = states.select("job_id", *[F.col(c).alias(f"now_{c}") for c in told])
+    named = states.select(
+        "job_id", "report_attached", *[F.col(c).alias(f"now_{c}") for c in told]
+    )
     joined = jobs.join(named, F.col("id") == F.col("job_id"), "left")
-    return joined.select(*[
-        F.coalesce(f"now_{c}", c).alias(c) if c in told else F.col(c) for c in jobs.columns
-    ])
+    now = {c: F.coalesce(f"now_{c}", c) for c in told}
+    now["error_report_object_key"] = F.when(
+        F.col("report_attached"), report_key("source_object_key")
+    ).otherwise(F.col("error_report_object_key"))
+    return joined.select(*[now.get(c, F.col(c)).alias(c) for c in jobs.columns])
 
 
 def claim_gate(messages: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from importflow.session import freeze, scratch_path
 from importflow.sources.csv_files import read_contact_files
 from importflow.sources.messages import publish, table_stream
 from importflow.sources.tables import write_table
-from importflow.sources.uploads import list_uploads
+from importflow.sources.uploads import list_uploads, put_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,7 +105,8 @@ LOG_SQL = """
 log AS (
     SELECT user_id || '-' || CAST(ts AS date) AS job_id, ts, event_id,
            CASE event_type WHEN 'signup' THEN 'CONFIRM' WHEN 'click' THEN 'CLAIM'
-                WHEN 'view' THEN 'FLUSH' WHEN 'purchase' THEN 'COMPLETE' ELSE 'FAIL' END AS event,
+                WHEN 'view' THEN CASE WHEN event_id % 7 = 0 THEN 'ATTACH' ELSE 'FLUSH' END
+                WHEN 'purchase' THEN 'COMPLETE' ELSE 'FAIL' END AS event,
            event_id % 4 <> 0 AS there, event_id % 5 AS v, event_id % 3 AS i,
            row_number() OVER (PARTITION BY user_id || '-' || CAST(ts AS date)
                               ORDER BY ts, event_id) AS seq
@@ -115,11 +116,12 @@ log AS (
            CAST(NULL AS varchar) AS event, CAST(NULL AS varchar) AS status_before,
            'PENDING' AS status, CAST(0 AS bigint) AS version, CAST(0 AS bigint) AS valid_sum,
            CAST(0 AS bigint) AS invalid_sum, CAST(0 AS bigint) AS last_row,
-           CAST(NULL AS bigint) AS total, CAST(NULL AS bigint) AS updated, '' AS decision
+           CAST(NULL AS bigint) AS total, CAST(NULL AS bigint) AS updated, '' AS decision,
+           false AS attached
     FROM (SELECT DISTINCT job_id FROM log)
     UNION ALL
     SELECT job_id, seq, event_id, event, status_before,
-           CASE WHEN decision <> 'CHANGED' OR event = 'FLUSH' THEN status_before
+           CASE WHEN decision <> 'CHANGED' OR event IN ('FLUSH', 'ATTACH') THEN status_before
                 WHEN event = 'CONFIRM' THEN 'QUEUED' WHEN event = 'CLAIM' THEN 'PROCESSING'
                 WHEN event = 'COMPLETE' THEN 'COMPLETED' ELSE 'FAILED' END,
            version + CASE WHEN decision = 'CHANGED' THEN 1 ELSE 0 END,
@@ -127,16 +129,18 @@ log AS (
            invalid_sum + CASE WHEN event = 'FLUSH' THEN i ELSE 0 END,
            CASE WHEN event = 'FLUSH' THEN event_id ELSE last_row END,
            CASE WHEN event = 'COMPLETE' THEN valid_sum + invalid_sum ELSE total END,
-           CASE WHEN decision = 'CHANGED' THEN epoch_us(ts) ELSE updated END, decision
+           CASE WHEN decision = 'CHANGED' THEN epoch_us(ts) ELSE updated END, decision,
+           attached OR event = 'ATTACH'
     FROM (
         SELECT l.job_id, l.seq, l.event_id, l.event, s.status AS status_before, s.version,
-               s.valid_sum, s.invalid_sum, s.last_row, s.total, s.updated, l.v, l.i, l.ts,
+               s.valid_sum, s.invalid_sum, s.last_row, s.total, s.updated, s.attached, l.v, l.i, l.ts,
                CASE l.event
                    WHEN 'CONFIRM' THEN CASE WHEN s.status = 'PENDING' AND l.there THEN 'CHANGED'
                                             WHEN s.status = 'QUEUED' THEN 'SAME' ELSE 'REJECTED' END
                    WHEN 'CLAIM' THEN CASE s.status WHEN 'QUEUED' THEN 'CHANGED'
                                           WHEN 'PROCESSING' THEN 'SAME' ELSE 'IGNORED' END
                    WHEN 'FLUSH' THEN CASE WHEN l.v + l.i > 0 THEN 'CHANGED' ELSE 'SAME' END
+                   WHEN 'ATTACH' THEN CASE WHEN s.attached THEN 'SAME' ELSE 'CHANGED' END
                    WHEN 'COMPLETE' THEN CASE WHEN s.status = 'COMPLETED'
                         AND s.total = s.valid_sum + s.invalid_sum THEN 'SAME' ELSE 'CHANGED' END
                    ELSE CASE WHEN s.status IN ('COMPLETED', 'FAILED') THEN 'SAME' ELSE 'CHANGED' END
@@ -147,7 +151,8 @@ log AS (
 
 FINAL_STATE_SQL = f"""WITH RECURSIVE {LOG_SQL}
 SELECT job_id, status, version, valid_sum AS processed_rows, invalid_sum AS failed_rows,
-       last_row AS last_processed_row, total AS total_rows, updated AS updated_us
+       last_row AS last_processed_row, total AS total_rows, updated AS updated_us,
+       attached AS report_attached
 FROM states QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1"""
 
 # Ten tokens, ten back per six hours; tokens are counted in units of one period's microseconds.
@@ -808,49 +813,43 @@ def rolling_failure_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {CHECKED}
-SELECT job_id AS id, 'COMPLETED' AS status, 4 AS version,
+SELECT job_id AS id, 'COMPLETED' AS status, 4 + CASE WHEN count(reason) > 0 THEN 1 ELSE 0 END AS version,
        count(*) FILTER (reason IS NULL) AS processed_rows, count(reason) AS failed_rows,
-       max(source_row_number) AS last_processed_row, count(*) AS total_rows
+       max(source_row_number) AS last_processed_row, count(*) AS total_rows,
+       CASE WHEN count(reason) > 0 THEN 'REPORT' ELSE 'NO_ERROR_REPORT' END AS result
 FROM checked GROUP BY job_id""")
 def stream_import(spark: SparkSession, folder: str) -> DataFrame:
-    """Uploads confirmed, published twice and imported by the stream; the jobs afterwards."""
-    from importflow.streaming.import_stream import ImportHome, append_log, jobs_now, start_import
+    """Jobs created, uploads confirmed, published twice and imported by the stream."""
+    from importflow.streaming.import_stream import (
+        ImportHome, confirm_uploads, jobs_now, start_import,
+    )
 
     home = ImportHome(scratch_path(spark, "home"))
-    rows = derive.contacts(spark, folder)
-    org = F.col("c_nationkey").cast("string")
-    lines = rows.select(
-        "job_id", org.alias("org"), "source_row_number", derive.csv_line(CONTACT_FIELDS).alias("line")
+    lines = derive.contacts(spark, folder).select(
+        F.col("c_nationkey").cast("string").alias("org"), F.col("job_id").alias("upload"),
+        "source_row_number", derive.csv_line(CONTACT_FIELDS).alias("line"),
     )
-    headers = lines.where("source_row_number = 1").select(
-        "job_id", "org", F.lit(0).cast("bigint").alias("source_row_number"),
-        F.lit(",".join(CONTACT_FIELDS)).alias("line"),
-    )
-    from importflow.sources.uploads import put_lines
+    headers = lines.where("source_row_number = 1").withColumns({
+        "source_row_number": F.lit(0).cast("bigint"), "line": F.lit(",".join(CONTACT_FIELDS)),
+    })
     put_lines(
-        lines.unionByName(headers).withColumnRenamed("job_id", "upload"),
-        home.folder("uploads"), ["org", "upload"], ["source_row_number"],
+        lines.unionByName(headers), home.folder("uploads"), ["org", "upload"], ["source_row_number"]
     )
     requests = _contact_jobs(spark, folder).withColumn("submitted_by", F.lit("loader"))
     made = job_ops.create_jobs(requests).withColumn(
         "source_object_key", F.concat(F.lit("org="), "org_id", F.lit("/upload="), "id")
     )
     write_table(made, home.folder("jobs"), JOBS)
-    confirmed = freeze(spark.read.parquet(home.folder("jobs")).select(
-        F.col("id").alias("job_id"), F.lit("CONFIRM").alias("event")
-    ))
-    zero = F.lit(0).cast("bigint")
-    append_log(spark, home, confirmed.select(
-        "job_id", F.current_timestamp().alias("ts"), F.lit(-1).cast("bigint").alias("event_id"),
-        "event", F.lit(True).alias("upload_present"), zero.alias("valid_rows"),
-        zero.alias("invalid_rows"), zero.alias("last_row"),
-    ), -1)
-    for _ in range(2):
-        publish(confirmed.select(F.col("job_id").alias("jobId")), home.folder("messages"))
+    asked = spark.read.parquet(home.folder("jobs")).select(F.col("id").alias("job_id"), "org_id")
+    for number in (1, 2):       # the second confirmation finds all jobs queued
+        confirm_uploads(spark, home, asked, number, pattern="*.txt")
+    publish(asked.select(F.col("job_id").alias("jobId")), home.folder("messages"))
     start_import(spark, home, available_now=True).awaitTermination()
-    return jobs_now(spark, home).select(
+    now = freeze(jobs_now(spark, home))
+    results = job_ops.result_outcome(now).select("id", "result")
+    return now.join(results, "id").select(
         "id", "status", F.col("version").cast("int").alias("version"), "processed_rows",
-        "failed_rows", "last_processed_row", "total_rows",
+        "failed_rows", "last_processed_row", "total_rows", "result",
     )
 
 

@@ -112,12 +112,12 @@ def transition_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_of(events: DataFrame) -> DataFrame:
     """A job per user and day; event types stand for transitions."""
-    kind = F.col("event_type")
+    kind, number = F.col("event_type"), F.col("event_id")
     event = (
         F.when(kind == "signup", "CONFIRM").when(kind == "click", "CLAIM")
-        .when(kind == "view", "FLUSH").when(kind == "purchase", "COMPLETE").otherwise("FAIL")
+        .when((kind == "view") & (number % 7 == 0), "ATTACH").when(kind == "view", "FLUSH")
+        .when(kind == "purchase", "COMPLETE").otherwise("FAIL")
     )
-    number = F.col("event_id")
     return events.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"),
                  F.col("ts").cast("date").cast("string")).alias("job_id"),

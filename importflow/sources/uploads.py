@@ -8,7 +8,7 @@ from importflow.functions import object_key_parts
 
 
 def list_uploads(spark: SparkSession, root: str, pattern: str = "source.csv") -> DataFrame:
-    """(object_key, length) of the objects below ``root``.
+    """(object_key, path, length) of the objects below ``root``.
 
     A missing object has no row, nor has an empty one: Spark's listing leaves it out.  No
     caller tells the two apart.
@@ -17,7 +17,9 @@ def list_uploads(spark: SparkSession, root: str, pattern: str = "source.csv") ->
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern).load(root)
     )
-    return found.select(object_key_parts("path")["object_key"].alias("object_key"), "length")
+    return found.select(
+        object_key_parts("path")["object_key"].alias("object_key"), "path", "length"
+    )
 
 
 def get_objects(spark: SparkSession, paths) -> DataFrame:

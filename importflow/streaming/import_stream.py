@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from importflow.operators.ledger import (
     file_system, import_errors, outcomes_of, read_progress,
 )
-from importflow.operators.lifecycle import claim_gate, current_jobs
+from importflow.operators.jobs import admit_uploads
+from importflow.operators.lifecycle import claim_gate, current_jobs, unpublished_jobs
 from importflow.operators.report import write_reports
 from importflow.operators.skew import filter_by_keys
 from importflow.plans.importer import import_files
-from importflow.schemas import JOBS
+from importflow.schemas import JOB_MESSAGE, JOBS
 from importflow.session import freeze
-from importflow.sources.messages import message_files
+from importflow.sources.messages import message_files, publish
 from importflow.sources.tables import read_table
+from importflow.sources.uploads import list_uploads
 
 LOG_SCHEMA = (
     "job_id string, ts timestamp, event_id bigint, event string, upload_present boolean, "
     "valid_rows bigint, invalid_rows bigint, last_row bigint, batch_id bigint"
 )
-_STEPS = 4      # event numbers per batch: claim, flush, end
+_STEPS = 4      # event numbers per batch: claim, flush, attach, end
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,49 @@ def append_log(spark: SparkSession, home: ImportHome, events: DataFrame, batch_i
     )
 
 
+def _events(rows: DataFrame, event: Column, number: int) -> DataFrame:
+    """Log rows of one kind for ``job_id`` rows, with counters where ``rows`` has them."""
+    counters = ("valid_rows", "invalid_rows", "last_row")
+    missing = {c: F.lit(0).cast("bigint") for c in counters if c not in rows.columns}
+    return rows.withColumns({
+        **missing, "event": event, "event_id": F.lit(number).cast("bigint"),
+        "ts": F.current_timestamp(), "upload_present": F.lit(True),
+    }).select("job_id", "ts", "event_id", "event", "upload_present", *counters)
+
+
+def confirm_uploads(
+    spark: SparkSession, home: ImportHome, asked: DataFrame, number: int, pattern: str = "source.csv"
+) -> DataFrame:
+    """Confirm uploads of ``asked`` (``job_id, org_id``); returns the decision per job.
+
+    Jobs newly queued are logged first and published after, so a message never names a job
+    that is not durably queued; ``publish_missing`` makes up for a loss in between.
+    ``number`` counts confirmations from 1 up; a repeated number replaces its log rows.
+    """
+    jobs = jobs_now(spark, home, without=-number, only=asked.select("job_id"))
+    own = jobs.join(
+        asked.select(F.col("job_id").alias("id"), F.col("org_id")), ["id", "org_id"], "left_semi"
+    )
+    uploads = list_uploads(spark, home.folder("uploads"), pattern).select("path", "length")
+    below = F.substring_index("path", "/uploads/", -1)
+    # The object is the file, or the folder that holds its one file.
+    keys = F.array(below, F.regexp_replace(below, "/[^/]*$", ""))
+    uploads = uploads.select(F.explode(keys).alias("object_key"), "length")
+    decided = freeze(admit_uploads(own, uploads))
+    queued = decided.where("outcome = 'QUEUED'").select(F.col("id").alias("job_id"))
+    append_log(spark, home, _events(queued, F.lit("CONFIRM"), -1), -number)
+    publish(queued.select(F.col("job_id").alias("jobId")), home.folder("messages"))
+    return decided
+
+
+def publish_missing(spark: SparkSession, home: ImportHome) -> DataFrame:
+    """Publish the queued jobs no message names; returns them."""
+    sent = spark.read.schema(JOB_MESSAGE).json(home.folder("messages"))
+    missing = freeze(unpublished_jobs(jobs_now(spark, home), sent))
+    publish(missing, home.folder("messages"))
+    return missing
+
+
 def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> None:
     """One micro-batch.  All of its writes replace what an earlier try of it left behind.
 
@@ -107,26 +152,21 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
     ended = freeze(ended)
     done = ended.where("status = 'COMPLETED'").select("job_id")
 
-    write_reports(import_errors(outcomes_of(spark, ledger, done)), home.folder("reports"))
+    errors = import_errors(outcomes_of(spark, ledger, done))
+    write_reports(errors, home.folder("reports"))
+    reported = errors.select("job_id").distinct()
     ended.where("status = 'FAILED'").select(F.col("job_id").alias("jobId")).write.mode(
         "overwrite"
     ).json(f"{home.folder('dead_letters')}/batch_id={batch_id}")
 
-    def event(rows: DataFrame, name, step: int) -> DataFrame:
-        blank = {c: F.lit(0).cast("bigint") for c in ("valid_rows", "invalid_rows", "last_row")
-                 if c not in rows.columns}
-        return rows.withColumns({
-            **blank, "event": name, "event_id": F.lit(batch_id * _STEPS + step).cast("bigint"),
-            "ts": F.current_timestamp(), "upload_present": F.lit(True),
-        }).select("job_id", "ts", "event_id", "event", "upload_present",
-                  "valid_rows", "invalid_rows", "last_row")
-
     flushed = read_progress(spark, ledger).where(F.col("batch_id") == batch_id).drop("batch_id")
     end = F.when(F.col("status") == "COMPLETED", "COMPLETE").otherwise("FAIL")
     append_log(
         spark, home,
-        event(claimed, F.lit("CLAIM"), 0).unionByName(event(flushed, F.lit("FLUSH"), 1))
-        .unionByName(event(ended.withColumn("end", end), F.col("end"), 2)),
+        _events(claimed, F.lit("CLAIM"), batch_id * _STEPS)
+        .unionByName(_events(flushed, F.lit("FLUSH"), batch_id * _STEPS + 1))
+        .unionByName(_events(reported, F.lit("ATTACH"), batch_id * _STEPS + 2))
+        .unionByName(_events(ended.withColumn("end", end), F.col("end"), batch_id * _STEPS + 3)),
         batch_id,
     )
 

@@ -20,17 +20,17 @@ _JOB_STATE = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("version", T.LongType()),
     T.StructField("processed_rows", T.LongType()), T.StructField("failed_rows", T.LongType()),
     T.StructField("last_processed_row", T.LongType()), T.StructField("total_rows", T.LongType()),
-    T.StructField("updated_us", T.LongType()),
+    T.StructField("updated_us", T.LongType()), T.StructField("report_attached", T.BooleanType()),
 ])
 JOB_ROW = T.StructType([T.StructField("job_id", T.StringType()), *_JOB_STATE.fields])
-NEW_JOB = ("PENDING", 0, 0, 0, 0, None, None)
+NEW_JOB = ("PENDING", 0, 0, 0, 0, None, None, False)
 
 
 def next_job_state(state: tuple, event) -> tuple:
     """One transition; the batch fold in ``operators.lifecycle`` gives the same result."""
-    status, version, processed, failed, last, total, updated = state
+    status, version, processed, failed, last, total, updated, attached = state
     kind = event["event"]
-    before = (status, processed, failed, total)
+    before = (status, processed, failed, total, attached)
     if kind == "CONFIRM" and status == "PENDING" and event["upload_present"]:
         status = "QUEUED"
     elif kind == "CLAIM" and status == "QUEUED":
@@ -39,13 +39,15 @@ def next_job_state(state: tuple, event) -> tuple:
         processed += event["valid_rows"]
         failed += event["invalid_rows"]
         last = event["last_row"]
+    elif kind == "ATTACH":
+        attached = True
     elif kind == "COMPLETE":
         status, total = "COMPLETED", processed + failed
     elif kind == "FAIL" and status != "COMPLETED":
         status = "FAILED"
-    if (status, processed, failed, total) != before:
+    if (status, processed, failed, total, attached) != before:
         version, updated = version + 1, event["ts_us"]
-    return status, version, processed, failed, last, total, updated
+    return status, version, processed, failed, last, total, updated, attached
 
 
 def _in_order(rows: Iterator[Row]) -> list[Row]:

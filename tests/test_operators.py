@@ -131,7 +131,7 @@ def test_admission_against_real_objects(spark, uploads, tmp_path):
     uploads.put("full", "x", org="a")
     uploads.put("empty", "", org="a")
     listed = list_uploads(spark, str(tmp_path))
-    assert {tuple(r) for r in listed.collect()} == {("a/full/source.csv", 1)}
+    assert {(r["object_key"], r["length"]) for r in listed.collect()} == {("a/full/source.csv", 1)}
     assert bytes(get_objects(spark, f"{tmp_path}/a/full/source.csv").first()["content"]) == b"x"
     got = {r["id"]: (r["outcome"], r["status_after"]) for r in job_ops.admit_uploads(jobs, listed).collect()}
     assert got == {"full": ("QUEUED", "QUEUED"), "empty": ("UPLOAD_NOT_FOUND", "PENDING"),
@@ -235,6 +235,7 @@ def test_transition_table(spark):
         "CLAIM": ["PENDING IGNORED", "PROCESSING CHANGED", "PROCESSING SAME", "COMPLETED IGNORED", "FAILED IGNORED"],
         "FLUSH": ["PENDING CHANGED", "QUEUED CHANGED", "PROCESSING CHANGED", "COMPLETED CHANGED", "FAILED CHANGED"],
         "COMPLETE": ["COMPLETED CHANGED", "COMPLETED CHANGED", "COMPLETED CHANGED", "COMPLETED SAME", "COMPLETED CHANGED"],
+        "ATTACH": ["PENDING CHANGED", "QUEUED CHANGED", "PROCESSING CHANGED", "COMPLETED CHANGED", "FAILED CHANGED"],
         "FAIL": ["FAILED CHANGED", "FAILED CHANGED", "FAILED CHANGED", "COMPLETED SAME", "FAILED SAME"],
     }
     rows = []

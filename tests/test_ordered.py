@@ -125,7 +125,7 @@ def test_failure_rate_of_a_hot_key(spark, chunk):
 
 def _log(seed, n=1200):
     rng = random.Random(seed)
-    kinds = ["CONFIRM", "CLAIM", "FLUSH", "FLUSH", "FLUSH", "COMPLETE", "FAIL"]
+    kinds = ["CONFIRM", "CLAIM", "FLUSH", "FLUSH", "ATTACH", "COMPLETE", "FAIL"]
     rows = []
     for i in range(n):
         job = "hot" if rng.random() < 0.3 else f"j{rng.randrange(200)}"
@@ -155,7 +155,8 @@ def test_job_states_step_by_step(spark, limit):
     assert got == decided
     final = job_states(df, limit).withColumn("us", F.unix_micros("updated_at")).collect()
     assert {r["job_id"]: (r["status"], r["version"], r["processed_rows"], r["failed_rows"],
-                          r["last_processed_row"], r["total_rows"], r["us"]) for r in final} == states
+                          r["last_processed_row"], r["total_rows"], r["us"], r["report_attached"])
+            for r in final} == states
 
 
 def test_deep_page_equals_top_k(spark):

@@ -49,7 +49,7 @@ def run(spark, home):
             for r in jobs_now(spark, home).collect()}
 
 
-DONE = {"good": ("COMPLETED", 4, 3, 2, 5), "bad": ("FAILED", 3, 0, 0, None), "lost": ("FAILED", 3, 0, 0, None),
+DONE = {"good": ("COMPLETED", 5, 3, 2, 5), "bad": ("FAILED", 3, 0, 0, None), "lost": ("FAILED", 3, 0, 0, None),
         "empty": ("COMPLETED", 3, 0, 0, 0), "waiting": ("PENDING", 0, 0, 0, None)}
 
 
@@ -82,6 +82,33 @@ def test_a_batch_lost_before_its_log_is_replayed(spark, home, monkeypatch):
     assert run(spark, home) == DONE
 
 
+def test_life_of_a_job(spark, tmp_path):
+    """Create, upload, confirm, lose the message, recover, import, fetch the result."""
+    home = ImportHome(str(tmp_path / "home"))
+    requests = spark.createDataFrame([("j", "org"), ("none", "org")], "id string, org_id string")
+    write_table(job_ops.create_jobs(requests.withColumn("submitted_by", F.lit("u")), F.col("id")),
+                home.folder("jobs"), JOBS)
+    folder = tmp_path / "home" / "uploads" / "org" / "j"
+    folder.mkdir(parents=True)
+    (folder / "source.csv").write_text(FIVE)
+    asked = requests.withColumnRenamed("id", "job_id")
+    foreign = asked.withColumn("org_id", F.lit("other"))
+    assert import_stream.confirm_uploads(spark, home, foreign, 1).collect() == []
+    decided = import_stream.confirm_uploads(spark, home, asked, 2).collect()
+    assert {r["id"]: r["outcome"] for r in decided} == {"j": "QUEUED", "none": "UPLOAD_NOT_FOUND"}
+    again = import_stream.confirm_uploads(spark, home, asked, 3).collect()
+    assert {r["id"]: r["outcome"] for r in again} == {"j": "UNCHANGED", "none": "UPLOAD_NOT_FOUND"}
+    assert import_stream.publish_missing(spark, home).collect() == []
+    for part in (tmp_path / "home" / "messages").glob("*.json"):
+        part.write_text("")
+    assert [r["jobId"] for r in import_stream.publish_missing(spark, home).collect()] == ["j"]
+    run(spark, home)
+    job = jobs_now(spark, home).where("id = 'j'")
+    row = job.first()
+    assert (row["status"], row["processed_rows"], row["failed_rows"], row["total_rows"]) == ("COMPLETED", 3, 2, 5)
+    assert [tuple(r)[2:] for r in job_ops.result_outcome(job).collect()] == [("REPORT", "org/j/errors.csv")]
+
+
 def test_streamed_bucket_equals_the_batch(spark, tmp_path):
     rng = random.Random(7)
     events = spark.createDataFrame(
