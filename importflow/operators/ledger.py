@@ -4,6 +4,8 @@ Layout below the ledger's root: ``rows/batch_id=n`` holds outcomes, ``progress/b
 the per-job counts of the same batch.  The progress folder is written last; its success
 marker is what commits the batch, so readers see records, errors and cursor together or
 not at all.  Replaying a batch takes the marker away, writes both again and sets it anew.
+
+A batch with a negative number -n is a compaction: it stands for all batches below n.
 """
 
 from __future__ import annotations
@@ -57,7 +59,9 @@ def _batch_folder(root: str, kind: str, batch_id: int) -> str:
 def committed_batches(spark: SparkSession, root: str) -> list[int]:
     fs, pattern = file_system(spark, f"{root}/progress/*/_SUCCESS")
     found = fs.globStatus(pattern) or []
-    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
+    batches = [int(s.getPath().getParent().getName().split("=")[1]) for s in found]
+    covered = max((-b for b in batches if b < 0), default=0)
+    return sorted(b for b in batches if b >= covered or b == -covered)
 
 
 def _read(
@@ -140,6 +144,28 @@ def commit_batch(
     counts.write.mode("overwrite").parquet(_batch_folder(root, "progress", batch_id))
 
 
+def compact(spark: SparkSession, root: str, below: int) -> None:
+    """Put the batches below ``below`` together as one, sorted so that job filters skip files.
+
+    Readers see the old batches until the new marker is there, and only the new one from
+    then on, whether or not the old folders are gone yet.  The latest batch may be replayed
+    and must stay out of it.
+    """
+    batches = [b for b in committed_batches(spark, root) if b < below]
+    if len(batches) < 2:
+        return
+    rows = read_ledger(spark, root, only=batches)
+    expected = read_progress(spark, root).where(F.col("batch_id") < below).groupBy("job_id").agg(
+        F.sum(F.col("valid_rows") + F.col("invalid_rows")).alias("expected_rows")
+    )
+    laid = rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+    commit_batch(spark, root, laid, -below, expected)
+    for batch in batches:
+        for kind in ("progress", "rows"):
+            fs, folder = file_system(spark, _batch_folder(root, kind, batch))
+            fs.delete(folder, True)
+
+
 def to_outcomes(validated: DataFrame) -> DataFrame:
     """Ledger columns; an error row keeps its reason only."""
     kept = F.col("outcome") == "VALID"

@@ -357,6 +357,23 @@ def resume_from_cursor(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.after_cursor(rows, held)
 
 
+@query(f"""WITH {CHECKED}
+SELECT job_id, source_row_number, outcome, row_hash,
+       CASE WHEN c_nationkey % 4 < 3 THEN -3 ELSE 3 END AS batch_id FROM checked""")
+def compact_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Four batches, of which the first three are put together."""
+    home = scratch_path(spark, "ledger")
+    rows = validate(derive.contacts(spark, folder))
+    for batch in range(4):
+        mine = rows.where(F.col("c_nationkey") % 4 == batch)
+        ledger.commit_batch(spark, home, ledger.to_outcomes(mine), batch)
+    ledger.compact(spark, home, 3)
+    return ledger.read_ledger(spark, home).select(
+        "job_id", "source_row_number", "outcome", "row_hash",
+        F.col("batch_id").cast("int").alias("batch_id"),
+    )
+
+
 # --- progress ------------------------------------------------------------------------
 
 
@@ -476,8 +493,9 @@ def report_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {JOBS_SQL}
 SELECT id, CAST(org_id AS varchar) AS org_id, submitted_by, job_type, 'PENDING' AS status,
-       org_id || '/u' || id || '/source.csv' AS source_object_key, 0 AS processed_rows,
-       0 AS failed_rows, 0 AS last_processed_row, 0 AS version, CAST(NULL AS bigint) AS total_rows,
+       org_id || '/u' || id || '/source.csv' AS source_object_key,
+       CAST(0 AS bigint) AS processed_rows, CAST(0 AS bigint) AS failed_rows,
+       CAST(0 AS bigint) AS last_processed_row, CAST(0 AS bigint) AS version, CAST(NULL AS bigint) AS total_rows,
        made AS created_at FROM jobs""")
 def job_create(spark: SparkSession, folder: str) -> DataFrame:
     requests = derive.jobs(spark, folder).select("id", "org_id", "submitted_by", "created_at")
@@ -643,7 +661,8 @@ def null_profile(spark: SparkSession, folder: str) -> DataFrame:
         {{'c': 'email', 'n': length(email), 'm': 30}},
         {{'c': 'first_name', 'n': length(first_name), 'm': 5}},
         {{'c': 'phone', 'n': length(phone), 'm': 10}}]) AS f FROM contacts)
-SELECT job_id, source_row_number, f.c AS column_name, f.n AS value_length, f.m AS max_length
+SELECT job_id, source_row_number, f.c AS column_name, CAST(f.n AS integer) AS value_length,
+       f.m AS max_length
 FROM v WHERE f.n > f.m""")
 def length_check(spark: SparkSession, folder: str) -> DataFrame:
     limits = {"email": 30, "first_name": 5, "phone": 10}

@@ -24,6 +24,13 @@ RECORD_BYTES = 256 * 1024 * 1024     # a longer record cannot be held and fails
 # A valid phone is far below its limit, so only the other fields can be too long.
 _LONG_LINE = min(RECORD_LENGTHS[f] for f in CONTACT_FIELDS if f != "phone")
 
+# --- fixed values -----------------------------------------------------------------
+BLANK_NAME = "A header name is missing in ["
+TEXT_AFTER_QUOTE = "invalid character between encapsulated token and delimiter"
+OPEN_QUOTE = "EOF reached before encapsulated token finished"
+# ----------------------------------------------------------------------------------
+RECORD_TOO_LONG = "record too long"
+
 # One field: quoted (blanks may follow the closing quote), or bare text up to the comma.
 # All loops are possessive, so matching needs no backtracking and no stack.
 _BLANK = r"\p{javaWhitespace}*+"
@@ -121,7 +128,7 @@ def _with_header(files: DataFrame) -> DataFrame:
         *[c for c in files.columns if c != "header"],
         *[position(f) for f in CONTACT_FIELDS],
         listed.alias("header_names"),
-        F.when(blank, F.concat(F.lit("A header name is missing in ["),
+        F.when(blank, F.concat(F.lit(BLANK_NAME),
                                F.array_join("names", ", "), F.lit("]"))).alias("header_error"),
     )
 
@@ -289,23 +296,20 @@ def _multi_line(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
 
     record = ["file_path", "source_row_number"]
-    broken = numbered.where("bad").select(
-        *record, F.lit("invalid character between encapsulated token and delimiter").alias("why")
+    broken = (
+        numbered.where("bad or several").groupBy(*record)
+        .agg(F.max("bad").alias("bad"), F.sum(F.octet_length("line")).alias("bytes"))
+        .where(F.col("bad") | (F.col("bytes") > RECORD_BYTES))
+        .select(*record, F.when(F.col("bad"), TEXT_AFTER_QUOTE).otherwise(RECORD_TOO_LONG).alias("why"))
     )
     unclosed = (
         blocks.groupBy("file_path").agg(
             F.max_by("state_out", "block_start").alias("open"),
             (F.sum("lines") - 1).alias("source_row_number"),
-        ).where("open = 1")
-        .select(*record, F.lit("EOF reached before encapsulated token finished").alias("why"))
-    )
-    oversize = (
-        numbered.where("several").groupBy(*record)
-        .agg(F.sum(F.octet_length("line")).alias("bytes")).where(F.col("bytes") > RECORD_BYTES)
-        .select(*record, F.lit("record too long").alias("why"))
+        ).where("open = 1").select(*record, F.lit(OPEN_QUOTE).alias("why"))
     )
     failures = freeze(
-        broken.unionByName(unclosed).unionByName(oversize).groupBy("file_path").agg(
+        unclosed.unionByName(broken).groupBy("file_path").agg(
             F.min("source_row_number").alias("failed_row"),
             F.min_by("why", "source_row_number").alias("failed_why"),
         )

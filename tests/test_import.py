@@ -110,6 +110,41 @@ def test_crash_before_the_marker(spark, uploads, tmp_path, monkeypatch):
     assert counters(spark, root) == {"e": (4, 1, 5)}
 
 
+def test_compaction(spark, uploads, tmp_path, monkeypatch):
+    root = str(tmp_path / "ledger")
+    for batch, name in enumerate("abcd"):
+        uploads.put(name, FIVE)
+        run(spark, uploads, root, batch)
+    before, told = stored(spark, root), counters(spark, root)
+
+    def crash(*args, **kw):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:        # lost before the marker
+        m.setattr(ledger, "batch_counts", crash)
+        with pytest.raises(RuntimeError):
+            ledger.compact(spark, root, 3)
+    assert ledger.committed_batches(spark, root) == [0, 1, 2, 3] and stored(spark, root) == before
+    real, calls = ledger.file_system, []
+
+    def lose_later(spark, path):
+        calls.append(path)
+        if "batch_id=0" in path:            # lost before the old folders are gone
+            raise RuntimeError("lost")
+        return real(spark, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(ledger, "file_system", lose_later)
+        with pytest.raises(RuntimeError):
+            ledger.compact(spark, root, 3)
+    assert ledger.committed_batches(spark, root) == [-3, 3]
+    assert stored(spark, root) == before and counters(spark, root) == told
+    run(spark, uploads, root, 3)            # the last batch can still be replayed
+    ledger.compact(spark, root, 4)
+    assert ledger.committed_batches(spark, root) == [-4]
+    assert stored(spark, root) == before and counters(spark, root) == told
+
+
 @pytest.mark.parametrize("chunk_rows", [1, 2, 100])
 def test_chunked_commits_end_alike(spark, uploads, tmp_path, chunk_rows, monkeypatch):
     uploads.put("e", FIVE)
