@@ -125,7 +125,10 @@ def admit_uploads(jobs: DataFrame, uploads: DataFrame) -> DataFrame:
 
 
 def create_jobs(requests: DataFrame, upload_id: Column | None = None, now: Column | None = None) -> DataFrame:
-    """One pending job per request row (``id`` if given, ``org_id``, ``submitted_by``)."""
+    """One pending job per request row (``id`` if given, ``org_id``, ``submitted_by``).
+
+    Ids and keys are drawn anew whenever the result is evaluated: write it before use.
+    """
     now = F.current_timestamp() if now is None else now
     job_id = F.col("id").cast("string") if "id" in requests.columns else F.uuid()
     text = lambda: F.lit(None).cast("string")

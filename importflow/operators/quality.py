@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from importflow.functions import trim_to_null
 from importflow.operators.ledger import delete_jobs
+from importflow.operators.skew import filter_by_keys
 from importflow.operators.validate import EMAIL_PATTERN
 
 # --- fixed values -----------------------------------------------------------------
@@ -40,6 +41,14 @@ def orphans(child: DataFrame, foreign: str, parent: DataFrame, primary: str) ->
     return held.join(parent.select(F.col(primary).alias("missing")), "missing", "left_anti")
 
 
+def orphan_records(
+    child: DataFrame, foreign: str, parent: DataFrame, primary: str, by: list[str], **limits
+) -> DataFrame:
+    """The child rows themselves; ``by`` are columns that tell the rows of one key apart."""
+    missing = orphans(child, foreign, parent, primary).select(F.col("missing").alias(foreign))
+    return filter_by_keys(child, missing, foreign, by, keep=True, **limits)
+
+
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, nulls, all_rows) per column that must not be NULL; one pass."""
     counted = df.agg(

@@ -637,6 +637,14 @@ def orphan_rows(spark: SparkSession, folder: str) -> DataFrame:
     return quality.orphans(table(spark, folder, "orders"), "o_custkey", parents, "c_custkey")
 
 
+@query("""SELECT o_orderkey, o_custkey FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)""")
+def orphan_records(spark: SparkSession, folder: str) -> DataFrame:
+    parents = table(spark, folder, "customer").where("c_custkey % 7 != 0")
+    children = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    return quality.orphan_records(children, "o_custkey", parents, "c_custkey", ["o_orderkey"])
+
+
 @query("""SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, count(*) AS rows_with_value
 FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY o_orderstatus
 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders

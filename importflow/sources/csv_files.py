@@ -20,7 +20,7 @@ from importflow.schemas import CONTACT_FIELDS, RECORD_LENGTHS
 from importflow.session import freeze, store
 
 PRUNE_FILES = 1_000                  # up to here a file list goes into the scan itself
-RECORD_BYTES = 256 * 1024 * 1024     # a longer record cannot be held and fails its file
+RECORD_BYTES = 1 << 30               # a longer record does not fit in a row and fails its file
 # A valid phone is far below its limit, so only the other fields can be too long.
 _LONG_LINE = min(RECORD_LENGTHS[f] for f in CONTACT_FIELDS if f != "phone")
 

@@ -187,6 +187,14 @@ def test_field_errors(spark):
     assert list(got[1]) == ["organizationName", "email", "password"]
 
 
+def test_orphan_records(spark):
+    child = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 40), (None, 41)], "f int, id int")
+    parent = spark.createDataFrame([(2,)], "p int")
+    for limits in ({}, {"piece": 5, "broadcast_rows": 0}):
+        rows = quality.orphan_records(child, "f", parent, "p", ["id"], **limits)
+        assert sorted(r["id"] for r in rows.collect()) == list(range(40))
+
+
 def test_cascade(spark):
     jobs = spark.createDataFrame([("a",), ("b",)], "id string")
     rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "job_id string, source_row_number bigint")
