@@ -10,6 +10,7 @@ from importflow.functions import trim_to_null
 from importflow.operators.ledger import delete_jobs
 from importflow.operators.skew import filter_by_keys
 from importflow.operators.validate import EMAIL_PATTERN
+from importflow.schemas import CONSTRAINTS, TABLES
 
 # --- fixed values -----------------------------------------------------------------
 NOT_BLANK = "must not be blank"
@@ -86,6 +87,47 @@ def too_long_values(df: DataFrame, lengths: dict[str, int], keys: list[str]) ->
     return df.select(*keys, F.explode(F.array_compact(pairs)).alias("p")).select(*keys, "p.*")
 
 
+def table_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every declared constraint checked on the tables given, foreign keys among them.
+
+    Columns a table does not have are not checked.  Returns ``table_name, rule, column_name,
+    value, violations``; the value is NULL where a rule is counted per column.
+    """
+    found = []
+
+    def add(table: str, rule: str, df: DataFrame, column, value, violations: str) -> None:
+        found.append(df.select(
+            F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
+            (F.lit(column) if isinstance(column, str) else column).alias("column_name"),
+            value.cast("string").alias("value"), F.col(violations).cast("bigint").alias("violations"),
+        ))
+
+    for name, df in tables.items():
+        rules, has = CONSTRAINTS[name], set(df.columns)
+        needed = [f.name for f in TABLES[name].fields if not f.nullable and f.name in has]
+        nulls = null_counts(df, needed).where("nulls > 0")
+        add(name, "NOT NULL", nulls, F.col("column_name"), F.lit(None), "nulls")
+        for key in rules["unique"]:
+            parts = {f"k{i}": F.expr(e) for i, e in enumerate(key)}
+            if not {e.removeprefix("lower(").removesuffix(")") for e in key} <= has:
+                continue
+            add(name, "UNIQUE", duplicate_keys(df, **parts), ", ".join(key),
+                F.concat_ws(", ", *[F.col(p).cast("string") for p in parts]), "rows_with_key")
+        for column, parent in rules.get("foreign", {}).items():
+            if column in has and parent in tables:
+                add(name, "FOREIGN KEY", orphans(df, column, tables[parent], "id"), column,
+                    F.col("missing"), "child_rows")
+        domains = {c: v for c, v in rules.get("domains", {}).items() if c in has}
+        if domains:
+            add(name, "CHECK", outside_domain(df, domains), F.col("column_name"), F.col("value"),
+                "rows_with_value")
+        lengths = {c: n for c, n in rules.get("lengths", {}).items() if c in has}
+        if lengths:
+            long = too_long_values(df, lengths, []).groupBy("column_name").count()
+            add(name, "LENGTH", long, F.col("column_name"), F.lit(None), "count")
+    return reduce(DataFrame.unionByName, found)
+
+
 def cascade_delete(
     jobs: DataFrame, records: DataFrame, errors: DataFrame, deleted: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from importflow.operators.ordered import Timeline, fold_in_order
-from importflow.schemas import FAILURE_MIN_CALLS, FAILURE_PERCENT, FAILURE_WINDOW, USER_BUCKET
+from importflow.schemas import (
+    ADDRESS_BUCKET, FAILURE_MIN_CALLS, FAILURE_PERCENT, FAILURE_WINDOW, USER_BUCKET,
+)
 
 
 @dataclass(frozen=True)
@@ -121,6 +123,16 @@ def token_bucket(
     )
 
 
+def throttle_users(requests: DataFrame, key: str = "user_id", **limits) -> DataFrame:
+    """The limit on a signed-in user's requests."""
+    return token_bucket(requests, key, *USER_BUCKET, **limits)
+
+
+def throttle_addresses(sign_ins: DataFrame, key: str = "address", **limits) -> DataFrame:
+    """The stricter limit on an address's attempts to sign in."""
+    return token_bucket(sign_ins, key, *ADDRESS_BUCKET, **limits)
+
+
 def decision_schema(key: T.StructField) -> T.StructType:
     return T.StructType([
         T.StructField(key.name, key.dataType), T.StructField("event_id", T.LongType()),

@@ -679,6 +679,65 @@ def length_check(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""WITH organizations AS (
+    SELECT n_nationkey AS id, CASE WHEN n_nationkey % 10 = 3 THEN NULL ELSE n_name END AS name FROM nation
+), users AS (
+    SELECT c_custkey AS id, CASE WHEN c_custkey % 20 = 1 THEN 'Same' || (c_custkey % 3) || '@x.co'
+                WHEN c_custkey % 20 = 2 THEN upper('same' || (c_custkey % 3) || '@x.co')
+                WHEN c_custkey % 50 = 5 THEN repeat('x', 300) || c_custkey
+                ELSE c_name || '@x.co' END AS email,
+           c_nationkey + CASE WHEN c_custkey % 30 = 0 THEN 100 ELSE 0 END AS org_id,
+           CASE c_custkey % 4 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'MEMBER' WHEN 2 THEN 'GUEST' END AS role
+    FROM customer
+), jobs AS (
+    SELECT o_orderkey AS id, o_custkey AS submitted_by,
+           CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'OPEN' ELSE 'PROCESSING' END AS status
+    FROM orders
+), records AS (SELECT l_orderkey AS job_id, l_linenumber AS source_row_number FROM lineitem)
+SELECT 'organizations' AS table_name, 'NOT NULL' AS rule, 'name' AS column_name,
+       CAST(NULL AS varchar) AS value, count(*) AS violations
+FROM organizations WHERE name IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'users', 'NOT NULL', 'role', NULL, count(*) FROM users WHERE role IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'users', 'UNIQUE', 'lower(email)', lower(email), count(*) FROM users
+    GROUP BY lower(email) HAVING count(*) > 1
+UNION ALL SELECT 'users', 'FOREIGN KEY', 'org_id', CAST(org_id AS varchar), count(*) FROM users
+    WHERE org_id NOT IN (SELECT id FROM organizations) GROUP BY org_id
+UNION ALL SELECT 'users', 'CHECK', 'role', role, count(*) FROM users WHERE role = 'GUEST' GROUP BY role
+UNION ALL SELECT 'users', 'LENGTH', 'email', NULL, count(*) FROM users WHERE length(email) > 255
+    HAVING count(*) > 0
+UNION ALL SELECT 'jobs', 'FOREIGN KEY', 'submitted_by', CAST(submitted_by AS varchar), count(*) FROM jobs
+    WHERE submitted_by NOT IN (SELECT id FROM users) GROUP BY submitted_by
+UNION ALL SELECT 'jobs', 'CHECK', 'status', status, count(*) FROM jobs WHERE status = 'OPEN' GROUP BY status
+UNION ALL SELECT 'imported_records', 'UNIQUE', 'job_id, source_row_number',
+    job_id || ', ' || source_row_number, count(*) FROM records GROUP BY job_id, source_row_number
+    HAVING count(*) > 1
+UNION ALL SELECT 'imported_records', 'FOREIGN KEY', 'job_id', CAST(job_id AS varchar), count(*) FROM records
+    WHERE job_id NOT IN (SELECT id FROM jobs) GROUP BY job_id""")
+def table_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """All declared constraints on tables with planted faults."""
+    nation, key = F.col("n_nationkey"), F.col("c_custkey")
+    same = F.concat(F.lit("Same"), (key % 3).cast("string"), F.lit("@x.co"))
+    status = F.col("o_orderstatus")
+    return quality.table_violations({
+        "organizations": table(spark, folder, "nation").select(
+            nation.alias("id"), F.when(nation % 10 != 3, F.col("n_name")).alias("name")),
+        "users": table(spark, folder, "customer").select(
+            key.alias("id"),
+            F.when(key % 20 == 1, same).when(key % 20 == 2, F.upper(same))
+            .when(key % 50 == 5, F.concat(F.repeat(F.lit("x"), 300), key.cast("string")))
+            .otherwise(F.concat("c_name", F.lit("@x.co"))).alias("email"),
+            (F.col("c_nationkey") + F.when(key % 30 == 0, 100).otherwise(0)).alias("org_id"),
+            F.when(key % 4 == 0, "ADMIN").when(key % 4 == 1, "MEMBER").when(key % 4 == 2, "GUEST")
+            .alias("role")),
+        "jobs": table(spark, folder, "orders").select(
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("submitted_by"),
+            F.when(status == "F", "COMPLETED").when(status == "O", "OPEN").otherwise("PROCESSING")
+            .alias("status")),
+        "imported_records": table(spark, folder, "lineitem").select(
+            F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("source_row_number")),
+    })
+
+
 @query(f"""WITH {CHECKED}, left_over AS (SELECT * FROM checked WHERE c_nationkey % 5 <> 0)
 SELECT 'jobs' AS table_name, job_id, CAST(NULL AS bigint) AS source_row_number
 FROM (SELECT DISTINCT job_id FROM left_over)

@@ -38,6 +38,11 @@ IMPORT_ERRORS = _table(
     ("reason", S, False), ("created_at", TS, False),
 )
 
+TABLES = {
+    "organizations": ORGANIZATIONS, "users": USERS, "jobs": JOBS,
+    "imported_records": IMPORTED_RECORDS, "import_errors": IMPORT_ERRORS,
+}
+
 JOB_MESSAGE = _table(("jobId", S, True))
 
 # One row per source row: records and errors are two filters on this table, so one
@@ -60,6 +65,34 @@ RECORD_LENGTHS = {
     "email": 320, "first_name": 255, "last_name": 255, "phone": 50, "row_hash": 64,
 }
 
+# Per table: unique keys (an entry in lower() form ignores case), foreign keys, value lists
+# and lengths.  What must not be NULL is in the table shapes above.
+CONSTRAINTS = {
+    "organizations": {"unique": [["id"]], "lengths": {"name": 255}},
+    "users": {
+        "unique": [["id"], ["lower(email)"]],
+        "foreign": {"org_id": "organizations"},
+        "domains": {"role": ROLES},
+        "lengths": {"email": 255, "password_hash": 255, "role": 32},
+    },
+    "jobs": {
+        "unique": [["id"]],
+        "foreign": {"org_id": "organizations", "submitted_by": "users"},
+        "domains": {"job_type": JOB_TYPES, "status": JOB_STATUSES},
+        "lengths": {
+            "job_type": 32, "status": 32, "source_object_key": 1024,
+            "result_object_key": 1024, "error_report_object_key": 1024,
+        },
+    },
+    "imported_records": {
+        "unique": [["id"], ["job_id", "source_row_number"]],
+        "foreign": {"job_id": "jobs"}, "lengths": RECORD_LENGTHS,
+    },
+    "import_errors": {
+        "unique": [["id"], ["job_id", "source_row_number"]], "foreign": {"job_id": "jobs"},
+    },
+}
+
 JOB_DEFAULTS = {
     "status": "PENDING", "job_type": "CSV_IMPORT", "processed_rows": 0, "failed_rows": 0,
     "last_processed_row": 0, "retry_count": 0, "version": 0,

@@ -161,7 +161,7 @@ def _profile(stamped: DataFrame) -> DataFrame:
     though the buffer holds a string.
     """
     odd = _has_quote("line") & ~F.col("line").rlike(_WHOLE)
-    long_line = F.length("line") > _LONG_LINE
+    long_line = F.octet_length("line") > _LONG_LINE      # never fewer bytes than characters
     blocks = stamped.groupBy("task", "file_path", "block_start").agg(
         F.min("place").alias("first_place"),
         F.count(F.lit(1)).alias("lines"),

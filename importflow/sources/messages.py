@@ -37,7 +37,7 @@ def publish(jobs: DataFrame, folder: str) -> None:
 
 
 def table_stream(
-    spark: SparkSession, folder: str, pattern: str, schema: T.StructType, bytes_per_batch: int = 1 << 30
+    spark: SparkSession, folder: str, pattern: str, schema: T.StructType, bytes_per_batch: int = 64 << 20
 ) -> DataFrame:
     """Stream of the Parquet files in ``folder``; a batch takes a bounded number of bytes."""
     return (

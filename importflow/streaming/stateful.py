@@ -50,10 +50,6 @@ def next_job_state(state: tuple, event) -> tuple:
     return status, version, processed, failed, last, total, updated, attached
 
 
-def _in_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: (r["ts_us"], r["event_id"]))
-
-
 class JobStateProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("job", _JOB_STATE)
@@ -61,7 +57,7 @@ class JobStateProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.state.get()     # None for a new key
         state = NEW_JOB if held is None else tuple(held)
-        for event in _in_order(rows):
+        for event in sorted(rows, key=lambda r: (r["ts_us"], r["event_id"])):
             state = next_job_state(state, event)
         self.state.update(state)
         yield Row(*JOB_ROW.names)(key[0], *state)
@@ -95,14 +91,13 @@ class BucketProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         full_at, seen = self.state.get() or (None, None)
-        named, out = Row(*self.columns), []
-        for row in _in_order(rows):
+        named = Row(*self.columns)
+        for ts_us, event_id in sorted((r["ts_us"], r["event_id"]) for r in rows):
             # An event older than the last one seen refills nothing.
-            seen = row["ts_us"] if seen is None else max(seen, row["ts_us"])
+            seen = ts_us if seen is None else max(seen, ts_us)
             full_at, *decision = self.bucket.step(full_at, seen)
-            out.append(named(key[0], row["event_id"], *decision))
+            yield named(key[0], event_id, *decision)
         self.state.update((full_at, seen))
-        yield from out
 
     def close(self) -> None:
         pass

@@ -89,6 +89,15 @@ def test_three_pass_and_the_fourth_waits(spark):
     assert got == {0: (True, 2, 0), 1: (True, 1, 0), 2: (True, 0, 0), 3: (False, 0, 20), 4: (True, 2, 0)}
 
 
+def test_default_limits(spark):
+    from importflow.operators.throttle import throttle_addresses, throttle_users
+
+    df = spark.range(150).select(F.lit("k").alias("user_id"), F.lit("k").alias("address"),
+                                 F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(0)).alias("ts"))
+    for throttled, capacity in ((throttle_users(df), 100), (throttle_addresses(df), 10)):
+        assert throttled.where("allowed").count() == capacity
+
+
 def test_bucket_pieces_stay_few():
     """The map that stands for a segment does not grow with its events."""
     from importflow.operators.throttle import BucketFold
