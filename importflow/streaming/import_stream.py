@@ -122,8 +122,10 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
     keyed = freeze(claimed.join(
         jobs.select(F.col("id").alias("job_id"), "source_object_key"), "job_id"
     ))
-    claimed = keyed.select("job_id")
     keys = [r["source_object_key"] for r in keyed.collect()]
+    if not keys:
+        return      # only redeliveries and unknown jobs
+    claimed = keyed.select("job_id")
     fs, _ = file_system(spark, home.root)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
     there = [k for k in keys if fs.exists(hadoop_path(f"{home.folder('uploads')}/{k}"))]
