@@ -117,7 +117,11 @@ def number_rows(
 
 
 class Fold(Protocol):
-    """A sequential calculation over one column of the rows of one key."""
+    """A sequential calculation over one column of the rows of one key.
+
+    ``unknown``, ``extend`` and ``close`` build what a segment does to any start state, of a
+    size that does not grow with the segment; ``resolve`` applies it to one.
+    """
 
     reads: str                  # the column it reads
     gives: list[str]            # the columns it adds, one tuple per row
@@ -126,6 +130,7 @@ class Fold(Protocol):
     def rows(self, state: Any, values: list) -> tuple[Any, list[tuple]]: ...
     def unknown(self) -> Any: ...
     def extend(self, summary: Any, values: list) -> Any: ...
+    def close(self, summary: Any) -> Any: ...
     def resolve(self, summary: Any, state: Any) -> Any: ...
 
 
@@ -212,6 +217,7 @@ def _start_states(laid: DataFrame, key: str, fold: Fold) -> dict[int, Any]:
             else:
                 state, _ = fold.rows(state, part[fold.reads].tolist())
         if segment is not None:
+            state = fold.close(state) if inner else state
             yield pd.DataFrame({"segment": [segment], "state": [pickle.dumps(state)]})
 
     found = {

@@ -99,6 +99,9 @@ class BucketFold:
             pieces = _apply_event(pieces, top, ts_us * bucket.refill, slack, bucket.period_us)
         return top, pieces
 
+    def close(self, summary):
+        return summary
+
     def resolve(self, summary, state):
         for first, moves, value in reversed(summary[1]):
             if first <= state:

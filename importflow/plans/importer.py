@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from importflow.operators.ledger import (
     batch_counts, commit_batch, cursors, read_progress, require_rows, to_outcomes,
 )
+from importflow.operators.flushes import last_flush
 from importflow.operators.skew import checked_broadcast
 from importflow.operators.validate import pick_fields, too_long, validate
-from importflow.schemas import COMMIT_ROWS
 from importflow.session import freeze, scratch_path
 from importflow.sources.csv_files import ContactFiles, read_contact_files
 
@@ -25,8 +25,8 @@ def validate_files(
     """(validated rows to commit, files with the failure that stops them, if any).
 
     ``assign`` adds ``job_id`` to the table of files.  A file fails at its first record that
-    is no CSV, or that is valid but too long for the record table; of such a file only whole
-    commits of COMMIT_ROWS rows before the failure are kept.
+    is no CSV, or that is valid but too long for the record table; of such a file only what
+    a row-by-row importer commits before the failure is kept.
     """
     def describe(files: DataFrame) -> DataFrame:
         named = assign(files)
@@ -59,11 +59,16 @@ def validate_files(
     ).first()
     if told["files"] != told["jobs"]:
         raise ValueError("a job has more than one source file, or a file has no job")
-    # Of a file that fails, whole commits before the failure are kept.
-    whole = F.floor((F.col("failed_row") - 1) / COMMIT_ROWS) * COMMIT_ROWS
-    failed = F.col("failed_row").isNotNull()
-    files = files.withColumn("kept_to", F.when(failed, F.greatest(whole, F.lit(0))))
+    files = files.withColumn("kept_to", F.lit(None).cast("bigint"))
     if told["failed"]:
+        # Of a file that fails, the commits before the failure are kept.
+        failing = files.where("failed_row is not null").select("file_path", "failed_row")
+        before = rows.join(checked_broadcast(failing), "file_path").where(
+            F.col("source_row_number") < F.col("failed_row")
+        )
+        files = files.drop("kept_to").join(last_flush(before, "file_path"), "file_path", "left")
+        kept = F.when(F.col("failed_row").isNotNull(), F.coalesce("flushed_to", "cursor"))
+        files = freeze(files.withColumn("kept_to", kept).drop("flushed_to"))
         stopped = files.where("kept_to is not null").select("file_path", "kept_to")
         rows = rows.join(checked_broadcast(stopped), "file_path", "left").where(
             F.col("kept_to").isNull() | (F.col("source_row_number") <= F.col("kept_to"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from importflow.operators.skew import BROADCAST_ROWS, checked_broadcast, has_at_most
+from importflow.operators.skew import checked_broadcast, has_at_most
 from importflow.schemas import CONTACT_FIELDS, RECORD_LENGTHS
 from importflow.session import freeze, store
 

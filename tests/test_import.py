@@ -174,14 +174,17 @@ def test_poison_rows(spark, uploads, tmp_path):
     uploads.put("long", HEADER + row * 1100 + f"a@x.co,{'x' * 256},B,\n" + row * 10)
     uploads.put("long_invalid", HEADER + row + f",{'x' * 300},B,\n" + row)   # never stored
     uploads.put("broken", HEADER + row * 600 + 'a@x.co,"A"x,B,\n' + row)
+    mixed = (row * 2 + ",A,B,\n") * 800      # rows 749, 1499 and 2249 are each a 500th valid one
+    uploads.put("mixed", HEADER + mixed + 'a@x.co,"A"x,B,\n')
     uploads.put("fits", HEADER + f"a@x.co,{'x' * 255},B,\n")
     uploads.put("blank_name", "email,,last_name,phone\n" + row)
     root = str(tmp_path / "ledger")
     assert run(spark, uploads, root) == {
         "long": ("FAILED", 1101), "long_invalid": ("COMPLETED", None), "broken": ("FAILED", 601),
-        "fits": ("COMPLETED", None), "blank_name": ("FAILED", 1)}
+        "mixed": ("FAILED", 2401), "fits": ("COMPLETED", None), "blank_name": ("FAILED", 1)}
     assert counters(spark, root) == {
-        "long": (1000, 0, 1000), "long_invalid": (2, 1, 3), "broken": (500, 0, 500), "fits": (1, 0, 1)}
+        "long": (1000, 0, 1000), "long_invalid": (2, 1, 3), "broken": (500, 0, 500), "fits": (1, 0, 1),
+        "mixed": (1500, 749, 2249)}
 
 
 def test_one_file_per_job(spark, uploads, tmp_path):

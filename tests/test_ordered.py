@@ -218,3 +218,37 @@ def test_broadcast_only_what_was_counted(spark, monkeypatch):
     df = spark.range(100)
     assert skew.checked_broadcast(df, 100) is not df
     assert skew.checked_broadcast(df, 99) is df
+
+
+@pytest.mark.parametrize("share", [0.02, 0.5, 0.97])
+def test_last_flush_in_segments(spark, share):
+    from importflow.operators.flushes import last_flush
+
+    rng = random.Random(share)
+    rows, wanted = [], {}
+    for key, count in (("hot", 3000), ("b", 40), ("c", 3), ("d", 700)):
+        good = bad = 0
+        for n in range(5, count + 5):
+            valid = rng.random() < share
+            good, bad = good + valid, bad + (not valid)
+            if good == 7 or bad == 7:
+                good = bad = 0
+                wanted[key] = n
+            rows.append((key, n, "VALID" if valid else "INVALID"))
+    df = table(spark, rows, "k string, source_row_number bigint, outcome string")
+    for limit in (60, 100_000):
+        got = {r["k"]: r["flushed_to"] for r in last_flush(df, "k", 7, limit).collect()}
+        assert got == wanted
+
+
+def test_flush_summary_stands_for_its_rows():
+    from importflow.operators.flushes import FlushFold
+
+    rng, fold = random.Random(9), FlushFold(6)
+    for count in (1, 5, 11, 60, 400):
+        values = [rng.random() < 0.6 for _ in range(count)]
+        summary = fold.close(fold.extend(fold.extend(fold.unknown(), values[:3]), values[3:]))
+        for good in range(6):
+            for bad in range(6):
+                end, _ = fold.rows((good, bad), values)
+                assert fold.resolve(summary, (good, bad)) == end
