@@ -298,7 +298,7 @@ def _multi_line(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     record = ["file_path", "source_row_number"]
     broken = (
         numbered.where("bad or several").groupBy(*record)
-        .agg(F.max("bad").alias("bad"), F.sum(F.octet_length("line")).alias("bytes"))
+        .agg(F.max("bad").alias("bad"), F.sum(F.octet_length("line") + F.octet_length("eol")).alias("bytes"))
         .where(F.col("bad") | (F.col("bytes") > RECORD_BYTES))
         .select(*record, F.when(F.col("bad"), TEXT_AFTER_QUOTE).otherwise(RECORD_TOO_LONG).alias("why"))
     )

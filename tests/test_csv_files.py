@@ -84,6 +84,15 @@ def test_files_that_fail(spark, uploads):
     assert files["blank_name"]["failed_why"] == "A header name is missing in [email, , last_name]"
 
 
+def test_a_record_beyond_the_limit_fails_its_file(spark, uploads, monkeypatch):
+    monkeypatch.setattr(csv_files, "RECORD_BYTES", 60)
+    uploads.put("x", HEADER + 'a@b.co,"A\nB",C,\nb@b.co,"' + "y\n" * 40 + '",C,\nc@b.co,A,B,\n')
+    found = read_contact_files(spark, uploads.pattern, _upload_of)
+    assert found.files.first()["failed_row"] == 2
+    assert found.files.first()["failed_why"] == csv_files.RECORD_TOO_LONG
+    assert [r["source_row_number"] for r in found.rows.collect()] == [1]
+
+
 def test_volume(spark, uploads):
     uploads.put("big", HEADER + "".join(
         f"user{i}@example.com,First{i},Last{i},\n" for i in range(1, 50_001)))
