@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from importflow.llm import language, quality_rules, substrings
+from importflow.llm import digest, language, lengths, packing, quality_rules, substrings
 from importflow.session import store
 
 
@@ -12,6 +12,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_hilbert_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op5_quartile_digest(spark, sf_dir):
+    return digest.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_lengths(spark, sf_dir):
+    return lengths.answers(store(lengths.histogram(_table(spark, sf_dir, "documents")), "lengths"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -30,6 +42,9 @@ def op10_quality_rules(spark, sf_dir):
 WORD = r"[^\x20\x09-\x0D]+"
 
 QUERIES = {
+    "op4_hilbert_packing": op4_hilbert_packing,
+    "op5_quartile_digest": op5_quartile_digest,
+    "op7_token_lengths": op7_token_lengths,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
