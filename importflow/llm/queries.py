@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from importflow.llm import digest, language, lengths, packing, quality_rules, substrings
+from importflow.llm import digest, language, lengths, mixing, packing, quality_rules, substrings
 from importflow.session import store
 
 
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ipf_mixing(spark, sf_dir):
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_quality_rules(spark, sf_dir):
 WORD = r"[^\x20\x09-\x0D]+"
 
 QUERIES = {
+    "op1_ipf_mixing": op1_ipf_mixing,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op5_quartile_digest": op5_quartile_digest,
     "op7_token_lengths": op7_token_lengths,
