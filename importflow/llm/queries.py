@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from importflow.llm import digest, language, lengths, mixing, packing, quality_rules, substrings
+from importflow.llm import digest, html_text, language, lengths, mixing, packing, quality_rules, secrets, substrings
 from importflow.session import store
 
 
@@ -16,6 +16,10 @@ def op1_ipf_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_wrapper_induction(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_hilbert_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,11 @@ def op5_quartile_digest(spark, sf_dir):
     return digest.compare_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op6_crf_secrets(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    return secrets.summary(secrets.scan(documents, secrets.learn(documents)))
+
+
 def op7_token_lengths(spark, sf_dir):
     return lengths.answers(store(lengths.histogram(_table(spark, sf_dir, "documents")), "lengths"))
 
@@ -47,8 +56,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 QUERIES = {
     "op1_ipf_mixing": op1_ipf_mixing,
+    "op2_wrapper_induction": op2_wrapper_induction,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op5_quartile_digest": op5_quartile_digest,
+    "op6_crf_secrets": op6_crf_secrets,
     "op7_token_lengths": op7_token_lengths,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
