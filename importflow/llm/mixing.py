@@ -44,18 +44,18 @@ def measure(unit: pa.RecordBatch, text: str) -> dict[str, np.ndarray]:
     for bit in range(TOPIC_BITS):
         ones = words.per_text(long & ((hashes >> np.uint64(7 + 11 * bit) & np.uint64(1)) == 1), first)
         topic = topic * 2 + (2 * ones > total)
-    return {"__topic": topic, "__tokens": np.diff(first)}
+    return {"__mix_topic": topic, "__mix_tokens": np.diff(first)}
 
 
 def with_topics(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """The rows with __topic, __tokens (words) and __draw (0 to 1, by id and text)."""
+    """The rows with __mix_topic and __mix_tokens (words)."""
     keep = [c for c in df.columns if keep_text or c != text]
     shown = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
 
     def work(unit):
         return rows.batch(**{c: unit.column(c) for c in keep}, **measure(unit, text))
 
-    return rows.map_units(df, text, work, f"{shown}, __topic long, __tokens long")
+    return rows.map_units(df, text, work, f"{shown}, __mix_topic long, __mix_tokens long")
 
 
 def draw(doc_id: str, text: str, seed: int = SEED) -> Column:
@@ -77,7 +77,7 @@ class Weights:
         self.sources, self.langs, self.topics, self.scale, self.error = sources, langs, topics, scale, error
 
     def apply(self, df: DataFrame, source: str, lang: str, topic: str) -> DataFrame:
-        """The rows with weight and probability."""
+        """The rows with __mix_weight and __mix_probability."""
         def pick(column, factors):
             if not factors:
                 return F.lit(1.0)
@@ -87,8 +87,8 @@ class Weights:
         small = pick(F.coalesce(F.col(lang), F.lit("")), self.langs) * pick(F.col(topic), self.topics)
         joined = df.join(self.sources, F.coalesce(F.col(source), F.lit("")) == F.col("__source"), "left")
         weight = F.coalesce(F.col("__factor"), F.lit(1.0)) * small
-        return joined.withColumn("weight", weight).withColumn(
-            "probability", F.least(F.lit(1.0), F.col("weight") * self.scale)
+        return joined.withColumn("__mix_weight", weight).withColumn(
+            "__mix_probability", F.least(F.lit(1.0), F.col("__mix_weight") * self.scale)
         ).drop("__source", "__factor")
 
 
@@ -99,24 +99,24 @@ def rake(
     """Fit weights to the margins.  ``source_targets`` has __source and share; default: flattened."""
     cells = df.groupBy(
         F.coalesce(F.col(source), F.lit("")).alias("__source"), F.coalesce(F.col(lang), F.lit("")).alias("__lang"),
-        F.col(topic).alias("__topic"),
+        F.col(topic).alias("__mix_topic"),
     ).agg(F.sum(tokens).cast("double").alias("mass"))
     cells = store(cells, "mix-cells")
-    few = cells.groupBy("__lang", "__topic").agg(F.sum("mass").alias("mass")).limit(MOST_CELLS + 1).collect()
+    few = cells.groupBy("__lang", "__mix_topic").agg(F.sum("mass").alias("mass")).limit(MOST_CELLS + 1).collect()
     if len(few) > MOST_CELLS:
         raise ValueError("more languages and topics than can be raked")
     total = sum(r["mass"] or 0 for r in few)
-    place = {(r["__lang"], r["__topic"]): i for i, r in enumerate(few)}
+    place = {(r["__lang"], r["__mix_topic"]): i for i, r in enumerate(few)}
     if not total:
         none = cells.select("__source", F.lit(1.0).alias("__factor")).distinct()
         return Weights(none, {}, {}, keep, 0.0)
     sums_l, sums_t = {}, {}
     for r in few:
         sums_l[r["__lang"]] = sums_l.get(r["__lang"], 0) + r["mass"]
-        sums_t[r["__topic"]] = sums_t.get(r["__topic"], 0) + r["mass"]
+        sums_t[r["__mix_topic"]] = sums_t.get(r["__mix_topic"], 0) + r["mass"]
     want_l, want_t = _flattened(sums_l, lang_targets), _flattened(sums_t, topic_targets)
-    numbers = cells.sparkSession.createDataFrame([(*k, i) for k, i in place.items()], "__lang string, __topic long, k long")
-    table = cells.join(numbers, ["__lang", "__topic"]).groupBy("__source").agg(
+    numbers = cells.sparkSession.createDataFrame([(*k, i) for k, i in place.items()], "__lang string, __mix_topic long, k long")
+    table = cells.join(numbers, ["__lang", "__mix_topic"]).groupBy("__source").agg(
         F.collect_list("k").alias("k"), F.collect_list("mass").alias("mass"), F.sum("mass").alias("tokens")
     )
     wanted = F.pow("tokens", FLATTEN)
@@ -207,13 +207,14 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled for every row."""
     drawn = df.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"),
-        F.col(text).alias("text"), draw(doc_id, text, seed).alias("__draw"),
+        F.col(text).alias("text"), draw(doc_id, text, seed).alias("__mix_draw"),
     )
     measured = store(with_topics(drawn, "text", keep_text=False), "mix-documents")
-    weights = rake(measured, "source", "lang", "__topic", "__tokens", keep)
-    return weights.apply(measured, "source", "lang", "__topic").select(
-        "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"),
-        "weight", "probability", (F.col("__draw") < F.col("probability")).alias("sampled"),
+    weights = rake(measured, "source", "lang", "__mix_topic", "__mix_tokens", keep)
+    return weights.apply(measured, "source", "lang", "__mix_topic").select(
+        "doc_id", "source", "lang", F.col("__mix_topic").alias("topic"), F.col("__mix_tokens").alias("n_tokens"),
+        F.col("__mix_weight").alias("weight"), F.col("__mix_probability").alias("probability"),
+        (F.col("__mix_draw") < F.col("__mix_probability")).alias("sampled"),
     )
 
 
@@ -222,7 +223,7 @@ def sample(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     """The rows of ``df`` that the mix draws, with their own columns."""
     columns = [F.col(f"`{c}`") for c in df.columns]
     narrow = df.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    weights = rake(with_topics(narrow, "text", keep_text=False), "source", "lang", "__topic", "__tokens", keep)
-    whole = with_topics(df.withColumn("__draw", draw(doc_id, text, seed)), text)
-    drawn = weights.apply(whole, source, lang, "__topic")
-    return drawn.where(F.col("__draw") < F.col("probability")).select(*columns)
+    weights = rake(with_topics(narrow, "text", keep_text=False), "source", "lang", "__mix_topic", "__mix_tokens", keep)
+    whole = with_topics(df.withColumn("__mix_draw", draw(doc_id, text, seed)), text)
+    drawn = weights.apply(whole, source, lang, "__mix_topic")
+    return drawn.where(F.col("__mix_draw") < F.col("__mix_probability")).select(*columns)

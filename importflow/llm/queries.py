@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from importflow.llm import digest, html_text, language, lengths, mixing, packing, quality_rules, secrets, substrings
+from importflow.llm import digest, html_text, jaccard, language, lengths, mixing, packing, quality_rules, secrets, substrings
 from importflow.session import store
 
 
@@ -20,6 +20,10 @@ def op2_wrapper_induction(spark, sf_dir):
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return jaccard.join_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 QUERIES = {
     "op1_ipf_mixing": op1_ipf_mixing,
     "op2_wrapper_induction": op2_wrapper_induction,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op5_quartile_digest": op5_quartile_digest,
     "op6_crf_secrets": op6_crf_secrets,
@@ -67,6 +72,25 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws
+            FROM documents),
+        s AS (SELECT DISTINCT doc_id, sh FROM (
+                SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
+                    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) END) AS sh FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+                   FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        tied AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS r FROM documents UNION
+                  SELECT reach.doc_id, tied.b FROM reach JOIN tied ON tied.a = reach.r)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.r) AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.doc_id = d.doc_id
+        GROUP BY d.doc_id, n.n""",
     "op8_substring_dedup": rf"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
         win AS (SELECT doc_id, i, ws[i:i + 19] AS win FROM w, unnest(range(1, len(ws) - 18)) AS t(i)),
