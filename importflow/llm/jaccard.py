@@ -6,10 +6,12 @@ space is cut into so many parts that two sets which may link (their difference i
 sizes) have at least one part with shingles in common whole.  A tile is a part's content; a class
 joins the tiles of its own band and of the next, where a larger partner may lie.
 
-Within a tile every class is paired with the least one.  Pairs are checked by hashed bitmaps first
-(bits that one has and the other lacks bound the overlap from above), then by exact intersection
-of the sorted sets.  Where a tile then still holds classes of several components, all its pairs
-across components are checked too, in blocks, so no link that matters to a component is missed.
+Within a tile every class is paired with the least one and, in an order of the tile's own, with
+the next.  Pairs are checked by hashed bitmaps first (bits that one has and the other lacks bound
+the overlap from above), then by exact intersection of the sorted sets.  Where a tile then still
+holds several components, its classes are compared by bitmaps, and a class that may link with one
+of another component is held against that whole component, in blocks of it: so no link between
+components is missed, and only links leave the tasks.
 
 Hot tiles: a task sends the least class of each tile among the texts it works on and ties the
 others to it, so a group of near copies of any size sends one entry for each unit of text.
@@ -34,9 +36,11 @@ from importflow.session import store
 SHINGLE = 4
 PERCENT = 85            # of the union that the overlap must reach
 BAND = 1.2              # largest to smallest size of a band
-BLOCK = 2048            # classes of a tile that are compared at once
-BUCKET_ENTRIES = 400_000
-LEAST_BITS, MOST_BITS = 64, 65536
+BLOCK = 2048            # classes of a tile or component that are compared at once
+RING = 4                # classes from which on a tile pairs neighbours
+BUCKET_ENTRIES = 1_500_000
+BITS_OF_SHINGLE = 2    # of a bitmap, about
+MOST_BITS = 1 << 20
 
 
 def sets(unit: pa.RecordBatch, text: str, shingle: int):
@@ -143,7 +147,7 @@ def entries(unit: pa.RecordBatch, text: str, shingle: int, percent: int, buckets
     tile, who = signatures(values[chosen], owner[chosen], np.concatenate([[0], np.cumsum(sizes)]), percent)
     if not len(tile):
         return None
-    tile, node = tile.astype(np.int64), digest[who]
+    tile, node = (tile >> np.uint64(16)).astype(np.int64), digest[who]     # 6 bytes tell tiles apart
     order = np.lexsort((node, tile))
     tile, node = tile[order], node[order]
     head = np.ones(len(tile), bool)
@@ -152,26 +156,58 @@ def entries(unit: pa.RecordBatch, text: str, shingle: int, percent: int, buckets
     out = [(0, tile[head], node[head], node[head])]
     tied = ~head & (least != node)
     if tied.any():
-        out.append((1, tile[tied], least[tied], node[tied]))
+        around = ring(tile, node)
+        out.append((1, *(np.concatenate(c) for c in zip((tile[tied], least[tied], node[tied]), around))))
     result = []
     for kind, t, a, b in out:
-        bucket = (t.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        bucket = t % buckets
         ranked = np.argsort(bucket, kind="stable")
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[ranked])) + 1, [len(ranked)]])
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
             mine = ranked[x:y]
-            columns = [t[mine], a[mine]] if kind == 0 else [t[mine], a[mine], b[mine]]
-            result.append((int(bucket[mine[0]]), kind, _raw(columns)))
+            blob = _narrow(t[mine], a[mine]) if kind == 0 else _raw([t[mine], a[mine], b[mine]])
+            result.append((int(bucket[mine[0]]), kind, blob))
     return rows.batch(
         bucket=[r[0] for r in result], kind=[r[1] for r in result], blob=pa.array([r[2] for r in result], pa.binary())
     )
 
 
+def ring(tile: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours in each tile of ``RING`` classes or more, in an order that differs by tile."""
+    turn = words.mix(tile.astype(np.uint64) ^ words.mix(node.astype(np.uint64)))
+    order = np.lexsort((turn, tile))
+    tile, node = tile[order], node[order]
+    first = np.searchsorted(tile, tile)
+    many = np.searchsorted(tile, tile, "right") - first >= RING
+    at = np.flatnonzero(many[:-1] & (tile[1:] == tile[:-1]))
+    return tile[at], np.minimum(node[at], node[at + 1]), np.maximum(node[at], node[at + 1])
+
+
 def _raw(columns: list[np.ndarray]) -> bytes:
-    """Hashes hardly compress: columns of 8 bytes, as they are."""
+    """Columns of 8 bytes, as they are: hashes hardly compress."""
     return b"".join(c.astype("<i8").tobytes() for c in columns)
 
 
+def _narrow(tile: np.ndarray, node: np.ndarray) -> bytes:
+    """Entries in 6 bytes for the tile and the number of the node among those named first."""
+    nodes, number = np.unique(node, return_inverse=True)
+    head = np.array([len(tile), len(nodes)], "<i8")
+    kind = "<u2" if len(nodes) <= 1 << 16 else "<u4"
+    return b"".join([
+        head.tobytes(), nodes.astype("<i8").tobytes(), number.astype(kind).tobytes(),
+        tile.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW].tobytes(),
+    ])
+
+
+def _widen(blob: bytes) -> np.ndarray:
+    count, size = np.frombuffer(blob, "<i8", 2).tolist()
+    nodes = np.frombuffer(blob, "<i8", size, 16)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    number = np.frombuffer(blob, kind, count, 16 + 8 * size)
+    tile = stretch(blob[16 + 8 * size + number.nbytes:]).astype(np.int64)
+    return np.stack([tile, nodes[number]])
+
+
 def tiles(docs: DataFrame, shingle: int, percent: int, entries_of_bucket: int) -> DataFrame:
     """tile, a, b: pairs of the least class of a tile (of the unit, or of all) with its others."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -180,7 +216,7 @@ def tiles(docs: DataFrame, shingle: int, percent: int, entries_of_bucket: int) -
     def pair(batches):
         for _, group in rows.by_group(batches, "bucket"):
             kinds, blobs = group.column("kind").to_pylist(), group.column("blob").to_pylist()
-            sole = [np.frombuffer(b, "<i8").reshape(2, -1) for k, b in zip(kinds, blobs) if k == 0]
+            sole = [_widen(b) for k, b in zip(kinds, blobs) if k == 0]
             for k, b in zip(kinds, blobs):
                 if k == 1:
                     t, x, y = np.frombuffer(b, "<i8").reshape(3, -1)
@@ -196,6 +232,9 @@ def tiles(docs: DataFrame, shingle: int, percent: int, entries_of_bucket: int) -
                 again[1:] = ~head[1:] & (node[1:] == node[:-1])
                 keep = ~again & (node != least)
                 yield rows.batch(tile=t[keep], a=least[keep], b=node[keep])
+                single = ~again
+                t, x, y = ring(t[single], node[single])
+                yield rows.batch(tile=t, a=x, b=y)
 
     found = rows.map_units(
         docs.select("text"), "text", lambda unit: entries(unit, "text", shingle, percent, buckets),
@@ -205,8 +244,8 @@ def tiles(docs: DataFrame, shingle: int, percent: int, entries_of_bucket: int) -
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    bits = LEAST_BITS
-    while bits < 2 * len(values) and bits < MOST_BITS:
+    bits = 64
+    while bits < BITS_OF_SHINGLE * len(values) and bits < MOST_BITS:
         bits *= 2
     marks = np.zeros(bits, np.uint8)
     marks[(values & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -293,38 +332,112 @@ def check(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(run, "a long, b long")
 
 
+def _table(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and bitmaps of a group, the bitmaps brought down to the least size."""
+    bits = [np.frombuffer(b, np.uint8) for b in group.column("bits").to_pylist()]
+    size = min(map(len, bits))
+    return group.column("n").to_numpy(), np.stack([fold(b, size) for b in bits])
+
+
+def room_for(i: int, at: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``at`` that may link with ``i``."""
+    at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
+    here = n[i] - np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1, dtype=np.int64)
+    there = n[at] - np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1, dtype=np.int64)
+    most = np.minimum(here, there)
+    return at[100 * most >= percent * (n[i] + n[at] - most)]
+
+
 def across(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of different components in one tile that sizes and bitmaps leave room for.
+    """node, root: a class and another component that has a class in its tile it may link with.
 
-    ``members``: tile, node, root, n, bits.  A tile of more than ``block`` classes is compared in
-    pairs of blocks, each a group of its own.
+    ``members``: tile, many (classes of the tile), node, root, n, bits.  A tile of more than
+    ``block`` classes is compared in pairs of blocks, each a group of its own.
     """
-    counts = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    cut = members.join(counts, "tile").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    blocks = F.ceil(F.col("many") / block)
+    cut = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.withColumn(
-        "part", F.xxhash64("tile", F.least("mine", "other"), F.greatest("mine", "other"))
-    ).repartition("part").sortWithinPartitions("part")
+    part = F.xxhash64("tile", F.least("mine", "other"), F.greatest("mine", "other"))
+    cut = cut.select(part.alias("part"), "node", "root", "n", "bits").repartition("part").sortWithinPartitions("part")
 
     def run(batches):
+        nodes, roots = [], []
         for _, group in rows.by_group(batches, "part"):
-            node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
-            bits = [np.frombuffer(b, np.uint8) for b in group.column("bits").to_pylist()]
-            size = min(map(len, bits))
-            table = np.stack([fold(b, size) for b in bits])
-            for i in range(len(node) - 1):
-                room = np.flatnonzero(
-                    (root[i + 1:] != root[i])
-                    & (100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i]))
-                ) + i + 1
-                if len(room):
-                    here = n[i] - np.bitwise_count(table[i] & ~table[room]).sum(axis=1, dtype=np.int64)
-                    there = n[room] - np.bitwise_count(table[room] & ~table[i]).sum(axis=1, dtype=np.int64)
-                    most = np.minimum(here, there)
-                    room = room[100 * most >= percent * (n[i] + n[room] - most)]
-                    yield rows.batch(a=np.minimum(node[i], node[room]), b=np.maximum(node[i], node[room]))
-
-    return cut.select("part", "node", "root", "n", "bits").mapInArrow(run, "a long, b long")
+            node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
+            n, bits = _table(group)
+            _, place, uses = np.unique(root, return_inverse=True, return_counts=True)
+            if len(uses) < 2:
+                continue
+            order = np.argsort(uses[place], kind="stable")      # the small component asks the large one
+            for k, i in enumerate(order[:-1].tolist()):
+                rest = order[k + 1:]
+                found = np.unique(root[room_for(i, rest[root[rest] != root[i]], n, bits, percent)])
+                nodes += [int(node[i])] * len(found)
+                roots += found.tolist()
+            if len(nodes) > 10_000:
+                yield rows.batch(node=nodes, root=roots)
+                nodes, roots = [], []
+        if nodes:
+            yield rows.batch(node=nodes, root=roots)
+
+    return cut.mapInArrow(run, "node long, root long").distinct()
+
+
+def against_components(asked: DataFrame, roots: DataFrame, known: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: a link of each asked class (node) to the component (root), if it has any."""
+    wanted = asked.select("root").distinct()
+    inside = wanted.join(roots.select("root", F.col("node").alias("__n")), "root", "left").select(
+        "root", F.coalesce("__n", "root").alias("node")
+    )
+    inside = inside.unionByName(wanted.select("root", F.col("root").alias("node"))).distinct()
+    blocks = inside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    held = inside.join(blocks, "root").select(
+        "root", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part"), F.lit(False).alias("asks")
+    )
+    asking = asked.join(blocks, "root").select(
+        "root", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"),
+        F.lit(True).alias("asks"),
+    )
+    both = held.unionByName(asking).withColumn("part", F.xxhash64("root", "part"))
+    both = both.select("part", "node", "asks").join(known, "node").repartition("part").sortWithinPartitions("part")
+
+    def run(batches):
+        for _, group in rows.by_group(batches, "part"):
+            node, asks = group.column("node").to_numpy(), group.column("asks").to_numpy()
+            n, bits = _table(group)
+            shingles = group.column("shingles")
+            own, left, right = {}, [], []
+            members = np.flatnonzero(~asks)
+            for i in np.flatnonzero(asks).tolist():
+                mine = stretch(shingles[i].as_py())
+                for j in room_for(i, members, n, bits, percent).tolist():
+                    if j not in own:
+                        own[j] = stretch(shingles[j].as_py())
+                    if linked(mine, own[j], percent):
+                        left.append(node[i])
+                        right.append(node[j])
+                        break
+            if left:
+                yield rows.batch(a=left, b=right)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def links_of_tiles(tile: DataFrame, known: DataFrame, ties: DataFrame, percent: int, block: int) -> DataFrame:
+    """node, root of all classes with links.  ``tile``: tile, a, b; ``ties``: further links."""
+    pairs = tile.select("a", "b").distinct()
+    links = store(check(pairs, known, percent), "set-links").unionByName(ties)
+    roots = graph.components(links)
+    nodes = tile.select("tile", F.col("a").alias("node")).unionByName(tile.select("tile", F.col("b").alias("node")))
+    rooted = nodes.distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = store(rooted, "tile-members")
+    mixed = rooted.groupBy("tile").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("many")
+    ).where("x <> y").select("tile", "many")
+    members = rooted.join(mixed, "tile").join(known.select("node", "n", "bits"), "node")
+    asked = store(across(members, percent, block), "asked")
+    more = store(against_components(asked, roots, known, percent, block), "set-links")
+    return graph.components(links.unionByName(more)) if more.take(1) else roots
 
 
 def join_components(
@@ -345,21 +458,12 @@ def join_components(
         F.min("node").alias("a"), F.max("node").alias("b")
     ).where("a <> b").select("a", "b")
     tile = store(tiles(docs, shingle, percent, entries_of_bucket), "tiles")
-    pairs = store(tile.select("a", "b").distinct(), "tile-pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = tile.select(F.col("a").alias("node")).unionByName(tile.select(F.col("b").alias("node"))).distinct()
     ids = store(asked.join(heads, "node").select("doc_id"), "tile-documents")
     known = store(
         features(docs.join(checked_broadcast(ids), "doc_id", "left_semi"), shingle).dropDuplicates(["node"]), "sets"
     )
-    links = store(check(pairs, known, percent), "set-links").unionByName(same_id)
-    roots = graph.components(links)
-    nodes = tile.select("tile", F.col("a").alias("node")).unionByName(tile.select("tile", F.col("b").alias("node")))
-    rooted = nodes.distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tile")
-    members = rooted.join(mixed, "tile", "left_semi").join(known.select("node", "n", "bits"), "node")
-    more = store(across(members, percent, block).distinct().join(pairs, ["a", "b"], "left_anti"), "tile-pairs")
-    if more.take(1):
-        roots = graph.components(links.unionByName(store(check(more, known, percent), "set-links")))
+    roots = links_of_tiles(tile, known, same_id, percent, block)
     named = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes_ = named.join(least, "root").select("node", "component_id")
