@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from importflow.session import store
+from importflow.llm.rows import Scratch
 
 
-def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str = "b") -> DataFrame:
     """node, root (the least node of its component) for every node with a link.
 
     Alternating star steps: every node is tied to the least of its neighbours, first its larger
@@ -15,7 +15,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     a node with many neighbours is a side of a join that can be split.
     """
     pairs = links.select(F.greatest(left, right).alias("node"), F.least(left, right).alias("root"))
-    pairs = store(pairs.where("node <> root").distinct(), "links")
+    pairs = scratch.store(pairs.where("node <> root").distinct())
     while True:
         both = pairs.unionByName(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("low")).withColumn("low", F.least("low", "node"))
@@ -26,7 +26,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         tied = small.select("node", F.col("low").alias("root")).unionByName(
             small.select(F.col("root").alias("node"), F.col("low").alias("root")).where("node <> root")
         )
-        following = store(tied.distinct(), "links")
+        following = scratch.store(tied.distinct())
         if _mark(following) == _mark(pairs):
             return following
         pairs = following

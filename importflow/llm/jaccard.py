@@ -309,27 +309,30 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def check(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that link."""
-    def side(name):
-        return known.select(*[F.col(c).alias(f"{name}_{c}" if c != "node" else name) for c in known.columns])
+    """The pairs a, b that link.  Bitmaps travel first, whole sets only to pairs they leave room for."""
+    def sides(found, *columns):
+        for name in ("b", "a"):
+            mine = known.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+            found = found.join(mine, name)
+        return found
+
+    def likely(batches):
+        for unit in batches:
+            names = ("a_n", "b_n", "a_bits", "b_bits")
+            keep = [may_link(*each, percent) for each in zip(*(unit.column(c).to_pylist() for c in names))]
+            yield rows.batch(a=unit.column("a"), b=unit.column("b")).filter(pa.array(keep, pa.bool_()))
 
-    def run(batches):
+    def exact(batches):
         for unit in batches:
-            names = ("a", "b", "a_n", "b_n", "a_bits", "b_bits", "a_shingles", "b_shingles")
             keep, last, own = [], None, None
-            for a, b, n, m, x, y, s, t in zip(*(unit.column(c).to_pylist() for c in names)):
-                good = may_link(n, m, x, y, percent)
-                if good:
-                    if last != a:
-                        last, own = a, stretch(s)
-                    good = linked(own, stretch(t), percent)
-                keep.append(good)
+            for a, s, t in zip(*(unit.column(c).to_pylist() for c in ("a", "a_shingles", "b_shingles"))):
+                if last != a:
+                    last, own = a, stretch(s)
+                keep.append(linked(own, stretch(t), percent))
             yield rows.batch(a=unit.column("a"), b=unit.column("b")).filter(pa.array(keep, pa.bool_()))
 
-    # the sets of a's side travel with the pairs: pairs have one for each member, so the side of
-    # the many, b, is joined first
-    whole = pairs.join(side("b"), "b").join(side("a"), "a")
-    return whole.mapInArrow(run, "a long, b long")
+    room = sides(pairs, "n", "bits").mapInArrow(likely, "a long, b long")
+    return sides(room, "shingles").mapInArrow(exact, "a long, b long")
 
 
 def _table(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -423,21 +426,35 @@ def against_components(asked: DataFrame, roots: DataFrame, known: DataFrame, per
     return both.mapInArrow(run, "a long, b long")
 
 
-def links_of_tiles(tile: DataFrame, known: DataFrame, ties: DataFrame, percent: int, block: int) -> DataFrame:
-    """node, root of all classes with links.  ``tile``: tile, a, b; ``ties``: further links."""
-    pairs = tile.select("a", "b").distinct()
-    links = store(check(pairs, known, percent), "set-links").unionByName(ties)
-    roots = graph.components(links)
+def links_of_tiles(
+    tile: DataFrame, known: DataFrame, ties: DataFrame, percent: int, block: int, scratch: rows.Scratch
+) -> DataFrame:
+    """node, root of all classes with links.  ``tile``: tile, a, b; ``ties``: further links.
+
+    First each class is checked against the one it shares most tiles with; then the pairs that are
+    not in one component by that; then what lies across components in a tile.
+    """
+    pairs = scratch.store(tile.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    links = scratch.store(check(best, known, percent)).unionByName(ties)
+    roots = graph.components(links, scratch)
+
+    def rooted(df, name, root):
+        mine = roots.select(F.col("node").alias(name), F.col("root").alias(root))
+        return df.join(mine, name, "left").withColumn(root, F.coalesce(root, name))
+
+    apart = rooted(rooted(pairs.select("a", "b"), "a", "x"), "b", "y").where("x <> y").select("a", "b")
+    links = links.unionByName(scratch.store(check(apart, known, percent)))
+    roots = graph.components(links, scratch)
     nodes = tile.select("tile", F.col("a").alias("node")).unionByName(tile.select("tile", F.col("b").alias("node")))
-    rooted = nodes.distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = store(rooted, "tile-members")
-    mixed = rooted.groupBy("tile").agg(
+    members = scratch.store(rooted(nodes.distinct(), "node", "root"))
+    mixed = members.groupBy("tile").agg(
         F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("many")
     ).where("x <> y").select("tile", "many")
-    members = rooted.join(mixed, "tile").join(known.select("node", "n", "bits"), "node")
-    asked = store(across(members, percent, block), "asked")
-    more = store(against_components(asked, roots, known, percent, block), "set-links")
-    return graph.components(links.unionByName(more)) if more.take(1) else roots
+    members = members.join(mixed, "tile").join(known.select("node", "n", "bits"), "node")
+    asked = scratch.store(across(members, percent, block))
+    more = scratch.store(against_components(asked, roots, known, percent, block))
+    return graph.components(links.unionByName(more), scratch) if more.take(1) else roots
 
 
 def join_components(
@@ -445,37 +462,46 @@ def join_components(
     block: int = BLOCK, entries_of_bucket: int = BUCKET_ENTRIES,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    scratch = rows.Scratch(df.sparkSession, "jaccard")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def classes(unit):
         _, _, begins, digest = sets(unit, "text", shingle)
         return rows.batch(doc_id=unit.column("doc_id"), n=np.diff(begins), node=digest)
 
-    table = store(rows.map_units(docs, "text", classes, "doc_id long, n long, node long"), "shingle-sets")
+    table = scratch.store(rows.map_units(docs, "text", classes, "doc_id long, n long, node long"))
     # ids tie classes too: rows of one id are one node
     heads = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     same_id = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("node").alias("a"), F.max("node").alias("b")
     ).where("a <> b").select("a", "b")
-    tile = store(tiles(docs, shingle, percent, entries_of_bucket), "tiles")
+    tile = scratch.store(tiles(docs, shingle, percent, entries_of_bucket))
     asked = tile.select(F.col("a").alias("node")).unionByName(tile.select(F.col("b").alias("node"))).distinct()
-    ids = store(asked.join(heads, "node").select("doc_id"), "tile-documents")
-    known = store(
-        features(docs.join(checked_broadcast(ids), "doc_id", "left_semi"), shingle).dropDuplicates(["node"]), "sets"
+    ids = scratch.store(asked.join(heads, "node").select("doc_id"))
+    known = scratch.store(
+        features(docs.join(checked_broadcast(ids), "doc_id", "left_semi"), shingle).dropDuplicates(["node"])
     )
-    roots = links_of_tiles(tile, known, same_id, percent, block)
+    roots = links_of_tiles(tile, known, same_id, percent, block, scratch)
     named = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes_ = named.join(least, "root").select("node", "component_id")
     joined = table.join(classes_, "node", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    result = store(joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "components")
+    scratch.drop()
+    return result
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` whose document is the least of its component, one row for each id; rows
     without an id stay."""
     found = join_components(df, doc_id, **options)
-    least = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = df.join(least, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(df.where(F.col(doc_id).isNull()))
+    other = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    kept = df.join(checked_broadcast(other.distinct()), F.col(doc_id) == F.col("__id"), "left_anti")
+    twice = store(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(
+        F.col("doc_id").alias("__id")), "repeated-ids")
+    if not twice.take(1):
+        return kept
+    many = checked_broadcast(twice)
+    once = kept.join(many, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id])
+    return kept.join(many, F.col(doc_id) == F.col("__id"), "left_anti").unionByName(once)

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-UNIT_BYTES = 4 << 20    # text that is worked on at once; one longer text makes a unit of its own
+from importflow.session import scratch_path
+
+UNIT_BYTES = 2 << 20    # text that is worked on at once; one longer text makes a unit of its own
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,3 +102,21 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
             parts.append(rows.slice(a, b - a))
     if parts:
         yield current, pa.Table.from_batches(parts)
+
+
+class Scratch:
+    """Tables written below one folder of the shared folder, to be deleted together when no result
+    reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.count = spark, scratch_path(spark, name), 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -42,6 +42,7 @@ WINDOWS = 6
 WIDTH = 17
 MOST_WINDOWS = 3000     # that the field is fitted to
 STEPS = 120
+UNIT = 1 << 20          # bytes of text that are cut into tokens at once
 CAUTION = 1.0           # taken from the score of begin: windows show more secrets than texts do
 
 OUTSIDE, BEGIN, INSIDE = range(3)
@@ -337,7 +338,7 @@ def learn(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
     part = int(sample / max(total, 1) * 1_000_000) + 1
     some = source.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part)
     found = rows.map_units(
-        some, "text", lambda unit: windows_of(unit, "text"), "secret boolean, code array<long>, label array<long>"
+        some, "text", lambda unit: windows_of(unit, "text"), "secret boolean, code array<long>, label array<long>", UNIT
     ).withColumn("turn", F.xxhash64("code", "label"))
     # half of the windows show secrets, if the sample has as many
     chosen = [
@@ -387,7 +388,7 @@ def scan(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text"
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
         return rows.batch(doc_id=unit.column("doc_id"), spans=pa.array(spans, kind))
 
-    return rows.map_units(source, "text", work, f"doc_id {kind}, spans array<struct<start: long, kind: string, end: long>>")
+    return rows.map_units(source, "text", work, f"doc_id {kind}, spans array<struct<start: long, kind: string, end: long>>", UNIT)
 
 
 def summary(scanned: DataFrame) -> DataFrame:
@@ -434,4 +435,4 @@ def redact(df: DataFrame, field: Field, text: str = "text", size: str | None = "
             columns[size] = pa.array(sizes, columns[size].type)
         return rows.batch(**columns)
 
-    return rows.map_units(df, text, work, shown)
+    return rows.map_units(df, text, work, shown, UNIT)

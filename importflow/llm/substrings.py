@@ -28,6 +28,7 @@ from importflow.llm import rows, words
 
 LENGTH = 20
 PICK = 4
+UNIT_BYTES = 4 << 20        # of text that is packed together
 BUCKET_BYTES = 4 << 20      # of packed strings; they are about three times the text
 _COPIES = 3
 
@@ -177,7 +178,7 @@ def repeated(df: DataFrame, length: int = LENGTH, bucket_bytes: int | None = Non
 
     packed = rows.map_units(
         df.select("doc", "text"), "text", lambda unit: super_kmers(unit, buckets, length),
-        "bucket long, kind long, blob binary",
+        "bucket long, kind long, blob binary", UNIT_BYTES,
     )
     # what a unit found itself belongs to no bucket: deal it out evenly
     packed = packed.withColumn(
