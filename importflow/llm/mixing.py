@@ -194,6 +194,7 @@ def _ratio(goal, now):
 
 def _scale(mass: np.ndarray, weighed: np.ndarray, budget: float) -> float:
     """The factor on all weights at which the tokens expected, each cell at most whole, meet the budget."""
+    mass, weighed = mass[mass > 0], weighed[mass > 0]
     mean = weighed / mass
     low, high = 0.0, 1 / mean.min() if len(mean) else 1.0
     for _ in range(200):
