@@ -15,7 +15,7 @@ from importflow.operators.validate import pick_fields, too_long, validate
 from importflow.session import freeze, scratch_path
 from importflow.sources.csv_files import ContactFiles, read_contact_files
 
-_CHUNK_BATCHES = 1_000_000
+_CHUNK_BATCHES = 1 << 36     # chunk numbers of a batch; ids below belong to batches without chunks
 
 
 def validate_files(
@@ -105,9 +105,12 @@ def import_files(
         staging.write.partitionBy("chunk").parquet(staged)
         stage = spark.read.schema(staging.schema).parquet(staged)
         require_rows(batch_counts(stage), files.select("job_id", "expected_rows"))
+        last = stage.agg(F.max("chunk")).first()[0] or 0
+        if last >= _CHUNK_BATCHES or not 0 <= batch_id < (1 << 63) // _CHUNK_BATCHES - 1:
+            raise ValueError(f"batch {batch_id}, chunk {last}: beyond the ids of chunks")
         for r in stage.select("chunk").distinct().orderBy("chunk").collect():
             part = stage.where(F.col("chunk") == r["chunk"]).drop("chunk")
-            commit_batch(spark, ledger, part, batch_id * _CHUNK_BATCHES + r["chunk"])
+            commit_batch(spark, ledger, part, (batch_id + 1) * _CHUNK_BATCHES + r["chunk"])
     failed = F.col("failed_row").isNotNull()
     return files.select(
         "job_id", F.when(failed, "FAILED").otherwise("COMPLETED").alias("status"),

@@ -128,7 +128,10 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
     claimed = keyed.select("job_id")
     fs, _ = file_system(spark, home.root)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    there = [k for k in keys if fs.exists(hadoop_path(f"{home.folder('uploads')}/{k}"))]
+    objects = {k: hadoop_path(f"{home.folder('uploads')}/{k}") for k in keys}
+    there = [k for k in keys if fs.exists(objects[k])]
+    filled = [k for k in there if fs.getContentSummary(objects[k]).getLength() > 0]
+    above = hadoop_path(home.folder("uploads")).toUri().getPath() + "/"
     ended = keyed.where(~F.col("source_object_key").isin(there)).select(
         "job_id", F.lit("FAILED").alias("status")
     )
@@ -136,7 +139,8 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
     if there:
         def assign(files: DataFrame) -> DataFrame:
             # The object is the file, or the folder that holds its one file.
-            below = F.substring_index("file_path", "/uploads/", -1)
+            path = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+            below = F.substr(path, F.locate(above, path) + len(above))
             folder = F.regexp_replace(below, "/[^/]*$", "")
             named = files.withColumn("source_object_key", F.explode(F.array(below, folder)))
             return named.join(
@@ -146,11 +150,11 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
         results = import_files(
             spark, ledger, [f"{home.folder('uploads')}/{k}" for k in there], assign, batch_id
         )
-        # A file without a single line is in no result; its job is done, with no rows.
+        # An empty object is in no result; its job is done, with no rows.  Any other that the
+        # scan did not return was not read, and its job fails.
         sound = keyed.where(F.col("source_object_key").isin(there)).join(results, "job_id", "left")
-        ended = ended.unionByName(
-            sound.select("job_id", F.coalesce("status", F.lit("COMPLETED")).alias("status"))
-        )
+        unread = F.when(F.col("source_object_key").isin(filled), "FAILED").otherwise("COMPLETED")
+        ended = ended.unionByName(sound.select("job_id", F.coalesce("status", unread).alias("status")))
     ended = freeze(ended)
     done = ended.where("status = 'COMPLETED'").select("job_id")
 

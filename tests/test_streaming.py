@@ -21,12 +21,16 @@ FIVE = ("email,first_name,last_name,phone\nalice@x.co,A,B,+1-555-0100\nbob@x.co,
 
 @pytest.fixture
 def home(spark, tmp_path):
+    files = {"good": FIVE, "bad": 'email,first_name,last_name,phone\na@b.co,"x"y,B,\n', "empty": ""}
+    return home_with(spark, tmp_path, ["good", "bad", "lost", "empty", "waiting"], files)
+
+
+def home_with(spark, tmp_path, names, files):
+    """All jobs but the last are confirmed."""
     home = ImportHome(str(tmp_path / "home"))
-    names = ["good", "bad", "lost", "empty", "waiting"]
     requests = spark.createDataFrame([(n, "org", "u") for n in names],
                                      "id string, org_id string, submitted_by string")
     write_table(job_ops.create_jobs(requests, F.col("id")), home.folder("jobs"), JOBS)
-    files = {"good": FIVE, "bad": 'email,first_name,last_name,phone\na@b.co,"x"y,B,\n', "empty": ""}
     for name, text in files.items():
         folder = tmp_path / "home" / "uploads" / "org" / name
         folder.mkdir(parents=True)
@@ -53,6 +57,14 @@ DONE = {"good": ("COMPLETED", 5, 3, 2, 5), "bad": ("FAILED", 3, 0, 0, None), "lo
         "empty": ("COMPLETED", 3, 0, 0, 0), "waiting": ("PENDING", 0, 0, 0, None)}
 
 
+def test_keys_with_blanks_and_signs(spark, tmp_path):
+    names = ["a b", "50%", "x%20y", "p+q", "uploads", "waiting"]
+    home = home_with(spark, tmp_path, names, dict.fromkeys(names[:-1], FIVE))
+    send(spark, home, *names[:-1])
+    done = run(spark, home)
+    assert {n: done[n] for n in names[:-1]} == dict.fromkeys(names[:-1], DONE["good"])
+
+
 def test_messages_to_finished_jobs(spark, home, tmp_path):
     send(spark, home, "good", "good", "unknown", "waiting")
     send(spark, home, "bad", "lost", "empty", "good")
