@@ -11,7 +11,10 @@ the next.  Pairs are checked by hashed bitmaps first (bits that one has and the
 the overlap from above), then by exact intersection of the sorted sets.  Where a tile then still
 holds several components, its classes are compared by bitmaps, and a class that may link with one
 of another component is held against that whole component, in blocks of it: so no link between
-components is missed, and only links leave the tasks.
+components is missed, and only links leave the tasks.  A tile of two classes is done with its pair.
+
+What travels for every class is narrow: its size and its bitmap, made in the first reading.  Sorted
+sets are made again, from the text, of just the classes that the bitmaps leave room for.
 
 Hot tiles: a task sends the least class of each tile among the texts it works on and ties the
 others to it, so a group of near copies of any size sends one entry for each unit of text.
@@ -22,6 +25,7 @@ set size, and NULL as component.  Repeated rows: one node for each id.  Empty ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from math import ceil, exp, sqrt
 
@@ -39,6 +43,7 @@ BAND = 1.2              # largest to smallest size of a band
 BLOCK = 2048            # classes of a tile or component that are compared at once
 RING = 4                # classes from which on a tile pairs neighbours
 BUCKET_ENTRIES = 1_500_000
+WANTED = 1_000_000      # (node, id) rows, 16 bytes each, to which a broadcast of wanted classes is held
 BITS_OF_SHINGLE = 2    # of a bitmap, about
 MOST_BITS = 1 << 20
 
@@ -189,27 +194,27 @@ def _raw(columns: list[np.ndarray]) -> bytes:
 
 
 def _narrow(tile: np.ndarray, node: np.ndarray) -> bytes:
-    """Entries in 6 bytes for the tile and the number of the node among those named first."""
-    nodes, number = np.unique(node, return_inverse=True)
-    head = np.array([len(tile), len(nodes)], "<i8")
-    kind = "<u2" if len(nodes) <= 1 << 16 else "<u4"
+    """Entries in order of the node: the nodes, how many tiles each has, and 6 bytes of each tile."""
+    nodes, uses = np.unique(node, return_counts=True)
+    tile = tile[np.argsort(node, kind="stable")]
     return b"".join([
-        head.tobytes(), nodes.astype("<i8").tobytes(), number.astype(kind).tobytes(),
+        np.array([len(nodes)], "<i8").tobytes(), nodes.astype("<i8").tobytes(), uses.astype("<u4").tobytes(),
         tile.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW].tobytes(),
     ])
 
 
 def _widen(blob: bytes) -> np.ndarray:
-    count, size = np.frombuffer(blob, "<i8", 2).tolist()
-    nodes = np.frombuffer(blob, "<i8", size, 16)
-    kind = "<u2" if size <= 1 << 16 else "<u4"
-    number = np.frombuffer(blob, kind, count, 16 + 8 * size)
-    tile = stretch(blob[16 + 8 * size + number.nbytes:]).astype(np.int64)
-    return np.stack([tile, nodes[number]])
+    size = int(np.frombuffer(blob, "<i8", 1)[0])
+    nodes = np.frombuffer(blob, "<i8", size, 8)
+    uses = np.frombuffer(blob, "<u4", size, 8 + 8 * size)
+    return np.stack([stretch(blob[8 + 12 * size:]).astype(np.int64), np.repeat(nodes, uses)])
 
 
 def tiles(docs: DataFrame, shingle: int, percent: int, entries_of_bucket: int) -> DataFrame:
-    """tile, a, b: pairs of the least class of a tile (of the unit, or of all) with its others."""
+    """tile, a, b: pairs of the least class of a tile (of the unit, or of all) with its others.
+
+    The pairs of a tile connect all its classes, so a tile of one pair has two: NULL stands for it.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // 12 // entries_of_bucket) + 16     # an entry for each 12 bytes of text, about
 
@@ -217,10 +222,7 @@ def tiles(docs: DataFrame, shingle: int, percent: int, entries_of_bucket: int) -
         for _, group in rows.by_group(batches, "bucket"):
             kinds, blobs = group.column("kind").to_pylist(), group.column("blob").to_pylist()
             sole = [_widen(b) for k, b in zip(kinds, blobs) if k == 0]
-            for k, b in zip(kinds, blobs):
-                if k == 1:
-                    t, x, y = np.frombuffer(b, "<i8").reshape(3, -1)
-                    yield rows.batch(tile=t, a=x, b=y)
+            found = [np.frombuffer(b, "<i8").reshape(3, -1) for k, b in zip(kinds, blobs) if k == 1]
             if sole:
                 t, node = np.concatenate(sole, axis=1)
                 order = np.lexsort((node, t))
@@ -231,10 +233,12 @@ def tiles(docs: DataFrame, shingle: int, percent: int, entries_of_bucket: int) -
                 again = np.zeros(len(t), bool)
                 again[1:] = ~head[1:] & (node[1:] == node[:-1])
                 keep = ~again & (node != least)
-                yield rows.batch(tile=t[keep], a=least[keep], b=node[keep])
-                single = ~again
-                t, x, y = ring(t[single], node[single])
-                yield rows.batch(tile=t, a=x, b=y)
+                found.append((t[keep], least[keep], node[keep]))
+                found.append(ring(t[~again], node[~again]))
+            _, place, uses = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True, return_counts=True)
+            alone = np.split(uses[place] == 1, np.cumsum([len(f[0]) for f in found])[:-1])
+            for (t, x, y), one in zip(found, alone):
+                yield rows.batch(tile=pa.array(t, mask=one), a=x, b=y)
 
     found = rows.map_units(
         docs.select("text"), "text", lambda unit: entries(unit, "text", shingle, percent, buckets),
@@ -294,25 +298,31 @@ def stretch(blob: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def features(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, n, bits, shingles of every text."""
+def shingles_of(nodes: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, scratch: rows.Scratch) -> DataFrame:
+    """node, shingles of the classes ``nodes``, each from the text of its head (node, doc_id)."""
+    wanted = scratch.store(nodes.distinct().join(heads, "node").select("doc_id", "node"))
+    texts = docs.join(checked_broadcast(wanted, WANTED), "doc_id").select("node", "text")
 
     def work(unit):
         values, _, begins, digest = sets(unit, "text", shingle)
-        each = [values[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
-        return rows.batch(
-            node=digest, n=np.diff(begins), bits=pa.array([bitmap(v) for v in each], pa.binary()),
-            shingles=pa.array([squeeze(v) for v in each], pa.binary()),
-        )
+        each = [squeeze(values[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+        own = digest == unit.column("node").to_numpy()      # rows of one id may have other texts
+        return rows.batch(node=digest, shingles=pa.array(each, pa.binary())).filter(pa.array(own))
+
+    found = rows.map_units(texts, "text", work, "node long, shingles binary")
+    return scratch.store(found.dropDuplicates(["node"]))
 
-    return rows.map_units(docs.select("text"), "text", work, "node long, n long, bits binary, shingles binary")
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
-def check(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that link.  Bitmaps travel first, whole sets only to pairs they leave room for."""
-    def sides(found, *columns):
+
+def check(pairs: DataFrame, known: DataFrame, fetch: Callable, percent: int, scratch: rows.Scratch) -> DataFrame:
+    """The pairs a, b that link.  Bitmaps travel first, whole sets (which ``fetch`` gives for nodes)
+    only to pairs they leave room for."""
+    def sides(found, of, *columns):
         for name in ("b", "a"):
-            mine = known.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+            mine = of.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
             found = found.join(mine, name)
         return found
 
@@ -331,8 +341,8 @@ def check(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 keep.append(linked(own, stretch(t), percent))
             yield rows.batch(a=unit.column("a"), b=unit.column("b")).filter(pa.array(keep, pa.bool_()))
 
-    room = sides(pairs, "n", "bits").mapInArrow(likely, "a long, b long")
-    return sides(room, "shingles").mapInArrow(exact, "a long, b long")
+    room = scratch.store(sides(pairs, known, "n", "bits").mapInArrow(likely, "a long, b long"))
+    return scratch.store(sides(room, fetch(_ends(room)), "shingles").mapInArrow(exact, "a long, b long"))
 
 
 def _table(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -386,7 +396,9 @@ def across(members: DataFrame, percent: int, block: int) -> DataFrame:
     return cut.mapInArrow(run, "node long, root long").distinct()
 
 
-def against_components(asked: DataFrame, roots: DataFrame, known: DataFrame, percent: int, block: int) -> DataFrame:
+def against_components(
+    asked: DataFrame, roots: DataFrame, known: DataFrame, fetch: Callable, percent: int, block: int
+) -> DataFrame:
     """a, b: a link of each asked class (node) to the component (root), if it has any."""
     wanted = asked.select("root").distinct()
     inside = wanted.join(roots.select("root", F.col("node").alias("__n")), "root", "left").select(
@@ -402,6 +414,7 @@ def against_components(asked: DataFrame, roots: DataFrame, known: DataFrame, per
         F.lit(True).alias("asks"),
     )
     both = held.unionByName(asking).withColumn("part", F.xxhash64("root", "part"))
+    known = known.join(fetch(inside.select("node").unionByName(asked.select("node"))), "node")
     both = both.select("part", "node", "asks").join(known, "node").repartition("part").sortWithinPartitions("part")
 
     def run(batches):
@@ -427,16 +440,17 @@ def against_components(asked: DataFrame, roots: DataFrame, known: DataFrame, per
 
 
 def links_of_tiles(
-    tile: DataFrame, known: DataFrame, ties: DataFrame, percent: int, block: int, scratch: rows.Scratch
+    tile: DataFrame, pairs: DataFrame, known: DataFrame, fetch: Callable, ties: DataFrame, percent: int, block: int,
+    scratch: rows.Scratch,
 ) -> DataFrame:
-    """node, root of all classes with links.  ``tile``: tile, a, b; ``ties``: further links.
+    """node, root of all classes with links.  ``tile``: tile, a, b; ``pairs``: a, b, shared (tiles);
+    ``known``: node, n, bits; ``ties``: further links.
 
     First each class is checked against the one it shares most tiles with; then the pairs that are
     not in one component by that; then what lies across components in a tile.
     """
-    pairs = scratch.store(tile.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    links = scratch.store(check(best, known, percent)).unionByName(ties)
+    links = check(best, known, fetch, percent, scratch).unionByName(ties)
     roots = graph.components(links, scratch)
 
     def rooted(df, name, root):
@@ -444,16 +458,17 @@ def links_of_tiles(
         return df.join(mine, name, "left").withColumn(root, F.coalesce(root, name))
 
     apart = rooted(rooted(pairs.select("a", "b"), "a", "x"), "b", "y").where("x <> y").select("a", "b")
-    links = links.unionByName(scratch.store(check(apart, known, percent)))
+    links = links.unionByName(check(apart, known, fetch, percent, scratch))
     roots = graph.components(links, scratch)
+    tile = tile.where("tile IS NOT NULL")       # the others are done with their pair
     nodes = tile.select("tile", F.col("a").alias("node")).unionByName(tile.select("tile", F.col("b").alias("node")))
     members = scratch.store(rooted(nodes.distinct(), "node", "root"))
     mixed = members.groupBy("tile").agg(
         F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("many")
     ).where("x <> y").select("tile", "many")
-    members = members.join(mixed, "tile").join(known.select("node", "n", "bits"), "node")
+    members = members.join(mixed, "tile").join(known, "node")
     asked = scratch.store(across(members, percent, block))
-    more = scratch.store(against_components(asked, roots, known, percent, block))
+    more = scratch.store(against_components(asked, roots, known, fetch, percent, block))
     return graph.components(links.unionByName(more), scratch) if more.take(1) else roots
 
 
@@ -466,22 +481,28 @@ def join_components(
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def classes(unit):
-        _, _, begins, digest = sets(unit, "text", shingle)
-        return rows.batch(doc_id=unit.column("doc_id"), n=np.diff(begins), node=digest)
+        values, _, begins, digest = sets(unit, "text", shingle)
+        bits = [bitmap(values[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+        return rows.batch(
+            doc_id=unit.column("doc_id"), n=np.diff(begins), node=digest, bits=pa.array(bits, pa.binary())
+        )
 
-    table = scratch.store(rows.map_units(docs, "text", classes, "doc_id long, n long, node long"))
+    table = scratch.store(rows.map_units(docs, "text", classes, "doc_id long, n long, node long, bits binary"))
     # ids tie classes too: rows of one id are one node
-    heads = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    same_id = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+    usable = table.where("n > 0 AND doc_id IS NOT NULL")
+    heads = scratch.store(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    same_id = usable.groupBy("doc_id").agg(
         F.min("node").alias("a"), F.max("node").alias("b")
     ).where("a <> b").select("a", "b")
     tile = scratch.store(tiles(docs, shingle, percent, entries_of_bucket))
-    asked = tile.select(F.col("a").alias("node")).unionByName(tile.select(F.col("b").alias("node"))).distinct()
-    ids = scratch.store(asked.join(heads, "node").select("doc_id"))
-    known = scratch.store(
-        features(docs.join(checked_broadcast(ids), "doc_id", "left_semi"), shingle).dropDuplicates(["node"])
-    )
-    roots = links_of_tiles(tile, known, same_id, percent, block, scratch)
+    pairs = scratch.store(tile.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+    known = usable.select("node", "n", "bits").dropDuplicates(["node"])
+    known = scratch.store(known.join(_ends(pairs).distinct(), "node", "left_semi"))
+
+    def fetch(nodes):
+        return shingles_of(nodes, docs, heads, shingle, scratch)
+
+    roots = links_of_tiles(tile, pairs, known, fetch, same_id, percent, block, scratch)
     named = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes_ = named.join(least, "root").select("node", "component_id")
