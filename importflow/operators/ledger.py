@@ -1,9 +1,10 @@
 """The ledger: one row per source row, written once, from which everything else is derived.
 
-Layout below the ledger's root: ``rows/batch_id=n`` holds outcomes, ``progress/batch_id=n``
-the per-job counts of the same batch.  The progress folder is written last; its success
-marker is what commits the batch, so readers see records, errors and cursor together or
-not at all.  Replaying a batch takes the marker away, writes both again and sets it anew.
+Layout below the ledger's root: ``rows/batch_id=n/attempt=k`` holds outcomes, the same folder
+below ``progress`` the per-job counts of the same attempt.  The progress folder is written last;
+its success marker is what commits the batch, so readers see records, errors and cursor together
+or not at all.  A replay is a further attempt: readers see the one before until its marker is
+there, and that one's files stay until the next replay for readers that have begun with them.
 
 A batch with a negative number -n is a compaction: it stands for all batches below n.
 """
@@ -38,7 +39,12 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
 def insert_if_absent(
     new: DataFrame, existing: DataFrame, keys: list[str], order: list[str]
 ) -> DataFrame:
-    """Rows of ``new`` to add: one per key, none whose key is there already."""
+    """Rows of ``new`` to add: one per key, none whose key is there already.
+
+    Where the key names a job, only the jobs in ``new`` are looked up.
+    """
+    if "job_id" in keys:
+        existing = filter_by_keys(existing, new, "job_id", keys, keep=True)
     return first_per_key(new, keys, order).join(
         existing.select(*keys).distinct(), keys, "left_anti"
     )
@@ -56,25 +62,39 @@ def _batch_folder(root: str, kind: str, batch_id: int) -> str:
     return f"{root}/{kind}/batch_id={batch_id}"
 
 
+def _attempt_folder(root: str, kind: str, batch_id: int, attempt: int) -> str:
+    return f"{_batch_folder(root, kind, batch_id)}/attempt={attempt}"
+
+
+def _number(path) -> int:
+    return int(path.getName().split("=")[1])
+
+
+def _committed(spark: SparkSession, root: str) -> dict[int, int]:
+    """The attempt that counts, the last one with a marker, of each batch."""
+    fs, pattern = file_system(spark, f"{root}/progress/batch_id=*/attempt=*/_SUCCESS")
+    last: dict[int, int] = {}
+    for found in fs.globStatus(pattern) or []:
+        attempt = found.getPath().getParent()
+        batch = _number(attempt.getParent())
+        last[batch] = max(_number(attempt), last.get(batch, 0))
+    covered = max((-b for b in last if b < 0), default=0)
+    return {b: last[b] for b in sorted(last) if b >= covered or b == -covered}
+
+
 def committed_batches(spark: SparkSession, root: str) -> list[int]:
-    fs, pattern = file_system(spark, f"{root}/progress/*/_SUCCESS")
-    found = fs.globStatus(pattern) or []
-    batches = [int(s.getPath().getParent().getName().split("=")[1]) for s in found]
-    covered = max((-b for b in batches if b < 0), default=0)
-    return sorted(b for b in batches if b >= covered or b == -covered)
+    return list(_committed(spark, root))
 
 
 def _read(
     spark: SparkSession, root: str, kind: str, schema, without: int | None, only: list[int] | None = None
 ) -> DataFrame:
-    batches = [b for b in committed_batches(spark, root)
+    folders = [_attempt_folder(root, kind, b, a) for b, a in _committed(spark, root).items()
                if b != without and (only is None or b in only)]
-    if not batches:
+    if not folders:
         return spark.createDataFrame([], schema)
-    return (
-        spark.read.schema(schema).option("basePath", f"{root}/{kind}")
-        .parquet(*[_batch_folder(root, kind, b) for b in batches])
-    )
+    found = spark.read.schema(schema).option("basePath", f"{root}/{kind}").parquet(*folders)
+    return found.drop("attempt")
 
 
 PROGRESS_SCHEMA = (
@@ -131,17 +151,24 @@ def commit_batch(
 ) -> None:
     """Write one batch; running it again for the same batch leaves the same ledger.
 
-    With ``expected`` the batch is committed only if every job's rows are all there.
+    With ``expected`` the batch is committed only if every job's rows are all there; else
+    what an earlier attempt committed stays.
     """
-    fs, marker = file_system(spark, _batch_folder(root, "progress", batch_id))
-    fs.delete(marker, True)
+    fs, folder = file_system(spark, _batch_folder(root, "rows", batch_id))
+    made = [_number(s.getPath()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    held, attempt = _committed(spark, root).get(batch_id), max(made, default=0) + 1
     columns = [f.name for f in LEDGER.fields if f.name != "batch_id"]
-    target = _batch_folder(root, "rows", batch_id)
-    rows.select(*columns).write.mode("overwrite").parquet(target)
+    target = _attempt_folder(root, "rows", batch_id, attempt)
+    rows.select(*columns).write.parquet(target)
     counts = freeze(batch_counts(spark.read.schema(LEDGER).parquet(target)))
     if expected is not None:
         require_rows(counts, expected)
-    counts.write.mode("overwrite").parquet(_batch_folder(root, "progress", batch_id))
+    counts.write.parquet(_attempt_folder(root, "progress", batch_id, attempt))
+    for old in made:
+        if old != held:
+            for kind in ("progress", "rows"):
+                fs, folder = file_system(spark, _attempt_folder(root, kind, batch_id, old))
+                fs.delete(folder, True)
 
 
 def compact(spark: SparkSession, root: str, below: int) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from importflow.operators.ledger import (
-    batch_counts, commit_batch, cursors, read_progress, require_rows, to_outcomes,
+    batch_counts, commit_batch, cursors, file_system, read_progress, require_rows, to_outcomes,
 )
 from importflow.operators.flushes import last_flush
 from importflow.operators.skew import checked_broadcast
@@ -111,6 +111,8 @@ def import_files(
         for r in stage.select("chunk").distinct().orderBy("chunk").collect():
             part = stage.where(F.col("chunk") == r["chunk"]).drop("chunk")
             commit_batch(spark, ledger, part, (batch_id + 1) * _CHUNK_BATCHES + r["chunk"])
+        fs, folder = file_system(spark, staged)
+        fs.delete(folder, True)
     failed = F.col("failed_row").isNotNull()
     return files.select(
         "job_id", F.when(failed, "FAILED").otherwise("COMPLETED").alias("status"),

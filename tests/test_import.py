@@ -110,6 +110,23 @@ def test_crash_before_the_marker(spark, uploads, tmp_path, monkeypatch):
     assert counters(spark, root) == {"e": (4, 1, 5)}
 
 
+def test_a_replay_hides_nothing_until_it_is_done(spark, uploads, tmp_path):
+    uploads.put("e", FIVE)
+    root = str(tmp_path / "ledger")
+    run(spark, uploads, root)
+    before, begun = stored(spark, root), ledger.read_ledger(spark, root)
+    fewer = begun.where("source_row_number < 3")
+    more = spark.createDataFrame([("e", 3)], "job_id string, expected_rows bigint")
+    with pytest.raises(RuntimeError, match="not committed"):
+        ledger.commit_batch(spark, root, fewer, 0, more)
+    assert stored(spark, root) == before
+    ledger.commit_batch(spark, root, fewer, 0)
+    assert ledger.read_ledger(spark, root).count() == 2 and begun.count() == len(before)
+    ledger.commit_batch(spark, root, fewer, 0)
+    assert ledger.read_ledger(spark, root).count() == 2
+    assert len(list((tmp_path / "ledger" / "rows" / "batch_id=0").glob("attempt=*"))) == 2
+
+
 def test_compaction(spark, uploads, tmp_path, monkeypatch):
     root = str(tmp_path / "ledger")
     for batch, name in enumerate("abcd"):
