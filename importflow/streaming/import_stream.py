@@ -75,6 +75,13 @@ def _events(rows: DataFrame, event: Column, number: int) -> DataFrame:
     }).select("job_id", "ts", "event_id", "event", "upload_present", *counters)
 
 
+def _keys_of(spark: SparkSession, home: ImportHome, path: Column) -> Column:
+    """The keys that may name the file at ``path``: its own, and that of the folder holding it."""
+    above = spark._jvm.org.apache.hadoop.fs.Path(home.folder("uploads")).toUri().getPath() + "/"
+    below = F.substr(path, F.locate(above, path) + len(above))
+    return F.array(below, F.regexp_replace(below, "/[^/]*$", ""))
+
+
 def confirm_uploads(
     spark: SparkSession, home: ImportHome, asked: DataFrame, number: int, pattern: str = "source.csv"
 ) -> DataFrame:
@@ -89,11 +96,12 @@ def confirm_uploads(
         asked.select(F.col("job_id").alias("id"), F.col("org_id")), ["id", "org_id"], "left_semi"
     )
     uploads = list_uploads(spark, home.folder("uploads"), pattern).select("path", "length")
-    below = F.substring_index("path", "/uploads/", -1)
-    # The object is the file, or the folder that holds its one file.
-    keys = F.array(below, F.regexp_replace(below, "/[^/]*$", ""))
-    uploads = uploads.select(F.explode(keys).alias("object_key"), "length")
-    decided = freeze(admit_uploads(own, uploads))
+    keys = F.array_distinct(_keys_of(spark, home, F.col("path")))
+    # A folder of several files is no object: it has no length, and its job is refused.
+    objects = uploads.select(F.explode(keys).alias("object_key"), "length").groupBy("object_key").agg(
+        F.when(F.count(F.lit(1)) == 1, F.max("length")).alias("length")
+    )
+    decided = freeze(admit_uploads(own, objects))
     queued = decided.where("outcome = 'QUEUED'").select(F.col("id").alias("job_id"))
     append_log(spark, home, _events(queued, F.lit("CONFIRM"), -1), -number)
     publish(queued.select(F.col("job_id").alias("jobId")), home.folder("messages"))
@@ -108,7 +116,9 @@ def publish_missing(spark: SparkSession, home: ImportHome) -> DataFrame:
     return missing
 
 
-def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> None:
+def process_messages(
+    messages: DataFrame, batch_id: int, home: ImportHome, line_sep: str = "\n"
+) -> None:
     """One micro-batch.  All of its writes replace what an earlier try of it left behind.
 
     The list of claimed jobs reaches the driver because a scan needs its paths there; the
@@ -129,26 +139,28 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
     fs, _ = file_system(spark, home.root)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
     objects = {k: hadoop_path(f"{home.folder('uploads')}/{k}") for k in keys}
-    there = [k for k in keys if fs.exists(objects[k])]
-    filled = [k for k in there if fs.getContentSummary(objects[k]).getLength() > 0]
-    above = hadoop_path(home.folder("uploads")).toUri().getPath() + "/"
+    there, filled = [], []
+    for k in keys:
+        found = fs.listStatus(objects[k]) if fs.exists(objects[k]) else None
+        files = [s for s in found or [] if not s.getPath().getName().startswith(("_", ".")) and s.getLen() > 0]
+        if found is not None and len(files) < 2:    # several files are no object: that job fails
+            there.append(k)
+            filled += [k] * len(files)
     ended = keyed.where(~F.col("source_object_key").isin(there)).select(
         "job_id", F.lit("FAILED").alias("status")
     )
     ledger = home.folder("ledger")
     if there:
         def assign(files: DataFrame) -> DataFrame:
-            # The object is the file, or the folder that holds its one file.
             path = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
-            below = F.substr(path, F.locate(above, path) + len(above))
-            folder = F.regexp_replace(below, "/[^/]*$", "")
-            named = files.withColumn("source_object_key", F.explode(F.array(below, folder)))
+            named = files.withColumn("source_object_key", F.explode(_keys_of(spark, home, path)))
             return named.join(
                 F.broadcast(keyed), "source_object_key"    # bounded as said above
             ).drop("source_object_key")
 
         results = import_files(
-            spark, ledger, [f"{home.folder('uploads')}/{k}" for k in there], assign, batch_id
+            spark, ledger, [f"{home.folder('uploads')}/{k}" for k in there], assign, batch_id,
+            line_sep=line_sep,
         )
         # An empty object is in no result; its job is done, with no rows.  Any other that the
         # scan did not return was not read, and its job fails.
@@ -178,11 +190,22 @@ def process_messages(messages: DataFrame, batch_id: int, home: ImportHome) -> No
 
 
 def start_import(
-    spark: SparkSession, home: ImportHome, files_per_batch: int = 3, available_now: bool = False
+    spark: SparkSession, home: ImportHome, files_per_batch: int = 3, available_now: bool = False,
+    messages: DataFrame | None = None, line_sep: str = "\n",
 ):
-    """Start the import stream over ``messages``; progress is kept in ``checkpoint``."""
-    stream = message_files(spark, home.folder("messages"), files_per_batch)
+    """Start the import stream; progress is kept in ``checkpoint``.
+
+    ``messages`` is any stream of ``jobId``, ``message_topic`` for one; without it the files in
+    ``messages`` are read.  ``line_sep`` is "\\r" for files of bare CR line ends.  A new checkpoint
+    counts batches from 0 again, which would take the place of earlier ones, so it is refused
+    where the log holds any.
+    """
+    fs, checkpoint = file_system(spark, home.folder("checkpoint"))
+    _, logged = file_system(spark, f"{home.folder('log')}/batch_id=[0-9]*")
+    if not fs.exists(checkpoint) and len(fs.globStatus(logged) or []):
+        raise ValueError("the log holds batches of another checkpoint")
+    stream = message_files(spark, home.folder("messages"), files_per_batch) if messages is None else messages
     writer = stream.writeStream.option("checkpointLocation", home.folder("checkpoint")).foreachBatch(
-        lambda batch, batch_id: process_messages(batch, batch_id, home)
+        lambda batch, batch_id: process_messages(batch, batch_id, home, line_sep)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

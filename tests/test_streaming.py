@@ -94,6 +94,48 @@ def test_a_batch_lost_before_its_log_is_replayed(spark, home, monkeypatch):
     assert run(spark, home) == DONE
 
 
+def test_a_key_with_two_files_fails_its_job_alone(spark, tmp_path):
+    home = home_with(spark, tmp_path, ["good", "two", "waiting"], {"good": FIVE})
+    folder = tmp_path / "home" / "uploads" / "org" / "two" / "source.csv"
+    folder.mkdir(parents=True)
+    for name in ("a.csv", "b.csv"):
+        (folder / name).write_text(FIVE)
+    send(spark, home, "two", "good")
+    done = run(spark, home)
+    assert done["good"] == DONE["good"] and done["two"][0] == "FAILED"
+
+
+def test_confirmation_takes_the_key_below_the_root(spark, tmp_path):
+    home = ImportHome(str(tmp_path / "home"))
+    requests = spark.createDataFrame([("j", "uploads", "u"), ("two", "uploads", "u")],
+                                     "id string, org_id string, submitted_by string")
+    write_table(job_ops.create_jobs(requests, F.col("id")), home.folder("jobs"), JOBS)
+    folder = tmp_path / "home" / "uploads" / "uploads"
+    (folder / "j").mkdir(parents=True)
+    (folder / "j" / "source.csv").write_text(FIVE)
+    (folder / "two" / "source.csv").mkdir(parents=True)
+    for name in ("a.csv", "b.csv"):
+        (folder / "two" / "source.csv" / name).write_text(FIVE)
+    asked = requests.select(F.col("id").alias("job_id"), "org_id")
+    decided = import_stream.confirm_uploads(spark, home, asked, 1, pattern="*.csv").collect()
+    assert sorted((r["id"], r["outcome"]) for r in decided) == [("j", "QUEUED"), ("two", "UPLOAD_NOT_FOUND")]
+
+
+def test_a_new_checkpoint_over_a_used_log_is_refused(spark, home):
+    append_log(spark, home, import_stream.read_log(spark, home).drop("batch_id").limit(0), 0)
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run(spark, home)
+
+
+def test_bare_cr_and_another_message_source(spark, tmp_path):
+    home = home_with(spark, tmp_path, ["good", "waiting"], {"good": FIVE.replace("\n", "\r")})
+    send(spark, home, "good")
+    stream = spark.readStream.schema("jobId string").json(home.folder("messages"))
+    start_import(spark, home, available_now=True, messages=stream, line_sep="\r").awaitTermination()
+    job = jobs_now(spark, home).where("id = 'good'").first()
+    assert (job["status"], job["processed_rows"], job["failed_rows"]) == ("COMPLETED", 3, 2)
+
+
 def test_life_of_a_job(spark, tmp_path):
     """Create, upload, confirm, lose the message, recover, import, fetch the result."""
     home = ImportHome(str(tmp_path / "home"))
