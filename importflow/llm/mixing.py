@@ -1,9 +1,13 @@
 """Mixing documents to target weights by iterative proportional fitting.
 
 Token sums by source, language and topic are raked until they meet the target share of every
-source, language and topic at once; a document's weight is the product of the three factors, and
-it is sampled with a probability in proportion to its weight, 1 at most, such that the expected
-tokens meet the budget.
+source, language and topic at once; a document's weight is the product of the three factors.  It
+is sampled with a probability that is such a product too, 1 at most, raked with that bound inside:
+cells at probability 1 stay there and the others are raked to what is left of each margin, until the
+expected tokens meet the budget and the target shares.  A source, language or topic whose target
+is more than it has is taken whole, and the others share the rest of the budget in proportion to
+their targets.  Targets bent that way, and margins that stay off, are logged as a warning and
+stand in ``Weights.allowed`` and ``Weights.off``.
 
 Sources may be many: their sums lie in a table with a row for each, and each round is one pass
 over it that returns a sum for each language and topic.  Languages times topics must be few
@@ -17,6 +21,8 @@ drawn hangs on its id and text alone, so repeated rows share their lot.  Empty t
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,11 +34,16 @@ TOPIC_BITS = 3
 TOPIC_WORD = 6          # bytes of a word that counts for the topic
 MOST_CELLS = 100_000
 ROUNDS = 30
+DRAW_ROUNDS = 200       # of the bounded raking, which are more where it has little room
+STALLED = 10            # rounds without a lower error after which it ends: the margins exclude each other
 CLOSE = 1e-6            # relative error of every margin at which the rounds end
+OFF = 1e-3              # relative error of a drawn margin from which on it is reported
 FLATTEN = 0.7           # shares without a target: observed share to this power
 KEEP = 0.5              # expected share of the tokens that is kept
 SEED = 17
-_BINS = 64              # to an octave of the weight, where the budget is solved
+_WHOLE = 1e12           # factor of a group that is taken whole
+
+log = logging.getLogger(__name__)
 
 
 def measure(unit: pa.RecordBatch, text: str) -> dict[str, np.ndarray]:
@@ -71,10 +82,17 @@ def _flattened(sums: dict, targets: dict | None) -> dict:
 
 
 class Weights:
-    """Factors of languages and topics, a table of the sources' factors, and the budget's scale."""
+    """Factors of languages and topics, of weight and of probability, and a table of the sources'.
+
+    ``error``: largest relative error of the weights' margins; ``off``: that of the expected tokens'
+    margins; ``allowed``: the largest budget, as a share, at which no target is more than there is.
+    """
 
-    def __init__(self, sources: DataFrame, langs: dict, topics: dict, scale: float, error: float):
-        self.sources, self.langs, self.topics, self.scale, self.error = sources, langs, topics, scale, error
+    def __init__(self, sources: DataFrame, langs: dict, topics: dict, drawn_langs: dict, drawn_topics: dict, keep: float,
+                 error: float, off: float, allowed: float):
+        self.sources, self.langs, self.topics, self.keep = sources, langs, topics, keep
+        self.drawn_langs, self.drawn_topics = drawn_langs, drawn_topics
+        self.error, self.off, self.allowed = error, off, allowed
 
     def apply(self, df: DataFrame, source: str, lang: str, topic: str) -> DataFrame:
         """The rows with __mix_weight and __mix_probability."""
@@ -84,12 +102,15 @@ class Weights:
             pairs = [x for k, v in factors.items() for x in (F.lit(k), F.lit(float(v)))]
             return F.coalesce(F.create_map(*pairs)[column], F.lit(0.0))
 
-        small = pick(F.coalesce(F.col(lang), F.lit("")), self.langs) * pick(F.col(topic), self.topics)
+        def product(factor, otherwise, langs, topics):
+            small = pick(F.coalesce(F.col(lang), F.lit("")), langs) * pick(F.col(topic), topics)
+            return F.coalesce(F.col(factor), F.lit(otherwise)) * small
+
         joined = df.join(self.sources, F.coalesce(F.col(source), F.lit("")) == F.col("__source"), "left")
-        weight = F.coalesce(F.col("__factor"), F.lit(1.0)) * small
-        return joined.withColumn("__mix_weight", weight).withColumn(
-            "__mix_probability", F.least(F.lit(1.0), F.col("__mix_weight") * self.scale)
-        ).drop("__source", "__factor")
+        return joined.withColumn("__mix_weight", product("__factor", 1.0, self.langs, self.topics)).withColumn(
+            "__mix_probability",
+            F.least(F.lit(1.0), product("__drawn", float(self.keep), self.drawn_langs, self.drawn_topics)),
+        ).drop("__source", "__factor", "__drawn")
 
 
 def rake(
@@ -108,8 +129,8 @@ def rake(
     total = sum(r["mass"] or 0 for r in few)
     place = {(r["__lang"], r["__mix_topic"]): i for i, r in enumerate(few)}
     if not total:
-        none = cells.select("__source", F.lit(1.0).alias("__factor")).distinct()
-        return Weights(none, {}, {}, keep, 0.0)
+        none = cells.select("__source", F.lit(1.0).alias("__factor"), F.lit(float(keep)).alias("__drawn")).distinct()
+        return Weights(none, {}, {}, {}, {}, keep, 0.0, 0.0, 1.0)
     sums_l, sums_t = {}, {}
     for r in few:
         sums_l[r["__lang"]] = sums_l.get(r["__lang"], 0) + r["mass"]
@@ -168,39 +189,120 @@ def rake(
         c = c * _ratio(goal_t, np.bincount(of_t, mass * b[of_l] * c[of_t], minlength=len(c)))
     small = b[of_l] * c[of_t]
 
-    def source_factors(batches):
-        for part in batches:
-            yield rows.batch(__source=part.column("__source"), __factor=factors(part, small)[3])
+    # what is drawn: targets that the groups can give, raked with probability 1 as the bound
+    budget = keep * total
+    have = np.array([r["mass"] or 0 for r in few], float)
+    have_l, have_t = np.bincount(of_l, have, len(b)), np.bincount(of_t, have, len(c))
+    draw_l, draw_t = _given(goal_l, have_l, budget), _given(goal_t, have_t, budget)
+    level = _level(lambda at: table.agg(
+        F.sum(F.when(F.col("wanted") * at >= F.col("tokens"), F.col("tokens"))),
+        F.sum(F.when(F.col("wanted") * at < F.col("tokens"), F.col("wanted"))),
+    ).first(), all_wanted, budget)
+    least = table.where("wanted > 0").agg(F.min(F.col("tokens") / F.col("wanted"))).first()[0] * all_wanted / total
+    allowed = min([least, *((h / g)[g > 0].min() for h, g in ((have_l, goal_l), (have_t, goal_t)))])
+    # a group without tokens has nothing to be whole
+    whole_l, whole_t = (draw_l >= have_l) & (have_l > 0), (draw_t >= have_t) & (have_t > 0)
+    p, q = np.where(whole_l, _WHOLE, b), np.where(whole_t, _WHOLE, c)
+
+    def drawn_factors(part, small):
+        """Like ``factors``, where the least of 1 and the product is drawn."""
+        k, mass, own, _ = factors(part, small)
+        tokens = part.column("tokens").to_numpy()
+        goal = np.minimum(tokens, part.column("wanted").to_numpy() * level)
+        factor = bounded(mass, small[k], own, goal)
+        return k, mass, own, np.where(tokens > 0, np.where(goal >= tokens, _WHOLE, factor), keep)
+
+    def drawn_with(small):
+        """Of each language and topic, the tokens at probability 1 and the others that are drawn."""
+        def run(batches):
+            found = np.zeros((2, len(place)))
+            for part in batches:
+                k, mass, own, factor = drawn_factors(part, small)
+                chance = factor[own] * small[k]
+                full = chance >= 1
+                found[0] += np.bincount(k, mass * full, minlength=len(place))
+                found[1] += np.bincount(k, mass * np.where(full, 0, chance), minlength=len(place))
+            yield rows.batch(k=np.arange(len(place)), full=found[0], rest=found[1])
+
+        passed = table.mapInArrow(run, "k long, full double, rest double").groupBy("k").agg(
+            F.sum("full"), F.sum("rest")).collect()
+        result = np.zeros((2, len(place)))
+        for k, full, rest in passed:
+            result[:, k] = full, rest
+        return result
 
-    def spread(batches):
+    off, seen = np.inf, []
+    while len(seen) < DRAW_ROUNDS:
+        now = drawn_with(p[of_l] * q[of_t])         # after the sources were met
+        met = [np.abs(np.bincount(of, now.sum(axis=0), len(g)) - g)[g > 0] / g[g > 0] for of, g in ((of_l, draw_l), (of_t, draw_t))]
+        off = max(float(m.max()) if len(m) else 0.0 for m in met)
+        seen.append(off)
+        if off < CLOSE or len(seen) > STALLED and off > 0.99 * seen[-1 - STALLED]:
+            break
+        step = np.where(whole_l, 1.0, _step(draw_l, *(np.bincount(of_l, x, len(p)) for x in now)))
+        rest = np.minimum(now[1] * step[of_l], have - now[0])
+        p, q = p * step, q * np.where(whole_t, 1.0, _step(draw_t, *(np.bincount(of_t, x, len(q)) for x in (now[0], rest))))
+    drawn = p[of_l] * q[of_t]
+    if allowed < keep:
+        log.warning("the mix keeps %.4f of the tokens, its targets allow %.4f: groups below their target are taken whole", keep, allowed)
+    if off > OFF:
+        log.warning("the margins of the drawn mix are off by %.2g of themselves: no draw meets them together", off)
+
+    def source_factors(batches):
         for part in batches:
-            k, mass, own, factor = factors(part, small)
-            weight = factor[own] * small[k]
-            real = weight > 0
-            bins = np.floor(np.log2(weight[real]) * _BINS).astype(np.int64)
-            yield rows.batch(bin=bins, mass=mass[real], weighed=(mass * weight)[real])
+            yield rows.batch(
+                __source=part.column("__source"), __factor=factors(part, small)[3], __drawn=drawn_factors(part, drawn)[3]
+            )
 
-    found = table.mapInArrow(spread, "bin long, mass double, weighed double").groupBy("bin").agg(
-        F.sum("mass"), F.sum("weighed")
-    ).collect()
-    scale = _scale(np.array([r[1] for r in found]), np.array([r[2] for r in found]), keep * total)
-    sources = store(table.mapInArrow(source_factors, "__source string, __factor double"), "mix-factors")
-    return Weights(sources, dict(zip(langs, b)), dict(zip(topics, c)), scale, error)
+    sources = store(table.mapInArrow(source_factors, "__source string, __factor double, __drawn double"), "mix-factors")
+    return Weights(sources, dict(zip(langs, b)), dict(zip(topics, c)), dict(zip(langs, p)), dict(zip(topics, q)), keep,
+                   error, off, float(allowed))
 
 
 def _ratio(goal, now):
     return np.where(now > 0, goal / np.where(now > 0, now, 1), 1.0)
 
 
-def _scale(mass: np.ndarray, weighed: np.ndarray, budget: float) -> float:
-    """The factor on all weights at which the tokens expected, each cell at most whole, meet the budget."""
-    mass, weighed = mass[mass > 0], weighed[mass > 0]
-    mean = weighed / mass
-    low, high = 0.0, 1 / mean.min() if len(mean) else 1.0
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (mass * np.minimum(1, mid * mean)).sum() < budget else (low, mid)
-    return high
+def _step(goal, full, rest):
+    """What to multiply factors by, so that ``rest`` fills up what the tokens at probability 1 leave
+    of the goal; less than they leave, and all come down in proportion."""
+    up = np.where(rest > 0, (goal - full) / np.where(rest > 0, rest, 1), 1.0)
+    return np.where(goal < full + rest, np.maximum(up, _ratio(goal, full + rest)), np.maximum(up, 1.0))
+
+
+def _level(sums, wanted: float, budget: float) -> float:
+    """The factor on all targets at which the groups, each at most whole, give the budget.  ``sums``
+    tells, at a factor, the tokens of whole groups and the targets of the others."""
+    level = budget / wanted
+    for _ in range(1000):       # ends when no further group becomes whole
+        full, rest = (float(x or 0) for x in sums(level))
+        if not rest:
+            return level
+        higher = (budget - full) / rest
+        if higher <= level * (1 + 1e-12):
+            return level
+        level = higher
+    return level
+
+
+def _given(want: np.ndarray, have: np.ndarray, budget: float) -> np.ndarray:
+    """Targets in proportion to ``want``, none more than there is, that sum to the budget if they can."""
+    level = _level(lambda at: (have[want * at >= have].sum(), want[want * at < have].sum()), want.sum(), budget)
+    return np.minimum(have, want * level)
+
+
+def bounded(mass: np.ndarray, weight: np.ndarray, own: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Of each group, the factor at which the sum of mass * min(1, factor * weight) meets the goal."""
+    full = np.zeros(len(mass), bool)
+    factor = np.zeros(len(goal))
+    while True:     # cells only ever become full
+        left = goal - np.bincount(own, mass * full, minlength=len(goal))
+        rest = np.bincount(own, np.where(full, 0, mass * weight), minlength=len(goal))
+        factor = np.where(rest > 0, np.maximum(factor, left / np.where(rest > 0, rest, 1)), factor)
+        more = ~full & (factor[own] * weight >= 1)
+        if not more.any():
+            return factor
+        full |= more
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",

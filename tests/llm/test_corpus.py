@@ -67,6 +67,34 @@ def test_mixing_meets_the_margins(documents):
     assert abs(got[got.sampled].n_tokens.sum() / got.n_tokens.sum() - 0.5) < 0.15
 
 
+def test_what_is_drawn_meets_the_margins(documents):
+    """Also where weights times the budget pass probability 1."""
+    got = mixing.mix(documents, keep=0.65).toPandas()
+    got["drawn"] = got.n_tokens * got.probability
+    assert (got.probability >= 1).any() and (got.probability <= 1).all()
+    assert abs(got.drawn.sum() / got.n_tokens.sum() - 0.65) < 1e-4
+    for column in ("source", "lang", "topic"):
+        observed = got.groupby(column).n_tokens.sum()
+        wanted = observed**mixing.FLATTEN / (observed**mixing.FLATTEN).sum()
+        assert (got.groupby(column).drawn.sum() / got.drawn.sum() - wanted).abs().max() < 1e-4
+
+
+def test_groups_below_their_target_are_taken_whole(session, caplog):
+    """At 0.9 the rare language cannot have its share: it is whole, the sources still meet theirs."""
+    sizes = {("a", "en"): 600, ("b", "en"): 200, ("a", "de"): 20, ("b", "de"): 20, ("a", "fr"): 90, ("b", "fr"): 70}
+    frame = session.createDataFrame([(*k, 0, n) for k, n in sizes.items()], "source string, lang string, topic long, n long")
+    weights = mixing.rake(frame, "source", "lang", "topic", "n", 0.9)
+    got = weights.apply(frame, "source", "lang", "topic").toPandas()
+    got["drawn"] = got.n * got["__mix_probability"]
+    assert abs(got.drawn.sum() - 900) < 1e-2 and weights.off < 1e-4 and weights.allowed < 0.9
+    assert "taken whole" in caplog.text
+    langs, sources = got.groupby("lang").drawn.sum(), got.groupby("source").drawn.sum()
+    assert abs(langs["de"] - 40) < 1e-2 and abs(langs["fr"] - 160) < 1e-2
+    share = 710**mixing.FLATTEN / (710**mixing.FLATTEN + 290**mixing.FLATTEN)
+    whole = 290 < 900 * (1 - share)
+    assert abs(sources["b"] - (290 if whole else 900 * (1 - share))) < 1e-2
+
+
 def article(page):
     inner = re.search(r"<article>(.*)</article>", page, re.S).group(1)
     parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
