@@ -5,7 +5,9 @@ a template repeats them) and each is aligned with the host's first page by simpl
 Aligned nodes whose text is the same on nearly all pages are template; nodes whose text varies are
 slots.  A page's text is what its article (else main element, else body) holds in slots and in
 nodes of its own, less elements that by tag or class are menus, headers, footers, sidebars,
-notices, adverts, forms or reader comments; under the body, lists of links go too.
+notices, adverts, forms or reader comments; under the body, lists of links go too.  A class tells
+by a whole name ("sidebar", "ad-box", not "no-sidebar"), an id, which may come from a heading, only
+together with links or in the few words of ``_OFF_IDS``; neither cuts a heading, nor all of a page.
 
 A host's pages are aligned in chunks of about ``CHUNK`` pages, so that a host of any size is dealt
 out over many tasks; a page alone in its chunk is read by tag and class only.  A node counts as
@@ -38,7 +40,7 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object"}
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
 _BLOCKS = set(
@@ -58,14 +60,19 @@ _OFF_NAMES = set(
     "reply replies respond disqus discussion related recommended share sharing social widget toolbar pagination "
     "pager skip complementary contentinfo search form".split()
 )
+_PLACES = set(      # what a class may add to a listed name
+    "box block container wrapper wrap outer inner bar area unit slot list item items section panel widget site page main "
+    "top bottom left right primary secondary global local mobile sticky fixed posts articles links stories".split()
+)
+_OFF_IDS = {"comments", "disqus", "disqus_thread", "respond", "sidebar", "navbar", "masthead", "footer"}   # of a div
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("tag", "names", "parts", "linked")
+    __slots__ = ("tag", "names", "told", "parts", "linked")
 
-    def __init__(self, tag: str, names: frozenset):
-        self.tag, self.names, self.parts, self.linked = tag, names, [], 0
+    def __init__(self, tag: str, names: frozenset, told: frozenset = frozenset()):
+        self.tag, self.names, self.told, self.parts, self.linked = tag, names, told, [], 0
 
     @property
     def label(self):
@@ -75,17 +82,38 @@ class Node:
     def children(self):
         return [p for p in self.parts if isinstance(p, Node)]
 
-    def is_off(self, in_article: bool) -> bool:
-        if self.tag in _OFF_TAGS or self.names & _OFF_NAMES and self.tag not in ("html", "body"):
+    def is_off(self, in_article: bool, by_name: bool = True) -> bool:
+        if self.tag in _OFF_TAGS or self.tag == "header" and not in_article:
+            return True
+        if not by_name or not self.told or self.tag in _HEADINGS or self.tag in ("html", "body"):
+            return False
+        if "class" in self.told or "header" in self.told and not in_article:
             return True
-        return not in_article and (self.tag == "header" or "header" in self.names and self.tag not in ("html", "body"))
+        return "id" in self.told and (self.tag == "div" and "plain id" in self.told or _is_menu(self))
+
+
+def _told(found: list[tuple]) -> frozenset:
+    """What the attributes (name and value) of an element say: which of them name boilerplate."""
+    told = set()
+    for name, value in found:
+        for word in value.split():
+            parts = [p for p in _PARTS.split(word) if p]
+            listed = [p for p in parts if p in _OFF_NAMES]
+            if name == "id":
+                told |= {"id"} if listed else set()
+                told |= {"plain id"} if word in _OFF_IDS else set()
+            elif listed and all(p in _OFF_NAMES or p in _PLACES for p in parts):
+                told.add("class")
+            elif "header" in parts and all(p == "header" or p in _PLACES for p in parts):
+                told.add("header")
+    return frozenset(told)
 
 
 def parse(html: str) -> Node:
     """The tree of block elements; inline elements leave their text in the block round them."""
     root = Node("#", frozenset())
     stack, links, at = [root], 0, 0
-    names_of: dict[str, frozenset] = {}
+    names_of: dict[str, tuple[frozenset, frozenset]] = {}
 
     def text(piece):
         if piece:
@@ -122,9 +150,10 @@ def parse(html: str) -> Node:
                     break
             names = names_of.get(rest)
             if names is None:
-                found_names = " ".join("".join(m) for m in _NAMES.findall(rest)).lower() if "=" in rest else ""
-                names = names_of[rest] = frozenset(n for n in _PARTS.split(found_names) if n)
-            node = Node(tag, names)
+                found = [(m[0].lower(), "".join(m[1:]).lower()) for m in _NAMES.findall(rest)] if "=" in rest else []
+                parts = frozenset(n for _, value in found for n in _PARTS.split(value) if n)
+                names = names_of[rest] = parts, _told(found)
+            node = Node(tag, *names)
             stack[-1].parts.append(node)
             links = 0
             if tag not in _VOID and not rest.endswith("/"):
@@ -282,13 +311,18 @@ def template_runs(pages: list[tuple[Node, Shape]]) -> set[int]:
     return found
 
 
-def main_text(tree: Node, template: set[int]) -> str:
+def main_text(tree: Node, template: set[int], by_name: bool = True) -> str:
     out: list[str] = []
+    named = False
     for root in roots(tree):
         whole = root is tree
 
         def skip(node):
-            if node.is_off(not whole) or id(node) in template:
+            nonlocal named
+            if id(node) in template or node.is_off(not whole, False):
+                return True
+            if by_name and node.is_off(not whole):
+                named = named or _titled(node)
                 return True
             if not whole and node.tag == "header":      # of an article: its headings stay
                 for child in node.children:
@@ -299,9 +333,21 @@ def main_text(tree: Node, template: set[int]) -> str:
 
         if not root.is_off(True):
             blocks(root, skip, out)
+    if named and not out:       # a name round the title and all of the page tells nothing
+        return main_text(tree, template, False)
     return "\n".join(out)
 
 
+def _titled(node: Node) -> bool:
+    work = [node]
+    while work:
+        n = work.pop()
+        if n.tag == "h1":
+            return True
+        work += n.children
+    return False
+
+
 def _is_menu(node: Node) -> bool:
     length = linked = 0
     work = [node]

@@ -127,6 +127,16 @@ def test_boilerplate_in_and_round_an_article():
     assert html_text.extract_group([page, None, ""]) == ["A & B\nOne two three\nx\ny", "", ""]
 
 
+def test_names_alone_cut_no_text():
+    """Ids made from headings, classes that only contain a listed word, a wrapper round all."""
+    paper = "<article><h2 id=related-work>Before us</h2><p>Much</p><section id=discussion><h2 id=search>Why</h2><p>So {}</p></section></article>"
+    assert html_text.extract_group([paper.format(0)]) == ["Before us\nMuch\nWhy\nSo 0"]
+    assert html_text.extract_group(["<body><div class='content no-sidebar'><p>All</p></div><div class=sidebar>x</div>"]) == ["All"]
+    assert html_text.extract_group(["<body><div class=modal><h1>A</h1><p>All</p></div>"]) == ["A\nAll"]
+    odd = "<article><p>One</p><div id=related><a href=x>Other</a></div><div id=comments>hm</div><div data-id=footer>Two</div></article>"
+    assert html_text.extract_group([odd]) == ["One\nTwo"]
+
+
 def components(sets, percent):
     parent = {k: k for k in sets}
 
