@@ -2,8 +2,8 @@
 
 The pages of a host are parsed to trees of block elements (runs of alike siblings are one node, as
 a template repeats them) and each is aligned with the host's first page by simple tree matching.
-Aligned nodes whose text is the same on nearly all pages are template; nodes whose text varies are
-slots.  A page's text is what its article (else main element, else body) holds in slots and in
+In aligned runs, nodes whose text stands on nearly all pages, as often on each, are template; nodes
+whose text varies are slots.  A page's text is what its article (else main element, else body) holds in slots and in
 nodes of its own, less elements that by tag or class are menus, headers, footers, sidebars,
 notices, adverts, forms or reader comments; under the body, lists of links go too.  A class tells
 by a whole name ("sidebar", "ad-box", not "no-sidebar"), an id, which may come from a heading, only
@@ -295,19 +295,22 @@ def template_runs(pages: list[tuple[Node, Shape]]) -> set[int]:
         return found
     voters = set(articles.values())
     reference = pages[min(voters)][1]
-    seen: dict[int, Counter] = {}
+    seen: dict[int, Counter] = {}       # of each slot, the pages with a text so many times
+    voted: Counter = Counter()
     where: dict[int, list] = {}
     for i, (_, shape) in enumerate(pages):
         for x, y in aligned(reference, shape, known):
-            if len(y.nodes) == 1 and y.nodes[0].tag not in ("#", "html", "head", "body", "article", "main"):
-                text = text_of(y.nodes)
-                where.setdefault(id(x), []).append((text, y.nodes[0]))
+            if y.nodes[0].tag not in ("#", "html", "head", "body", "article", "main"):
+                texts = [text_of([node]) for node in y.nodes]
+                often = Counter(texts)
+                where.setdefault(id(x), []).extend(((t, often[t]), node) for t, node in zip(texts, y.nodes) if t)
                 if i in voters:
-                    seen.setdefault(id(x), Counter())[text] += 1
+                    voted[id(x)] += 1
+                    seen.setdefault(id(x), Counter()).update(often.items())
     for slot, texts in seen.items():
-        text, often = texts.most_common(1)[0]
-        if text and often >= MIN_PAGES and often >= NEARLY_ALL * sum(texts.values()):
-            found.update(id(node) for mine, node in where[slot] if mine == text)
+        constant = {t for t, n in texts.items() if n >= MIN_PAGES and n >= NEARLY_ALL * voted[slot]}
+        if constant:
+            found.update(id(node) for mine, node in where[slot] if mine in constant)
     return found
 
 

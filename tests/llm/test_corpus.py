@@ -127,6 +127,19 @@ def test_boilerplate_in_and_round_an_article():
     assert html_text.extract_group([page, None, ""]) == ["A & B\nOne two three\nx\ny", "", ""]
 
 
+def test_template_among_alike_siblings():
+    page = "<html><body><div>menu</div><div>{}</div><div>terms</div></body></html>"
+    stories = [f"Story {i} about things {i * 7}" for i in range(6)]
+    assert html_text.extract_group([page.format(s) for s in stories]) == stories
+    page = "<article><p>{}</p><p>{}</p><p>Write to us</p></article>"
+    more = [" ".join(["again"] * (i % 2 + 1)) for i in range(6)]
+    assert html_text.extract_group([page.format(*x) for x in zip(stories, more)]) == [
+        "\n".join(x) for x in zip(stories, more)]
+    cells = "<article><h1>{}</h1><table><tr>{}</tr></table></article>"       # a value is no label
+    got = html_text.extract_group([cells.format(s, "<td>0</td>" * (i + 1)) for i, s in enumerate(stories)])
+    assert got == ["\n".join([s] + ["0"] * (i + 1)) for i, s in enumerate(stories)]
+
+
 def test_names_alone_cut_no_text():
     """Ids made from headings, classes that only contain a listed word, a wrapper round all."""
     paper = "<article><h2 id=related-work>Before us</h2><p>Much</p><section id=discussion><h2 id=search>Why</h2><p>So {}</p></section></article>"
