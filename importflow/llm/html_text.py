@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 The pages of a host are parsed to trees of block elements (runs of alike siblings are one node, as
-a template repeats them) and each is aligned with the host's first page by simple tree matching.
+a template repeats them) and aligned by simple tree matching with
+a wrapper, which takes up from every page what it does not have yet; then all are aligned with it.
 In aligned runs, nodes whose text stands on nearly all pages, as often on each, are template; nodes
 whose text varies are slots.  A page's text is what its article (else main element, else body) holds in slots and in
 nodes of its own, less elements that by tag or class are menus, headers, footers, sidebars,
@@ -211,19 +212,22 @@ def groups(nodes: list[Node]) -> list[list[Node]]:
 class Shape:
     """A run of alike nodes and the runs below them: what trees are aligned by."""
 
-    __slots__ = ("nodes", "below", "key", "size")
+    __slots__ = ("nodes", "below", "key")
 
-    def __init__(self, nodes: list[Node], depth: int = 0):
+    def __init__(self, nodes: list[Node], keys: dict, depth: int = 0):
         self.nodes = nodes
         inner = [c for n in nodes for c in n.children] if depth < 60 else []
-        self.below = [Shape(run, depth + 1) for run in groups(inner)]
-        self.key = (nodes[0].label, tuple(s.key for s in self.below))
-        self.size = 1 + sum(s.size for s in self.below)
+        self.below = [Shape(run, keys, depth + 1) for run in groups(inner)]
+        self.name(keys)
 
-    def walk(self):
-        yield self
-        for s in self.below:
-            yield from s.walk()
+    def name(self, keys: dict):
+        """The key: a number of ``keys`` for each label and keys below."""
+        self.key = keys.setdefault((self.nodes[0].label, tuple(s.key for s in self.below)), len(keys))
+
+    def copy(self) -> Shape:
+        other = Shape.__new__(Shape)
+        other.nodes, other.key, other.below = self.nodes, self.key, [s.copy() for s in self.below]
+        return other
 
 
 def match(a: Shape, b: Shape, known: dict) -> tuple[int, list]:
@@ -262,6 +266,25 @@ def aligned(a: Shape, b: Shape, known: dict):
             work += [(x.below[i], y.below[j]) for i, j in match(x, y, known)[1]]
 
 
+def grow(wrapper: Shape, page: Shape, known: dict, keys: dict) -> bool:
+    """Put into the wrapper, at their places, the runs of a page that it does not have."""
+    pairs = match(wrapper, page, known)[1]
+    mine = dict((j, i) for i, j in pairs)
+    grown, below, at = False, [], 0
+    for j, run in enumerate(page.below):
+        if j in mine:
+            below += wrapper.below[at:mine[j] + 1]
+            at = mine[j] + 1
+            grown |= grow(below[-1], run, known, keys)
+        else:
+            below.append(run.copy())
+            grown = True
+    if grown:
+        wrapper.below = below + wrapper.below[at:]
+        wrapper.name(keys)
+    return grown
+
+
 def text_of(nodes: list[Node]) -> str:
     return "\n".join("\n".join(blocks(n, lambda _: False, [])) for n in nodes)
 
@@ -281,25 +304,32 @@ def roots(tree: Node) -> list[Node]:
     return [tree]
 
 
-def template_runs(pages: list[tuple[Node, Shape]]) -> set[int]:
+def template_runs(trees: list[Node]) -> set[int]:
     """The nodes (by identity) that stand for template on their page."""
     found: set[int] = set()
-    if len(pages) < MIN_PAGES:
+    if len(trees) < MIN_PAGES:
         return found
     known: dict = {}
+    keys: dict = {}
     # copies of one article would make all of it look constant: each counts once
     articles: dict[str, int] = {}
-    for i, (tree, _) in enumerate(pages):
+    for i, tree in enumerate(trees):
         articles.setdefault(text_of(roots(tree)), i)
     if len(articles) < MIN_PAGES:
         return found
     voters = set(articles.values())
-    reference = pages[min(voters)][1]
+    pages = [Shape([t], keys) for t in trees]
+    wrapper = pages[min(voters)].copy()
+    taken = {wrapper.key}
+    for shape in pages:
+        if shape.key not in taken:
+            taken.add(shape.key)
+            grow(wrapper, shape, known, keys)
     seen: dict[int, Counter] = {}       # of each slot, the pages with a text so many times
     voted: Counter = Counter()
     where: dict[int, list] = {}
-    for i, (_, shape) in enumerate(pages):
-        for x, y in aligned(reference, shape, known):
+    for i, shape in enumerate(pages):
+        for x, y in aligned(wrapper, shape, known):
             if y.nodes[0].tag not in ("#", "html", "head", "body", "article", "main"):
                 texts = [text_of([node]) for node in y.nodes]
                 often = Counter(texts)
@@ -365,7 +395,7 @@ def _is_menu(node: Node) -> bool:
 def extract_group(htmls: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     trees = [parse(h or "") for h in htmls]
-    template = template_runs([(t, Shape([t])) for t in trees]) if len(trees) >= MIN_PAGES else set()
+    template = template_runs(trees)
     return [main_text(t, template) for t in trees]
 
 

@@ -140,6 +140,16 @@ def test_template_among_alike_siblings():
     assert got == ["\n".join([s] + ["0"] * (i + 1)) for i, s in enumerate(stories)]
 
 
+def test_template_that_the_first_page_lacks():
+    page = "<html><body><p>{}</p>{}<ul><li>All about us</li></ul></body></html>"
+    notice = "<table><tr><td>We moved</td></tr></table>"
+    stories = [f"Story {i} about things {i * 7}" for i in range(12)]
+    pages = [page.format(s, notice if i % 2 else "") for i, s in enumerate(stories)]
+    error = "<html><body><pre>Not found</pre></body></html>"
+    assert html_text.extract_group([error, *pages]) == ["Not found", *stories]
+    assert html_text.extract_group([*pages, error]) == [*stories, "Not found"]
+
+
 def test_names_alone_cut_no_text():
     """Ids made from headings, classes that only contain a listed word, a wrapper round all."""
     paper = "<article><h2 id=related-work>Before us</h2><p>Much</p><section id=discussion><h2 id=search>Why</h2><p>So {}</p></section></article>"
