@@ -5,7 +5,9 @@ windows that share it travel as one packed string of words to the bucket of the
 the windows of all strings are sorted and all but the earliest of equal ones are marked.  Before
 they travel, a task marks what is repeated among the texts it works on, so of a passage that a
 third of all documents hold, each unit of text sends one copy.  Buckets hold about
-``BUCKET_BYTES`` each, as their number follows the corpus.
+``BUCKET_BYTES`` each, as their number follows the corpus.  What goes to each is counted first: one
+that a frequent minimiser fills beyond ``HEAVY`` times that is split by a hash of whole windows into
+parts of that size, so equal windows still meet.
 
 Windows are found equal by 64-bit hashes of words, then compared word by word.
 
@@ -30,6 +32,7 @@ LENGTH = 20
 PICK = 4
 UNIT_BYTES = 4 << 20        # of text that is packed together
 BUCKET_BYTES = 4 << 20      # of packed strings; they are about three times the text
+HEAVY = 4
 _COPIES = 3
 
 _CODEC = "zstd"
@@ -100,8 +103,57 @@ def stretches(doc: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch
     return rows.batch(doc=doc[first], begin=place[first], end=place[last] + length)
 
 
-def super_kmers(unit: pa.RecordBatch, buckets: int, length: int) -> pa.RecordBatch | None:
-    """Packed strings by bucket (kind 0), and the stretches already found in the unit (kind 1)."""
+def minimisers(hashes: np.ndarray, length: int) -> np.ndarray:
+    """The least hash of a piece of each window."""
+    return least(words.windows(hashes, min(PICK, length)), length - min(PICK, length) + 1)
+
+
+def bucket_of(signs: np.ndarray, buckets: int) -> np.ndarray:
+    return (words.mix(signs) % np.uint64(buckets)).astype(np.int64)
+
+
+def loads(unit: pa.RecordBatch, buckets: int, length: int) -> np.ndarray:
+    """Bytes of the different super-k-mers of the unit by bucket, and of all their windows, each by itself."""
+    data, offsets = rows.text_bytes(unit.column("text"))
+    starts, ends, first = words.word_spans(data, offsets)
+    at = np.flatnonzero(words.whole_windows(first, length))
+    if not len(at):
+        return np.zeros((2, buckets))
+    hashes = words.span_hashes(data, starts, ends)
+    signs = minimisers(hashes, length)[at]
+    line = words.owner(first)[at]
+    cut = (signs[1:] != signs[:-1]) | (at[1:] != at[:-1] + 1) | (line[1:] != line[:-1])
+    begin = np.concatenate([[0], np.flatnonzero(cut) + 1])
+    stop = np.concatenate([begin[1:], [len(at)]])
+    alone = np.add.reduceat(ends[at + length - 1] - starts[at], begin)
+    keys = words.windows(hashes, length)[at]
+    same = words.mix(keys[begin] ^ words.mix(keys[stop - 1] ^ (stop - begin).astype(np.uint64)))
+    once = np.unique(same, return_index=True)[1]
+    bucket = bucket_of(signs[begin[once]], buckets)
+    whole = (ends[at[stop - 1] + length - 1] - starts[at[begin]])[once]
+    return np.stack([np.bincount(bucket, x, minlength=buckets) for x in (whole, alone[once])])
+
+
+def heavy_parts(df: DataFrame, buckets: int, length: int, bucket_bytes: int) -> dict[int, int]:
+    """The buckets to split and into how many parts each."""
+    def run(batches):
+        found = np.zeros((2, buckets))
+        for unit in rows.gathered(batches, "text", UNIT_BYTES):
+            found += loads(unit, buckets, length)
+        used = np.flatnonzero(found[0])
+        yield rows.batch(bucket=used, whole=found[0][used], alone=found[1][used])
+
+    counted = df.select("text").mapInArrow(run, "bucket long, whole double, alone double").groupBy("bucket").agg(
+        F.sum("whole").alias("whole"), F.sum("alone").alias("alone"))
+    return {r["bucket"]: int(r["alone"] // bucket_bytes) + 1
+            for r in counted.where(F.col("whole") > HEAVY * bucket_bytes).collect()}
+
+
+def super_kmers(unit: pa.RecordBatch, buckets: int, length: int, heavy: dict[int, int]) -> pa.RecordBatch | None:
+    """Packed strings by bucket (kind 0), and the stretches already found in the unit (kind 1).
+
+    Parts of ``heavy`` buckets are numbered behind all buckets.
+    """
     ids = rows.ids_of(unit.column("doc"))
     order = np.argsort(ids, kind="stable")
     ids, unit = ids[order], unit.take(pa.array(order))
@@ -116,19 +168,29 @@ def super_kmers(unit: pa.RecordBatch, buckets: int, length: int) -> pa.RecordBat
     hashes = words.span_hashes(data, starts, ends)
     owner = words.owner(first)
     doc, place = ids[owner[at]], at - first[owner[at]]
-    copies = later_copies(words.windows(hashes, length)[at], hashes, at, doc, place, length)
+    keys = words.windows(hashes, length)[at]
+    copies = later_copies(keys, hashes, at, doc, place, length)
     out = []
     if copies.any():
         found = stretches(doc[copies], place[copies], length)
         out.append((0, 1, pack([c.to_numpy() for c in found.columns], b"")))
-    at, doc, place = at[~copies], doc[~copies], place[~copies]
+    at, doc, place, keys = at[~copies], doc[~copies], place[~copies], keys[~copies]
     if len(at):
-        signs = least(words.windows(hashes, min(PICK, length)), length - min(PICK, length) + 1)[at]
+        signs = minimisers(hashes, length)[at]
         line = owner[at]
         cut = (signs[1:] != signs[:-1]) | (at[1:] != at[:-1] + 1) | (line[1:] != line[:-1])
+        bucket = bucket_of(signs, buckets)
+        if heavy:
+            split, parts = np.array(sorted(heavy.items()), np.int64).T
+            spot = np.minimum(np.searchsorted(split, bucket), len(split) - 1)
+            mine = np.flatnonzero(split[spot] == bucket)
+            spot = spot[mine]
+            part = (words.mix(keys[mine]) % parts[spot].astype(np.uint64)).astype(np.int64)
+            bucket[mine] = buckets + (np.cumsum(parts) - parts)[spot] + part
+        cut |= bucket[1:] != bucket[:-1]
         begin = np.concatenate([[0], np.flatnonzero(cut) + 1])
         stop = np.concatenate([begin[1:], [len(at)]])
-        bucket = (words.mix(signs[begin]) % np.uint64(buckets)).astype(np.int64)
+        bucket = bucket[begin]
         ranked = np.argsort(bucket, kind="stable")
         left, right = starts[at[begin]], ends[at[stop - 1] + length - 1]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[ranked])) + 1, [len(ranked)]])
@@ -164,6 +226,7 @@ def repeated(df: DataFrame, length: int = LENGTH, bucket_bytes: int | None = Non
     """Stretches of words (doc, begin, end) that later copies of windows cover; ``df`` has doc, text."""
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total * _COPIES // (bucket_bytes or BUCKET_BYTES)) + 16
+    heavy = heavy_parts(df, buckets, length, bucket_bytes or BUCKET_BYTES)
 
     def sort_all(batches):
         for _, group in rows.by_group(batches, "bucket"):
@@ -177,7 +240,7 @@ def repeated(df: DataFrame, length: int = LENGTH, bucket_bytes: int | None = Non
                 yield sort_bucket(strings, length)
 
     packed = rows.map_units(
-        df.select("doc", "text"), "text", lambda unit: super_kmers(unit, buckets, length),
+        df.select("doc", "text"), "text", lambda unit: super_kmers(unit, buckets, length, heavy),
         "bucket long, kind long, blob binary", UNIT_BYTES,
     )
     # what a unit found itself belongs to no bucket: deal it out evenly

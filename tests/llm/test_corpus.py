@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from importflow.llm import (
     digest, html_text, jaccard, language, lengths, mixing, packing, quality_rules, queries, secrets, substrings, tokens,
+    words,
 )
 from importflow.session import apply_settings
 from tests import oracle
@@ -160,6 +161,48 @@ def test_names_alone_cut_no_text():
     assert html_text.extract_group([odd]) == ["One\nTwo"]
 
 
+def test_windows_of_a_frequent_phrase_are_dealt_out(session):
+    """A phrase with the least hash in every window: its bucket is split, repeats are still found."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    def sign(phrase):
+        data = phrase.encode()
+        starts, ends, _ = words.word_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return words.windows(words.span_hashes(np.frombuffer(data, np.uint8), starts, ends), substrings.PICK)[0]
+
+    phrase = min((f"all rights reserved {i}" for i in range(3000)), key=sign)
+    rnd, docs = random.Random(2), []
+    for i in range(300):
+        docs.append(" ".join(f"{phrase} " + " ".join(f"v{rnd.randrange(10**6)}" for _ in range(9)) for _ in range(6)))
+    docs += docs[:20]
+    frame = session.createDataFrame(list(enumerate(docs)), "doc long, text string").repartition(3)
+    size, buckets = 20_000, 16
+    unit = pa.RecordBatch.from_pydict({"doc": list(range(len(docs))), "text": docs})
+
+    def largest(heavy):
+        packed, held = substrings.super_kmers(unit, buckets, substrings.LENGTH, heavy).to_pylist(), Counter()
+        for r in packed:
+            if r["kind"] == 0:
+                held[r["bucket"]] += len(substrings.unpack(r["blob"], 3)[1])
+        return max(held.values())
+
+    heavy = substrings.heavy_parts(frame, buckets, substrings.LENGTH, size)
+    assert heavy and largest({}) > 4 * size and largest(heavy) < 2 * size
+    seen, gone = set(), set()
+    for i, text in enumerate(docs):
+        split = text.split()
+        for at in range(len(split) - substrings.LENGTH + 1):
+            window = tuple(split[at:at + substrings.LENGTH])
+            if window in seen:
+                gone |= {(i, at + k) for k in range(substrings.LENGTH)}
+            seen.add(window)
+    found = substrings.repeated(frame, bucket_bytes=size).collect()
+    assert {(r.doc, at) for r in found for at in range(r.begin, r.end)} == gone and gone
+
+
 def components(sets, percent):
     parent = {k: k for k in sets}
 
