@@ -491,9 +491,9 @@ def join_components(
     # ids tie classes too: rows of one id are one node
     usable = table.where("n > 0 AND doc_id IS NOT NULL")
     heads = scratch.store(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    same_id = usable.groupBy("doc_id").agg(
-        F.min("node").alias("a"), F.max("node").alias("b")
-    ).where("a <> b").select("a", "b")
+    several = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    several = scratch.store(several.select("doc_id", "a"))
+    same_id = usable.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     tile = scratch.store(tiles(docs, shingle, percent, entries_of_bucket))
     pairs = scratch.store(tile.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
     known = usable.select("node", "n", "bits").dropDuplicates(["node"])

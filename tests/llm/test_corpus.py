@@ -242,6 +242,16 @@ def test_jaccard_on_a_crowd_of_near_copies(session, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == components(sets, 85)
 
 
+def test_all_texts_of_one_id_are_one_node(session):
+    """Five texts of one id, each with a near copy of its own id: one component."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(5)]
+    rows = [(7, t) for t in texts] + [(1 + k, t + " end") for k, t in enumerate(texts)] + [(20, "x y z a b c")]
+    frame = session.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.join_components(frame).collect()
+    assert len(found) == 11
+    assert all(r.component_id == (20 if r.doc_id == 20 else 1) for r in found)
+
+
 def test_packing_lays_every_token_once(session, documents):
     pieces = packing.pack(documents, task_bytes=200_000).toPandas()
     texts = {r.doc_id: r.text for r in documents.collect()}
