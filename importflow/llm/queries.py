@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from importflow.llm import digest, html_text, jaccard, language, lengths, mixing, packing, quality_rules, secrets, substrings
+from importflow.llm import (
+    digest, html_text, jaccard, language, lengths, mixing, packing, periods, quality_rules, secrets, substrings,
+)
 from importflow.session import store
 
 
@@ -56,8 +58,22 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(store(measured, "measures"), "source").drop("source")
 
 
+def op11_periodic_runs(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = documents.withColumn("text", periods.rewritten("doc_id", "text"))
+    return periods.summary(periods.with_runs(changed, keep=["doc_id"]))
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, byte by byte and bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    bits = "list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda crc, b: {bits}), 4294967295)"
+
+
 QUERIES = {
     "op1_ipf_mixing": op1_ipf_mixing,
     "op2_wrapper_induction": op2_wrapper_induction,
@@ -69,6 +85,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES = {
@@ -133,4 +150,35 @@ ORACLES = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND ok AS kept
         FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source""",
+    # Two places with the same six words are a lag apart; every run holds such pairs without a gap, since of its
+    # max(12, 2p) words at least max(12 - p, p) >= 6 equal the word one period on.
+    "op11_periodic_runs": rf"""
+        WITH given AS (SELECT doc_id, {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h,
+                              regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+        turned AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a FROM given),
+        period AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM turned),
+        w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n),
+                     lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM period),
+        grams AS (SELECT doc_id, i - 1 AS i, ws[i:i + 5] AS g FROM w, unnest(range(1, n - 4)) AS t(i)),
+        pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM grams x JOIN grams y
+                  ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+        islands AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM pairs),
+        stretches AS (SELECT doc_id, p, min(i) AS start, max(i) + 6 - min(i) + p AS length
+                      FROM islands GROUP BY doc_id, p, k),
+        runs AS (SELECT doc_id, start, length, min(p) AS p FROM stretches
+                 WHERE length >= greatest(12, 2 * p) GROUP BY doc_id, start, length),
+        told AS (SELECT doc_id, count(*) AS n_runs,
+                        string_agg(start || ',' || length || ',' || p || chr(10), '' ORDER BY start, p) AS lines
+                 FROM runs GROUP BY doc_id),
+        best AS (SELECT doc_id, start, length, p, row_number() OVER (
+                     PARTITION BY doc_id ORDER BY length DESC, start, p) AS r FROM runs),
+        gone AS (SELECT DISTINCT doc_id, j FROM runs, unnest(range(start + p, start + length)) AS t(j)),
+        flat AS (SELECT doc_id, unnest(ws) AS word, unnest(range(n)) AS j FROM w),
+        kept AS (SELECT flat.doc_id, string_agg(word, ' ' ORDER BY flat.j) AS whole FROM flat
+                 ANTI JOIN gone ON gone.doc_id = flat.doc_id AND gone.j = flat.j GROUP BY flat.doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.p AS period,
+               1000 * best.length // best.p AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(whole, '')) AS collapsed_sha256
+        FROM documents d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+        LEFT JOIN best ON best.doc_id = d.doc_id AND best.r = 1""",
 }
