@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from importflow.llm import (
     digest, html_text, jaccard, language, lengths, mixing, packing, periods, quality_rules, secrets, substrings,
+    tries,
 )
 from importflow.session import store
 
@@ -64,6 +65,10 @@ def op11_periodic_runs(spark, sf_dir):
     return periods.summary(periods.with_runs(changed, keep=["doc_id"]))
 
 
+def op13_conversation_trie(spark, sf_dir):
+    return tries.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES = {
@@ -181,4 +187,30 @@ ORACLES = {
                sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(whole, '')) AS collapsed_sha256
         FROM documents d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
         LEFT JOIN best ON best.doc_id = d.doc_id AND best.r = 1""",
+    "op13_conversation_trie": f"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM t WHERE pos = 1),
+        r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t
+              ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.pos <= c.h
+              UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+        s AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY part, pos) AS s FROM r GROUP BY conv_id),
+        whole AS (SELECT conv_id, coalesce(s, []) AS s FROM c LEFT JOIN s USING (conv_id)),
+        steps AS (SELECT conv_id, len(s) AS n, d AS depth, s[:d] AS prefix, length(s[d].text) AS chars
+                  FROM whole, unnest(range(len(s) + 1)) AS x(d)),
+        m AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, prefix) AS node FROM steps),
+        nodes AS (SELECT depth, node, count(*) AS n_convs, coalesce(max(chars), 0) AS chars,
+                         string_agg(conv_id, ',' ORDER BY conv_id) FILTER (n = depth) AS ends FROM m GROUP BY depth, node),
+        linked AS (SELECT nodes.*, up.node AS parent FROM nodes LEFT JOIN m up
+                   ON up.conv_id = nodes.node AND up.depth = nodes.depth - 1),
+        kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n FROM linked WHERE depth > 0 GROUP BY ALL),
+        own AS (SELECT linked.*, coalesce(kids.n, 0) AS n_children FROM linked
+                LEFT JOIN kids ON kids.depth = linked.depth AND kids.node = linked.node),
+        totals AS (SELECT m.depth, m.node, count(*) FILTER (own.n_children = 0) AS n_leaves,
+                          CAST(sum((own.n_convs - 1) * own.chars) AS BIGINT) AS saved
+                   FROM own JOIN m ON m.conv_id = own.node AND m.depth <= own.depth GROUP BY ALL)
+        SELECT own.node AS conv_id, own.depth, own.parent AS parent_conv_id, n_convs, n_children, n_leaves,
+               saved AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM own JOIN totals ON totals.depth = own.depth AND totals.node = own.node""",
 }
