@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from importflow.llm import (
-    digest, html_text, jaccard, language, lengths, mixing, packing, periods, quality_rules, secrets, substrings,
-    tries,
+    digest, html_text, jaccard, language, lengths, mixing, packing, periods, pitman_yor, quality_rules, secrets,
+    substrings, tries,
 )
 from importflow.session import store
 
@@ -65,6 +65,12 @@ def op11_periodic_runs(spark, sf_dir):
     return periods.summary(periods.with_runs(changed, keep=["doc_id"]))
 
 
+def op12_pitman_yor(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = ~pitman_yor.held_out()
+    return pitman_yor.score(documents, pitman_yor.learn(documents.where(train)), train)
+
+
 def op13_conversation_trie(spark, sf_dir):
     return tries.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_pitman_yor": op12_pitman_yor,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
