@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-REPORT_ROWS = 1_000_000     # source rows covered by one report part
+from importflow.operators.skew import checked_broadcast
+from importflow.sources.uploads import object_lines, put_objects
 
 # --- fixed values -----------------------------------------------------------------
 HEADER = "row_number,error"
@@ -26,37 +27,30 @@ def csv_field(c: str) -> Column:
     return F.when(value.rlike(r'[",\r\n]'), quoted).otherwise(value)
 
 
-def report_lines(errors: DataFrame, part_rows: int = REPORT_ROWS) -> DataFrame:
-    """(job_id, part, source_row_number, line); the header is line 0 of part 0.
-
-    Jobs without an error have no lines.  A part covers a fixed range of source rows, so the
-    errors of one huge job are spread over many tasks, and a job below that size has one part.
-    """
+def report_lines(errors: DataFrame) -> DataFrame:
+    """(job_id, source_row_number, line); the header is line 0.  Jobs without an error have no lines."""
     lines = errors.select(
-        "job_id",
-        F.floor((F.col("source_row_number") - 1) / part_rows).alias("part"),
-        "source_row_number",
+        "job_id", "source_row_number",
         F.concat(F.col("source_row_number").cast("string"), F.lit(","), csv_field("reason"))
         .alias("line"),
     )
     headers = errors.select("job_id").distinct().select(
-        "job_id", F.lit(0).cast("bigint").alias("part"),
-        F.lit(0).cast("bigint").alias("source_row_number"), F.lit(HEADER).alias("line"),
+        "job_id", F.lit(0).cast("bigint").alias("source_row_number"), F.lit(HEADER).alias("line"),
     )
     return lines.unionByName(headers)
 
 
-def write_reports(errors: DataFrame, path: str, part_rows: int = REPORT_ROWS) -> None:
-    """Write ``job_id=<id>/part=<n>/`` with one file each, in row order.
+def write_reports(errors: DataFrame, keys: DataFrame, root: str) -> int:
+    """Put the report of each job with errors at its key below ``root``; returns how many.
 
-    The files of a job, put together by part number, are its report.  Reports of other jobs
-    below ``path`` stay as they are.
+    ``keys`` is ``job_id, error_report_object_key``.  A job without an error has no object; a report
+    of any length passes through its task as a stream.
     """
-    (
-        report_lines(errors, part_rows)
-        .repartition("job_id", "part")
-        .sortWithinPartitions("job_id", "part", "source_row_number")
-        .select("job_id", "part", "line")
-        .write.mode("overwrite").partitionBy("job_id", "part")
-        .option("partitionOverwriteMode", "dynamic").option("lineSep", LINE_END).text(path)
-    )
+    named = keys.select("job_id", "error_report_object_key")
+    lines = report_lines(errors).join(checked_broadcast(named), "job_id")
+    return put_objects(lines, root, "error_report_object_key", "source_row_number", LINE_END)
+
+
+def read_reports(spark: SparkSession, root: str, pattern: str = "*/*/errors.csv") -> DataFrame:
+    """(error_report_object_key, line) of the stored reports, the header among them."""
+    return object_lines(spark, root, pattern, LINE_END).withColumnRenamed("object_key", "error_report_object_key")

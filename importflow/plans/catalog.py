@@ -20,7 +20,7 @@ from importflow.session import freeze, scratch_path
 from importflow.sources.csv_files import read_contact_files
 from importflow.sources.messages import publish, table_stream
 from importflow.sources.tables import write_table
-from importflow.sources.uploads import list_uploads, put_lines
+from importflow.sources.uploads import list_uploads, put_objects
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -464,12 +464,13 @@ SELECT job_id, source_row_number || ',' || CASE WHEN contains(reason, ',') THEN
        ELSE reason END AS line FROM checked WHERE reason IS NOT NULL
 UNION ALL SELECT DISTINCT job_id, 'row_number,error' FROM checked WHERE reason IS NOT NULL""")
 def error_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Reports written as files, one per job, and read back."""
-    path = scratch_path(spark, "reports")
-    report.write_reports(ledger.import_errors(_outcomes(spark, folder)), path)
-    return spark.read.schema("value string, job_id string, part bigint").option(
-        "lineSep", report.LINE_END
-    ).text(path).select("job_id", F.col("value").alias("line"))
+    """Reports put at the keys that the jobs carry, and read back through those keys."""
+    root = scratch_path(spark, "reports")
+    rows = freeze(_outcomes(spark, folder))
+    jobs = _contact_jobs(spark, folder).withColumn("status", F.lit("COMPLETED"))
+    told = freeze(progress.job_progress(ledger.batch_counts(rows), jobs).select("job_id", "error_report_object_key"))
+    report.write_reports(ledger.import_errors(rows), told, root)
+    return report.read_reports(spark, root).join(told, "error_report_object_key").select("job_id", "line")
 
 
 @query(f"""WITH {CHECKED}
@@ -911,27 +912,32 @@ def stream_import(spark: SparkSession, folder: str) -> DataFrame:
     )
 
     home = ImportHome(scratch_path(spark, "home"))
-    lines = derive.contacts(spark, folder).select(
-        F.col("c_nationkey").cast("string").alias("org"), F.col("job_id").alias("upload"),
-        "source_row_number", derive.csv_line(CONTACT_FIELDS).alias("line"),
-    )
-    headers = lines.where("source_row_number = 1").withColumns({
-        "source_row_number": F.lit(0).cast("bigint"), "line": F.lit(",".join(CONTACT_FIELDS)),
-    })
-    put_lines(
-        lines.unionByName(headers), home.folder("uploads"), ["org", "upload"], ["source_row_number"]
-    )
+    _put_contacts(spark, folder, home.folder("uploads"))
     requests = _contact_jobs(spark, folder).withColumn("submitted_by", F.lit("loader"))
-    made = job_ops.create_jobs(requests).withColumn(
-        "source_object_key", F.concat(F.lit("org="), "org_id", F.lit("/upload="), "id")
-    )
+    made = job_ops.create_jobs(requests).withColumn("source_object_key", source_key("org_id", F.col("id")))
     write_table(made, home.folder("jobs"), JOBS)
     asked = spark.read.parquet(home.folder("jobs")).select(F.col("id").alias("job_id"), "org_id")
     for number in (1, 2):       # the second confirmation finds all jobs queued
-        confirm_uploads(spark, home, asked, number, pattern="*.txt")
+        confirm_uploads(spark, home, asked, number)
     publish(asked.select(F.col("job_id").alias("jobId")), home.folder("messages"))
     start_import(spark, home, available_now=True).awaitTermination()
-    now = freeze(jobs_now(spark, home))
+    return _stream_results(freeze(jobs_now(spark, home)))
+
+
+def _put_contacts(spark: SparkSession, folder: str, root: str, kept: Column | None = None) -> None:
+    """The contact files at their source keys, those of the orgs for which ``kept`` holds."""
+    rows = derive.contacts(spark, folder)
+    lines = (rows if kept is None else rows.where(kept)).select(
+        F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), "job_id", F.lit("/source.csv")).alias("key"),
+        "source_row_number", derive.csv_line(CONTACT_FIELDS).alias("line"),
+    )
+    headers = lines.where("source_row_number = 1").withColumns({
+        "source_row_number": F.lit(0).cast("bigint"), "line": F.lit(",".join(CONTACT_FIELDS)),
+    })
+    put_objects(lines.unionByName(headers), root, "key", "source_row_number")
+
+
+def _stream_results(now: DataFrame) -> DataFrame:
     results = job_ops.result_outcome(now).select("id", "result")
     return now.join(results, "id").select(
         "id", "status", F.col("version").cast("int").alias("version"), "processed_rows",
@@ -939,6 +945,63 @@ def stream_import(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {CHECKED}, counted AS (
+SELECT job_id AS id, any_value(c_nationkey) % 7 AS kind, count(*) FILTER (reason IS NULL) AS processed_rows,
+       count(reason) AS failed_rows, max(source_row_number) AS last_row FROM checked GROUP BY job_id)
+SELECT id, 'COMPLETED' AS status, 4 + CASE WHEN failed_rows > 0 THEN 1 ELSE 0 END AS version, processed_rows,
+       failed_rows, last_row AS last_processed_row, processed_rows + failed_rows AS total_rows,
+       CASE WHEN failed_rows > 0 THEN 'REPORT' ELSE 'NO_ERROR_REPORT' END AS result, 0 AS dead_letters
+FROM counted WHERE kind NOT IN (3, 4) AND id NOT LIKE '5-%'
+UNION ALL SELECT id, 'FAILED', 3, 0, 0, 0, NULL, 'JOB_FAILED', 1 FROM counted WHERE kind IN (3, 4) OR id LIKE '5-%'""")
+def stream_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs whose object goes missing, is a folder of several or cannot be read, beside sound ones: those
+    that cannot be read are tried again, then fail through the dead letters; the others are not held up."""
+    import time
+
+    from importflow.session import STATE_STORE
+    from importflow.streaming.import_stream import (
+        ImportHome, append_queued, jobs_now, start_dead_letters, start_import, start_retries,
+    )
+
+    home = ImportHome(scratch_path(spark, "home"))
+    org = F.col("c_nationkey")
+    kind = F.when(org == 5, "unread").when(org % 7 == 3, "missing").when(org % 7 == 4, "several").otherwise("sound")
+    _put_contacts(spark, folder, home.folder("uploads"), kind == "sound")
+    broken = _contact_jobs(spark, folder)
+    several = broken.where(kind == "several").withColumn("part", F.explode(F.array(F.lit("/a.csv"), F.lit("/b.csv"))))
+    put_objects(several.select(F.concat("source_object_key", "part").alias("key"), F.lit(0).alias("n"), F.lit("x").alias("line")),
+                home.folder("uploads"), "key", "n")
+    unread = broken.where(kind == "unread").withColumn("source_object_key", F.concat("source_object_key", F.lit(".gz")))
+    put_objects(unread.select(F.col("source_object_key").alias("key"), F.lit(0).alias("n"), F.lit("no archive").alias("line")),
+                home.folder("uploads"), "key", "n")
+    requests = _contact_jobs(spark, folder).withColumn("submitted_by", F.lit("loader"))
+    ending = F.when(F.col("org_id") == "5", ".gz").otherwise("")
+    made = job_ops.create_jobs(requests).withColumn(
+        "source_object_key", F.concat(source_key("org_id", F.col("id")), ending))
+    write_table(made, home.folder("jobs"), JOBS)
+    append_queued(spark, home, spark.read.parquet(home.folder("jobs")).select(F.col("id").alias("job_id")), 1)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    retries = None
+    try:
+        start_import(spark, home, available_now=True).awaitTermination()
+        retries = start_retries(spark, home, max_attempts=2, initial_s=0.1)
+        until = time.monotonic() + 120
+        while time.monotonic() < until and retries.isActive:
+            start_import(spark, home, available_now=True).awaitTermination()     # takes what was published again
+            start_dead_letters(spark, home, available_now=True).awaitTermination()
+            if not jobs_now(spark, home).where("status NOT IN ('COMPLETED', 'FAILED')").take(1):
+                break
+    finally:
+        if retries is not None:
+            retries.stop()
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    dead = spark.read.schema("jobId string").json(home.folder("dead_letters")).groupBy(F.col("jobId").alias("id")).count()
+    letters = F.coalesce("count", F.lit(0)).cast("int").alias("dead_letters")
+    found = _stream_results(freeze(jobs_now(spark, home)))
+    return found.join(dead, "id", "left").select(*found.columns, letters)
+
+
 def _run_stream(stream: DataFrame, name: str) -> str:
     """Run a stateful stream to its end, one folder per micro-batch."""
     from importflow.session import STATE_STORE

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from importflow.operators.ledger import (
     batch_counts, commit_batch, cursors, file_system, read_progress, require_rows, to_outcomes,
@@ -18,6 +18,18 @@ from importflow.sources.csv_files import ContactFiles, read_contact_files
 _CHUNK_BATCHES = 1 << 36     # chunk numbers of a batch; ids below belong to batches without chunks
 
 
+def part_id(batch_id: int, number: int) -> int:
+    """The ledger batch of part ``number`` of a batch; part 0 is the batch itself."""
+    if number >= _CHUNK_BATCHES or not 0 <= batch_id < (1 << 63) // _CHUNK_BATCHES - 1:
+        raise ValueError(f"batch {batch_id}, part {number}: beyond the ids of parts")
+    return (batch_id + 1) * _CHUNK_BATCHES + number if number else batch_id
+
+
+def part_of_batch(column: str, batch_id: int) -> Column:
+    first = (batch_id + 1) * _CHUNK_BATCHES
+    return (F.col(column) == batch_id) | F.col(column).between(first + 1, first + _CHUNK_BATCHES - 1)
+
+
 def validate_files(
     spark: SparkSession, paths, assign: Callable[[DataFrame], DataFrame],
     job_cursors: DataFrame | None = None, line_sep: str = "\n",

@@ -1,7 +1,14 @@
-"""Streaming import: job messages in, committed batches, reports and dead letters out."""
+"""Streaming import: job messages in, committed batches, reports and dead letters out.
+
+Three streams make up an installation.  The import takes messages; a job whose file cannot be read is
+told apart from those beside it, which are committed.  The retry stream holds each failed attempt back
+for its back-off, then publishes the job again, or lays it down as a dead letter.  The dead-letter
+stream fails those jobs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,21 +16,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from importflow.operators.ledger import (
     file_system, import_errors, outcomes_of, read_progress,
 )
+from importflow.functions import report_key
+from importflow.functions.scalar import RETRY_INITIAL_S, RETRY_MAX_S
 from importflow.operators.jobs import admit_uploads
-from importflow.operators.lifecycle import claim_gate, current_jobs, unpublished_jobs
+from importflow.operators.lifecycle import MAX_ATTEMPTS, claim_gate, current_jobs, unpublished_jobs
 from importflow.operators.report import write_reports
 from importflow.operators.skew import filter_by_keys
-from importflow.plans.importer import import_files
+from importflow.plans.importer import import_files, part_of_batch, part_id
 from importflow.schemas import JOB_MESSAGE, JOBS
 from importflow.session import freeze
 from importflow.sources.messages import message_files, publish
 from importflow.sources.tables import read_table
 from importflow.sources.uploads import list_uploads
+from importflow.streaming.stateful import stream_retries
 
 LOG_SCHEMA = (
     "job_id string, ts timestamp, event_id bigint, event string, upload_present boolean, "
     "valid_rows bigint, invalid_rows bigint, last_row bigint, batch_id bigint"
 )
+ATTEMPT = "jobId string, why string, batch_id bigint"
+_LATER = 1 << 40        # log and dead-letter batches of the retry and dead-letter streams are numbered from here
 _STEPS = 4      # event numbers per batch: claim, flush, attach, end
 
 
@@ -103,9 +115,14 @@ def confirm_uploads(
     )
     decided = freeze(admit_uploads(own, objects))
     queued = decided.where("outcome = 'QUEUED'").select(F.col("id").alias("job_id"))
+    append_queued(spark, home, queued, number)
+    return decided
+
+
+def append_queued(spark: SparkSession, home: ImportHome, queued: DataFrame, number: int) -> None:
+    """Log jobs (``job_id``) as queued under confirmation ``number``, then publish them."""
     append_log(spark, home, _events(queued, F.lit("CONFIRM"), -1), -number)
     publish(queued.select(F.col("job_id").alias("jobId")), home.folder("messages"))
-    return decided
 
 
 def publish_missing(spark: SparkSession, home: ImportHome) -> DataFrame:
@@ -116,6 +133,22 @@ def publish_missing(spark: SparkSession, home: ImportHome) -> DataFrame:
     return missing
 
 
+def in_halves(work: Callable, items: list, number: int = 0) -> tuple[list, list[tuple]]:
+    """``work(items, number)``; where that raises, the same for either half, down to one item.
+
+    Returns what the calls gave and (item, error) of those that fail alone.  Calls are numbered alike
+    whenever the same items fail.
+    """
+    try:
+        return [work(items, number)], []
+    except Exception as error:      # whatever the file does to a reader; the attempt is counted
+        if len(items) == 1:
+            return [], [(items[0], str(error)[:1000])]
+    half = len(items) // 2
+    left, right = in_halves(work, items[:half], 2 * number + 1), in_halves(work, items[half:], 2 * number + 2)
+    return left[0] + right[0], left[1] + right[1]
+
+
 def process_messages(
     messages: DataFrame, batch_id: int, home: ImportHome, line_sep: str = "\n"
 ) -> None:
@@ -150,6 +183,7 @@ def process_messages(
         "job_id", F.lit("FAILED").alias("status")
     )
     ledger = home.folder("ledger")
+    missed: list[tuple[str, str]] = []
     if there:
         def assign(files: DataFrame) -> DataFrame:
             path = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
@@ -158,26 +192,42 @@ def process_messages(
                 F.broadcast(keyed), "source_object_key"    # bounded as said above
             ).drop("source_object_key")
 
-        results = import_files(
-            spark, ledger, [f"{home.folder('uploads')}/{k}" for k in there], assign, batch_id,
-            line_sep=line_sep,
-        )
+        def load(some: list[str], number: int) -> DataFrame:
+            return freeze(import_files(
+                spark, ledger, [f"{home.folder('uploads')}/{k}" for k in some], assign,
+                part_id(batch_id, number), line_sep=line_sep,
+            ))
+
+        parts, missed = in_halves(load, sorted(there))
+        there = [k for k in there if k not in dict(missed)]
         # An empty object is in no result; its job is done, with no rows.  Any other that the
         # scan did not return was not read, and its job fails.
-        sound = keyed.where(F.col("source_object_key").isin(there)).join(results, "job_id", "left")
+        sound = keyed.where(F.col("source_object_key").isin(there))
+        if parts:
+            results = parts[0]
+            for more in parts[1:]:
+                results = results.unionByName(more)
+            sound = sound.join(results, "job_id", "left")
+        else:
+            sound = sound.withColumn("status", F.lit(None).cast("string"))
         unread = F.when(F.col("source_object_key").isin(filled), "FAILED").otherwise("COMPLETED")
         ended = ended.unionByName(sound.select("job_id", F.coalesce("status", unread).alias("status")))
+    told = spark.createDataFrame(missed, "source_object_key string, why string")
+    told.join(keyed, "source_object_key").select(F.col("job_id").alias("jobId"), "why").write.mode(
+        "overwrite").json(f"{home.folder('attempts')}/batch_id={batch_id}")
     ended = freeze(ended)
     done = ended.where("status = 'COMPLETED'").select("job_id")
 
     errors = import_errors(outcomes_of(spark, ledger, done))
-    write_reports(errors, home.folder("reports"))
+    keys_of_reports = keyed.join(done, "job_id").select(
+        "job_id", report_key("source_object_key").alias("error_report_object_key"))
+    write_reports(errors, keys_of_reports, home.folder("uploads"))
     reported = errors.select("job_id").distinct()
     ended.where("status = 'FAILED'").select(F.col("job_id").alias("jobId")).write.mode(
         "overwrite"
     ).json(f"{home.folder('dead_letters')}/batch_id={batch_id}")
 
-    flushed = read_progress(spark, ledger).where(F.col("batch_id") == batch_id).drop("batch_id")
+    flushed = read_progress(spark, ledger).where(part_of_batch("batch_id", batch_id)).drop("batch_id")
     end = F.when(F.col("status") == "COMPLETED", "COMPLETE").otherwise("FAIL")
     append_log(
         spark, home,
@@ -209,3 +259,39 @@ def start_import(
         lambda batch, batch_id: process_messages(batch, batch_id, home, line_sep)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_retries(
+    spark: SparkSession, home: ImportHome, max_attempts: int = MAX_ATTEMPTS, initial_s: float = RETRY_INITIAL_S,
+    longest_s: float = RETRY_MAX_S, every: str = "1 second",
+):
+    """Start the stream from failed attempts to new messages and dead letters; see ``stream_retries``."""
+    fs, folder = file_system(spark, home.folder("attempts"))
+    fs.mkdirs(folder)
+    attempts = spark.readStream.schema(ATTEMPT).json(home.folder("attempts"))
+
+    def decide(batch: DataFrame, number: int) -> None:
+        held = freeze(batch)
+        dead = held.where("decision = 'DEAD'").select("jobId")
+        dead.write.mode("overwrite").json(f"{home.folder('dead_letters')}/batch_id={_LATER + number}")
+        publish(held.where("decision = 'RETRY'"), home.folder("messages"))     # at least once, as any message
+
+    return (
+        stream_retries(attempts, max_attempts, initial_s, longest_s).writeStream.outputMode("update")
+        .option("checkpointLocation", home.folder("checkpoint_retries"))
+        .trigger(processingTime=every).foreachBatch(decide).start()
+    )
+
+
+def start_dead_letters(spark: SparkSession, home: ImportHome, available_now: bool = False):
+    """Start the stream that fails the jobs of dead letters, unless they are done by then."""
+    fs, folder = file_system(spark, home.folder("dead_letters"))
+    fs.mkdirs(folder)
+    letters = spark.readStream.schema("jobId string, batch_id bigint").json(home.folder("dead_letters"))
+
+    def fail(batch: DataFrame, number: int) -> None:
+        dead = batch.select(F.col("jobId").alias("job_id")).distinct()
+        append_log(spark, home, _events(dead, F.lit("FAIL"), _LATER + number), _LATER + number)
+
+    writer = letters.writeStream.option("checkpointLocation", home.folder("checkpoint_dead_letters")).foreachBatch(fail)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from importflow.functions.scalar import RETRY_INITIAL_S, RETRY_MAX_S, RETRY_MULTIPLIER
+from importflow.operators.lifecycle import MAX_ATTEMPTS
 from importflow.operators.throttle import Bucket, decision_schema
 
 _JOB_STATE = T.StructType([
@@ -114,3 +116,50 @@ def stream_token_bucket(
     return slim.groupBy(key).transformWithState(
         processor, shape, outputMode="update", timeMode="none"
     )
+
+
+RETRY_DECISION = T.StructType([
+    T.StructField("jobId", T.StringType()), T.StructField("decision", T.StringType()),
+    T.StructField("failures", T.LongType()),
+])
+
+
+class RetryProcessor(StatefulProcessor):
+    """Counts a job's failed attempts; a timer holds the next one back, until they are used up."""
+
+    def __init__(self, max_attempts: int, initial_s: float, longest_s: float):
+        self.max_attempts, self.initial_s, self.longest_s = max_attempts, initial_s, longest_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("failures", T.StructType([T.StructField("n", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        failures = (held[0] if held else 0) + sum(1 for _ in rows)
+        self.state.update((failures,))
+        if failures >= self.max_attempts:
+            self.state.clear()
+            yield Row(*RETRY_DECISION.names)(key[0], "DEAD", failures)
+        else:
+            wait = min(self.initial_s * RETRY_MULTIPLIER ** (failures - 1), self.longest_s)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(wait * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held:
+            yield Row(*RETRY_DECISION.names)(key[0], "RETRY", held[0])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_retries(
+    attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, initial_s: float = RETRY_INITIAL_S,
+    longest_s: float = RETRY_MAX_S,
+) -> DataFrame:
+    """RETRY for every failed attempt (``jobId``) once its back-off is over, DEAD for the last one."""
+    return attempts.select("jobId").groupBy("jobId").transformWithState(
+        RetryProcessor(max_attempts, initial_s, longest_s), RETRY_DECISION, outputMode="update",
+        timeMode="ProcessingTime",
+    )

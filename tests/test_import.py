@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from importflow.operators import ledger, progress, report
+from importflow.sources import uploads as uploads_module
 from importflow.operators.validate import validate
 from importflow.plans import importer
 from importflow.plans.importer import import_files
@@ -39,27 +40,29 @@ def test_counters_and_report(spark, uploads, tmp_path):
     assert run(spark, uploads, root) == {"c": ("COMPLETED", None), "g": ("COMPLETED", None)}
     assert counters(spark, root) == {"c": (3, 2, 5), "g": (3, 0, 3)}
     rows = ledger.read_ledger(spark, root)
-    report.write_reports(ledger.import_errors(rows), str(tmp_path / "reports"))
-    assert os.listdir(tmp_path / "reports" / "job_id=c") == ["part=0"]
-    assert not os.path.exists(tmp_path / "reports" / "job_id=g")
-    folder = tmp_path / "reports" / "job_id=c" / "part=0"
-    [name] = [f for f in os.listdir(folder) if f.startswith("part-")]
-    assert (folder / name).read_bytes() == (
+    keys = spark.createDataFrame([("c", "org/c/errors.csv"), ("g", "org/g/errors.csv")],
+                                 "job_id string, error_report_object_key string")
+    assert report.write_reports(ledger.import_errors(rows), keys, str(tmp_path / "reports")) == 1
+    assert os.listdir(tmp_path / "reports" / "org") == ["c"]       # neither staged files nor a report of g
+    assert (tmp_path / "reports" / "org" / "c" / "errors.csv").read_bytes() == (
         b"row_number,error\r\n2,email is required\r\n4,email is invalid\r\n")
 
 
-def test_report_in_parts_and_quoting(spark, tmp_path):
-    reasons = {n: f'r{n}, "x"' for n in range(1, 26)}
-    errors = spark.createDataFrame([("j", n, r) for n, r in reasons.items()],
-                                   "job_id string, source_row_number bigint, reason string")
-    report.write_reports(errors, str(tmp_path / "r"), part_rows=10)
-    text = b""
-    for part in range(3):
-        folder = tmp_path / "r" / "job_id=j" / f"part={part}"
-        [name] = [f for f in os.listdir(folder) if f.startswith("part-")]
-        text += (folder / name).read_bytes()
-    wanted = "row_number,error\r\n" + "".join(f'{n},"r{n}, ""x"""\r\n' for n in range(1, 26))
-    assert text.decode() == wanted
+def test_report_in_blocks_and_quoting(spark, tmp_path):
+    """One object from many ranges and blocks; a second report takes the place of the first."""
+    reasons = {n: f'r{n}, "x"' for n in range(1, 2001)}
+    errors = spark.createDataFrame([("j %/é", n, r) for n, r in reasons.items()],
+                                   "job_id string, source_row_number bigint, reason string").repartition(7)
+    keys = spark.createDataFrame([("j %/é", "a b/c%20+é/errors.csv")], "job_id string, error_report_object_key string")
+    root = str(tmp_path / "r")
+    lines = report.report_lines(errors).join(keys, "job_id")
+    wanted = "row_number,error\r\n" + "".join(f'{n},"r{n}, ""x"""\r\n' for n in reasons)
+    for block in (100, 1 << 20):
+        assert uploads_module.put_objects(lines, root, "error_report_object_key", "source_row_number", "\r\n", block) == 1
+        assert (tmp_path / "r" / "a b" / "c%20+é" / "errors.csv").read_bytes().decode() == wanted
+    assert report.write_reports(errors.limit(0), keys, root) == 0
+    back = report.read_reports(spark, root).collect()
+    assert {r.error_report_object_key for r in back} == {"a b/c%20+é/errors.csv"} and len(back) == 2001
 
 
 def test_resume_skips_committed_rows(spark, uploads, tmp_path):

@@ -73,8 +73,8 @@ def test_messages_to_finished_jobs(spark, home, tmp_path):
     assert ledger.where("outcome = 'VALID'").count() == 3
     dead = spark.read.json(home.folder("dead_letters")).select("jobId").collect()
     assert sorted(r[0] for r in dead) == ["bad", "lost"]
-    lines = spark.read.text(home.folder("reports")).where("job_id = 'good'").select("value").collect()
-    assert [r[0] for r in lines] == ["row_number,error", "4,email is invalid", "5,first_name is required"]
+    with open(f"{home.folder('uploads')}/org/good/errors.csv", "rb") as file:
+        assert file.read() == b"row_number,error\r\n4,email is invalid\r\n5,first_name is required\r\n"
     send(spark, home, "good", "bad")        # redelivery of finished jobs changes nothing
     assert run(spark, home) == DONE
     assert read_ledger(spark, home.folder("ledger")).count() == ledger.count()
@@ -182,3 +182,50 @@ def test_streamed_bucket_equals_the_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(out).drop("batch").collect()))
     wanted = sorted(map(tuple, token_bucket(events.drop("s"), "k", 3, 1, 5_000_000).collect()))
     assert got == wanted
+
+
+def test_halves_find_what_fails_alone():
+    calls = []
+
+    def work(items, number):
+        calls.append(number)
+        if {"b", "f"} & set(items):
+            raise ValueError("no")
+        return items
+
+    done, failed = import_stream.in_halves(work, list("abcdefg"))
+    assert sorted(x for part in done for x in part) == list("acdeg") and failed == [("b", "no"), ("f", "no")]
+    assert len(set(calls)) == len(calls)
+    assert import_stream.in_halves(work, ["a"]) == ([["a"]], [])
+
+
+def test_a_file_that_cannot_be_read_is_tried_again_and_holds_up_no_other(spark, tmp_path):
+    """Attempts, back-off by timers, dead letter, and the failed job, beside a sound one."""
+    import time
+
+    home = home_with(spark, tmp_path, ["good", "zip", "waiting"], {"good": FIVE})
+    folder = tmp_path / "home" / "uploads" / "org" / "zip"
+    folder.mkdir(parents=True)
+    (folder / "source.csv.gz").write_text("no archive")
+    jobs = spark.read.parquet(home.folder("jobs")).withColumn(
+        "source_object_key", F.when(F.col("id") == "zip", "org/zip/source.csv.gz").otherwise(F.col("source_object_key")))
+    rows = jobs.collect()
+    write_table(spark.createDataFrame(rows, jobs.schema), home.folder("jobs"), JOBS, mode="overwrite")
+    send(spark, home, "zip", "good")
+    done = run(spark, home)
+    assert done["good"] == DONE["good"] and done["zip"][0] == "PROCESSING"
+    retries = import_stream.start_retries(spark, home, max_attempts=2, initial_s=0.1, every="100 milliseconds")
+    try:
+        until = time.monotonic() + 100
+        while time.monotonic() < until:
+            status = run(spark, home)["zip"][0]
+            import_stream.start_dead_letters(spark, home, available_now=True).awaitTermination()
+            if status == "FAILED":
+                break
+    finally:
+        retries.stop()
+    assert status == "FAILED" and run(spark, home)["good"] == DONE["good"]
+    tried = spark.read.schema(import_stream.ATTEMPT).json(home.folder("attempts")).collect()
+    assert [r.jobId for r in tried] == ["zip", "zip"] and all(r.why for r in tried)
+    dead = spark.read.schema("jobId string").json(home.folder("dead_letters")).collect()
+    assert [r.jobId for r in dead] == ["zip"]
