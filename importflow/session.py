@@ -16,6 +16,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A batch for Python is held in the JVM and the worker at once; rows may be whole documents.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
