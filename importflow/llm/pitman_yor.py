@@ -9,7 +9,7 @@ probability and T all tables of the restaurant.  That seating is a proposal; the
 of its normalisers to that of the seating before decides whether it is taken (Metropolis within Gibbs),
 so that seatings are drawn from the model's own law.  The first sweep takes every
 proposal.  As usual for sampling on many machines, T and p are those from the start of the sweep.  Words seen once after a context have one table and are only
-counted.  The probabilities of SAMPLES states after BURN sweeps are averaged.
+counted.  A seating takes time in proportion to its customers, memory in proportion to its tables.  The probabilities of SAMPLES states after BURN sweeps are averaged.
 
 What travels: units of text send their different word pairs, packed, to buckets that add them up; the
 heads of frequent words are split over several.  Pairs seen twice or more live in a table that every
@@ -42,7 +42,9 @@ BUCKET_BYTES = 16 << 20     # of text whose pairs meet in one bucket
 BURN = 2                    # sweeps before the first state that counts
 SAMPLES = 2
 CONCENTRATION = 1.0         # theta, at both levels
-STEPS = 32                  # customers that are seated one by one, before waiting times are drawn
+ROWS = 1 << 18              # pairs or words that are seated together
+STEPS = 32                  # customers that are seated one by one, before whole stretches are
+STRETCH = 1 << 19           # customers in such stretches, of all words together
 START, END = (words.mix(np.array([k], np.uint64))[0] for k in (101, 102))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,22 +114,28 @@ def propose(c: np.ndarray, p: np.ndarray, base: np.ndarray, discount: float, see
         t[opened] += 1
         owner.append(opened)
         at.append(np.full(len(opened), i))
-    now, i, turn = order[:upto[STEPS + 1]], np.full(len(c), STEPS + 1.0), STEPS
-    while len(now):         # nobody opens a table from i to j with probability s(j)
-        turn += 1
-        left, right = discount * t[now], base[now] - slope[now] * t[now]
-        start = log_gamma(i[now] - left) - log_gamma(i[now] + right) + np.log(uniform(seeds[now], turn))
-        low, high = i[now].copy(), c[now].astype(float)
-        some = log_gamma(high - left) - log_gamma(high + right) < start
-        now, low, high, left, right, start = (x[some] for x in (now, low, high, left, right, start))
-        while len(now) and (high - low > 1).any():
-            half = np.floor((low + high) / 2)
-            under = log_gamma(half - left) - log_gamma(half + right) < start
-            high, low = np.where(under, half, high), np.where(under, low, half)
-        t[now] += 1
-        owner.append(now)
-        at.append((high - 1).astype(np.int64))
-        i[now] = high
+    now, i = order[:upto[STEPS + 1]], np.full(len(c), STEPS + 1)
+    while len(now):
+        # A stretch of customers of every word at once.  More tables make an opening likelier, so taking t
+        # too low and counting openings again and again ends at what seating one by one gives.
+        n = np.minimum(c[now] - i[now], STRETCH // len(now) + 1)
+        line = np.repeat(now, n)
+        k = i[line] + _steps(n)
+        drawn = uniform(seeds[line], k)
+        first = np.cumsum(n) - n
+        before, opened = np.zeros(len(line)), None
+        while True:
+            tables = t[line] + before
+            again = drawn * (k + base[line] - slope[line] * tables) < base[line] + p[line] * discount * tables
+            if opened is not None and np.array_equal(again, opened):
+                break
+            opened = again
+            passed = np.cumsum(opened) - opened
+            before = passed - np.repeat(passed[first], n)
+        owner.append(line[opened])
+        at.append(k[opened])
+        t[now] += np.add.reduceat(opened.astype(np.int64), first)
+        i[now] += n
         now = now[i[now] < c[now]]
     owner, at = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (owner, at))
     order = np.lexsort((at, owner))
@@ -164,6 +172,20 @@ def write_openings(owner: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
         pa.binary(), n, [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(at.astype("<i8").tobytes())])
 
 
+def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ROWS or so: a draw takes as many steps as its longest seating."""
+    waiting, held = [], 0
+    for batch in batches:
+        if waiting and held + batch.num_rows > ROWS:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, held = [], 0
+        if batch.num_rows:
+            waiting.append(batch)
+            held += batch.num_rows
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def _seeds(name: np.ndarray, sweep: int) -> np.ndarray:
     return words.mix(name ^ words.mix(np.full(1, sweep + 11, np.uint64)))
 
@@ -366,9 +388,7 @@ def _reseat_root(joined: DataFrame, states: list[str], sweep: int, total: int, k
     kept = "".join(f", {c} {'double' if c[0] == 'p' else 'long'}" for c in states)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _large(batches):
             n = batch.num_rows
             word, heads, follows, h, f, tables = (
                 rows.ids_of(batch.column(c).fill_null(0)) for c in ("word", "heads", "follows", "h", "f", "tables"))
@@ -398,9 +418,7 @@ def _reseat_pairs(joined: DataFrame, sweep: int, discount: float, concentration:
     kept = [c for c in joined.columns if c.startswith("t")]
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _large(batches):
             word, following, c, ctx = (rows.ids_of(batch.column(x)) for x in ("word", "following", "c", "ctx"))
             owner, at = read_openings(batch.column("opened"))
             tables = 1 + np.bincount(owner, minlength=len(c))
@@ -435,7 +453,7 @@ def _asked(unit: pa.RecordBatch, text: str, train: str, buckets: int):
     learned = unit.column(train).to_numpy(zero_copy_only=False).astype(bool)[whole.line]
     keys, at, inverse = whole.pairs()
     n = np.bincount(inverse[learned], minlength=len(keys)).astype(np.int32)
-    known = np.unique(np.concatenate([whole.token, whole.before]))
+    known = np.unique(np.append(whole.token[at], START))     # a word is before another or the start is
     return whole, known, (words.mix(known) % np.uint64(buckets)).astype(np.int64), keys, n, (
         keys % np.uint64(buckets)).astype(np.int64), at, inverse
 
@@ -453,9 +471,7 @@ def _ask(unit: pa.RecordBatch, text: str, train: str, columns: list[str], bucket
 def _packed(kind: int, buckets: int):
     """Rows of the model as blobs by bucket: kind 0 words, kind 1 pairs."""
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _large(batches):
             lists = [c for c in ("p", "t") if c in batch.schema.names]
             values = [np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in lists]
             word = rows.ids_of(batch.column("word")).view(np.uint64)

@@ -55,16 +55,21 @@ def test_seatings_follow_their_law(c, p, others, d, sweeps):
         assert abs(got - want) < 0.02, (t, got, want)
 
 
-def test_waiting_times_agree_with_single_steps(monkeypatch):
-    n, c = 20_000, 60
+def test_stretches_give_what_single_steps_give(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 3000
     seeds = words.mix(np.arange(n).astype(np.uint64))
-    means = []
-    for steps in (2, 64):
+    c, p, base = rng.integers(1, 300, n), rng.random(n) * 0.5, rng.random(n) * 20
+    c[:3] = 5000
+    found = []
+    for steps, stretch in ((6000, 1), (2, 100), (32, 1 << 19)):
         monkeypatch.setattr(model, "STEPS", steps)
-        owner, at = model.propose(np.full(n, c), np.full(n, 0.2), np.full(n, 0.9), 0.6, seeds)
-        assert ((at >= 1) & (at < c)).all() and (np.diff(at)[np.diff(owner) == 0] > 0).all()
-        means.append((len(at) / n, at.mean()))
-    assert abs(means[0][0] - means[1][0]) < 0.05 and abs(means[0][1] - means[1][1]) < 0.6
+        monkeypatch.setattr(model, "STRETCH", stretch)
+        found.append(model.propose(c, p, base, 0.7, seeds))
+    owner, at = found[0]
+    assert len(at) > 2 * n and ((at >= 1) & (at < c[owner])).all() and (np.diff(at)[np.diff(owner) == 0] > 0).all()
+    for other in found[1:]:
+        assert np.array_equal(other[0], owner) and np.array_equal(other[1], at)
 
 
 def test_products_of_normalisers():
