@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +36,14 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker lives on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc keeps what lies between used blocks
+    if trim:
+        trim(0)
+
+
 def units(batches: Iterator[pa.RecordBatch], text: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in slices whose texts have at most ``size`` bytes (or that have one row)."""
     size = size or UNIT_BYTES
@@ -53,7 +62,7 @@ def units(batches: Iterator[pa.RecordBatch], text: str, size: int | None = None)
 def gathered(batches: Iterator[pa.RecordBatch], text: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
     """Like ``units``, but small batches are put together up to ``size`` first."""
     size = size or UNIT_BYTES
-    waiting, held = [], 0
+    waiting, held, unit = [], 0, None
     for unit in units(batches, text, size):
         here = int(text_bytes(unit.column(text))[1][-1])
         if waiting and held + here > size:
@@ -63,6 +72,8 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str, size: int | None = No
         held += here
     if waiting:
         yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+    waiting = unit = None
+    give_back()
 
 
 def batch(**columns) -> pa.RecordBatch:
@@ -102,6 +113,8 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
             parts.append(rows.slice(a, b - a))
     if parts:
         yield current, pa.Table.from_batches(parts)
+    parts = None
+    give_back()
 
 
 class Scratch:
