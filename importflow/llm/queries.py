@@ -144,24 +144,29 @@ ORACLES = {
         line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                         generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w),
         again AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM line),
-        dup AS (SELECT doc_id, count(*) AS n FROM again
-                WHERE r > 1 AND regexp_matches(line, '{WORD}') GROUP BY doc_id),
+        dup AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (r > 1) AS n FROM again
+                WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
         m AS (SELECT w.doc_id, w.source, CAST(len(ws) AS BIGINT) AS n_words,
                      CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
                      CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-                     coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+                     coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+                     coalesce(dup.lines, 0) AS n_lines
               FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
-        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-        hosts AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS f FROM f GROUP BY source),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                     CAST(n_words < 50 AS BIGINT) + CAST(100 * n_repeat_words > 50 * n_words AS BIGINT)
+                     + CAST(100 * n_symbols > 10 * n_words AS BIGINT) + CAST(100 * n_dup_lines > 30 * n_lines AS BIGINT)
+                     + CAST(word_chars < 3 * n_words OR word_chars > 10 * n_words AS BIGINT) AS rules_failed FROM m),
+        hosts AS (SELECT source, count(*) AS n, count(*) FILTER (rules_failed > 0) AS f FROM f GROUP BY source),
         total AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS h, sum(f * f / n) AS q FROM hosts),
         moments AS (SELECT f / n AS mean, f / n * (1 - f / n) AS chance,
                            (q - f * (f / n) - f / n * (1 - f / n) * (h - 1)) / n AS rest FROM total),
-        prior AS (SELECT mean, CASE WHEN rest > 0 THEN least(greatest(chance / rest - 1, 1), 1e6) ELSE 1e6 END AS weight
+        prior AS (SELECT mean, chance, CASE WHEN rest > 0 THEN least(greatest(chance / rest - 1, 1), 1e6) ELSE 1e6 END AS weight
                   FROM moments),
-        verdict AS (SELECT source, (f + mean * weight) / (n + weight) <= {quality_rules.MAX_HOST_RATE} AS ok
+        verdict AS (SELECT source, (f + mean * weight) / (n + weight)
+                           <= greatest(0.5, least(0.8, mean + 2 * sqrt(chance / (weight + 1)))) AS ok
                     FROM hosts, prior)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND ok AS kept
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+               NOT base_failed AND ok AS kept, rules_failed
         FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source""",
     # Two places with the same six words are a lag apart; every run holds such pairs without a gap, since of its
     # max(12, 2p) words at least max(12 - p, p) >= 6 equal the word one period on.

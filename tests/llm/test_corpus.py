@@ -161,6 +161,34 @@ def test_names_alone_cut_no_text():
     assert html_text.extract_group([odd]) == ["One\nTwo"]
 
 
+def test_hosts_are_judged_by_all_rules(session, tmp_path):
+    """A bad host goes as a whole, its good texts too; a tiny host is shrunk to the others."""
+    import random
+
+    rnd = random.Random(5)
+
+    def text(good):
+        words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 8))) for _ in range(80)]
+        return " ".join(words if good else [w + "#" for w in words])      # symbols: no rule of the base
+
+    hosts = {f"good{k}": (60, 3) for k in range(12)} | {"bad": (60, 55), "tiny": (1, 1), "half": (60, 24), None: (60, 0)}
+    made = [(host, text(i >= bad)) for host, (n, bad) in hosts.items() for i in range(n)]
+    frame = session.createDataFrame([(i, t, h) for i, (h, t) in enumerate(made)], "doc_id long, text string, source string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_quality_rules(session, str(tmp_path)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {made[i][0] for i, r in got.items() if not r.kept} == {"bad"}
+    assert sum(not r.kept for r in got.values()) == 60 and sum(r.rules_failed > 0 for r in got.values()) == 116
+    import duckdb
+
+    files = str(tmp_path / "documents.parquet" / "*.parquet")
+    sql = queries.ORACLES["op10_quality_rules"]
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{files}')")
+    told = base.execute(f"SELECT doc_id, kept, rules_failed FROM ({sql})").fetchall()
+    assert {i: (k, n) for i, k, n in told} == {i: (r.kept, r.rules_failed) for i, r in got.items()}
+
+
 def test_windows_of_a_frequent_phrase_are_dealt_out(session):
     """A phrase with the least hash in every window: its bucket is split, repeats are still found."""
     import random
