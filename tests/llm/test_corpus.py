@@ -161,6 +161,47 @@ def test_names_alone_cut_no_text():
     assert html_text.extract_group([odd]) == ["One\nTwo"]
 
 
+def test_broken_markup_loses_no_text_and_shows_none():
+    got = html_text.extract_group([
+        "<body><p title=it's>One</p><p>Two</p>", "<body><p>A <a href=\"x\"\">link</a> b</p>", "<p>x <a href=\"y>z</a></p>",
+        "<p>Let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn><annotation encoding=tex>x \\lt 2</annotation></math> be</p>",
+        "<p>a<!-- no > end --> b</ p> c<?php 1 ?> d <3 <br", "<p a='>'>quoted</p><p b=\"c' d\">more</p>",
+    ])
+    assert got == ["One\nTwo", "A link b", "x z", "Let x<2 be", "a b c d <3", "quoted\nmore"]
+
+
+def test_broken_long_and_deep_pages_end():
+    import time
+
+    began = time.monotonic()
+    assert html_text.extract_group(["<p>a</p>" + "<a \"" * 250_000]) == ["a"]
+    assert html_text.extract_group(["<a x=\">\" " * 100_000]) != [None]
+    assert html_text.extract_group(["<div>" * 50_000 + "x" + "</p>" * 50_000]) == ["x"]
+    deep = ["<div>" * 3_000 + f"<p>story {i}</p><h6>foot</h6>" for i in range(8)]
+    assert html_text.extract_group(deep) == [f"story {i}" for i in range(8)]
+    page = "<body><article>{}</article><div>foot</div>"
+    parts = "<h2 id=h{0}-{1}>title {0} {1}</h2><p class=p-{0}{1}>about {0} {1}</p>"
+    pages = [page.format("".join(parts.format(i, k) for k in range(60))) for i in range(128)]
+    assert html_text.extract_group(pages)[5].split("\n")[:2] == ["title 5 0", "about 5 0"]
+    assert time.monotonic() - began < 60
+
+
+def test_doubtful_names_and_teasers():
+    story = " ".join(f"word{i}" for i in range(60))
+    for named in ("section class=discussion", "section class=search", "div class=social", "section class='related work'"):
+        page = f"<article><h1>T</h1><{named}><h2>So</h2><p>{story}</p></{named.split()[0]}></article>"
+        assert html_text.extract_group([page]) == [f"T\nSo\n{story}"]
+    menus = (
+        f"<article><p>{story}</p><div class=social>Tell <a href=a>friends, enemies</a></div>"
+        "<section class=discussion><h3>2 comments</h3><div class=comment>first</div><form>say</form></section></article>"
+    )
+    assert html_text.extract_group([menus]) == [story]
+    teasers = f"<div id=content><p>{story}</p></div><article><a href=x>More</a></article><article>Other news</article>"
+    assert html_text.extract_group([teasers])[0].startswith(story)
+    short = "<article><p>Brief but whole</p></article><div><ul><li><a href=x>Much longer list of other things</a></ul></div>"
+    assert html_text.extract_group([short]) == ["Brief but whole"]
+
+
 def test_hosts_are_judged_by_all_rules(session, tmp_path):
     """A bad host goes as a whole, its good texts too; a tiny host is shrunk to the others."""
     import random
