@@ -377,6 +377,72 @@ def test_base_secrets(session, documents):
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
+def test_the_field_finds_secrets_of_other_kinds(session):
+    """Learned from texts with base secrets only; judged on secrets that no base pattern matches."""
+    import random
+
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefghilmnoprstu", k=rnd.randint(2, 9))) for _ in range(400)]
+
+    def prose(n=40):
+        return " ".join(rnd.choices(vocabulary, k=n))
+
+    base = [f'{prose()} token = "{rnd.getrandbits(160):040x}" {prose()}' for _ in range(40)]
+    frame = session.createDataFrame([(t,) for t in base + [prose() for _ in range(200)]], "text string")
+    field = secrets.learn(frame)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    leads = ["pwd = ", "db_pass: ", "aws_secret_access_key = ", "AUTH='", "credential: \"", "", "use ghp_", "private_key="]
+    planted = [(prose(20) + " " + rnd.choice(leads), "".join(rnd.choices(letters, k=rnd.randint(24, 40))) + "7Q") for _ in range(200)]
+    numbers = [f"{prose(6)} 2024-03-{d:02}T10:00:0{d % 10}Z v1.{d}.0 ORD-2024-{d:06} {prose(6)}" for d in range(1, 29)]
+    clean = numbers + [prose() for _ in range(300)]
+    texts = [lead + value + " " + prose(9) for lead, value in planted] + clean
+    found = secrets.scan(session.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "field"] for r in found.collect()}
+    hits = sum(any(a <= len(lead) and b >= len(lead) + len(v) for a, b in got[i]) for i, (lead, v) in enumerate(planted))
+    assert hits >= 0.9 * len(planted)
+    assert sum(bool(got[i]) for i in range(len(planted), len(texts))) <= 3
+    hidden = secrets.redact(session.createDataFrame([(0, texts[0], 1)], "doc_id long, text string, n_chars long"), field).first()
+    assert planted[0][1] not in hidden.text and "[secret]" in hidden.text and hidden.n_chars == len(hidden.text)
+
+
+def test_sums_and_paths_against_every_labelling():
+    from itertools import product
+
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    for n in (1, 2, 5):
+        scores, steps = rnd.normal(size=(1, n, 3)), rnd.normal(size=(3, 3))
+        ways = list(product(range(3), repeat=n))
+
+        def weigh(way, ends):
+            total = sum(scores[0, t, s] for t, s in enumerate(way)) + sum(steps[a, b] for a, b in zip(way, way[1:]))
+            return total + (steps[0, way[0]] + steps[way[-1], 0] if ends else 0)
+
+        chance = np.exp([weigh(w, False) for w in ways])
+        chance /= chance.sum()
+        filled = np.concatenate([scores, rnd.normal(size=(1, 2, 3))], axis=1)      # two places that fill up
+        share, pair = secrets.expectations(filled, steps, np.array([[True] * n + [False] * 2]))
+        for t in range(n):
+            told = [sum(p for p, w in zip(chance, ways) if w[t] == s) for s in range(3)]
+            assert np.allclose(share[0, t], told)
+        for t in range(n - 1):
+            told = [[sum(p for p, w in zip(chance, ways) if w[t:t + 2] == (a, b)) for b in range(3)] for a in range(3)]
+            assert np.allclose(pair[0, t], told)
+        assert not share[0, n:].any() and not pair[0, n - 1:].any()
+        field = secrets.Field(np.zeros((secrets.FEATURES, 3)), steps)
+        assert tuple(field._paths(scores)[0]) == max(ways, key=lambda w: weigh(w, True))
+
+
+def test_long_tokens_are_counted_whole():
+    import numpy as np
+
+    text = b"9" * 70_000 + b" " + b"9" * 100
+    found = secrets.Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    digits = found.code // (secrets.FILES * secrets.AFTER * secrets.BEFORE * secrets.MIXES) % secrets.DIGITS
+    assert digits.tolist() == [4, 4]
+
+
 def test_viterbi_is_exact_despite_the_shortcut():
     import numpy as np
 
