@@ -27,6 +27,19 @@ def row_hash(email="email", first_name="first_name", last_name="last_name", phon
     return F.sha2(text, 256)
 
 
+def row_id(kind: str, job_id="job_id", row_number="source_row_number") -> Column:
+    """The id of a record or error by its name, the same in every replay; NULL if a part is.
+
+    An MD5 in the form of a UUID whose version (8) says that its bits are the maker's own.
+    """
+    name = F.concat(F.lit(f"{kind}/"), _col(job_id), F.lit("/"), _col(row_number).cast("string"))
+    digest = F.md5(name)
+    return F.concat(
+        F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-8"), F.substring(digest, 14, 3),
+        F.lit("-a"), F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12),
+    )
+
+
 def report_key(source_object_key) -> Column:
     """``errors.csv`` beside the source object."""
     key = _col(source_object_key)

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from importflow.operators.skew import filter_by_keys, spread_join
-from importflow.schemas import LEDGER
+from importflow.functions.scalar import row_id
+from importflow.schemas import IMPORT_ERRORS, IMPORTED_RECORDS, LEDGER, STORED_LEDGER
 from importflow.session import freeze
 
 KEY = ["job_id", "source_row_number"]
@@ -103,10 +104,12 @@ PROGRESS_SCHEMA = (
 
 
 def read_ledger(
-    spark: SparkSession, root: str, without: int | None = None, only: list[int] | None = None
+    spark: SparkSession, root: str, without: int | None = None, only: list[int] | None = None,
+    times: bool = False,
 ) -> DataFrame:
-    """Committed outcomes; ``without`` a batch that is about to be replayed, or ``only`` some."""
-    return _read(spark, root, "rows", LEDGER, without, only)
+    """Committed outcomes; ``without`` a batch that is about to be replayed, or ``only`` some.
+    With ``times`` also ``created_at``, when the row was first written by a commit."""
+    return _read(spark, root, "rows", STORED_LEDGER if times else LEDGER, without, only)
 
 
 def outcomes_of(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
@@ -157,7 +160,9 @@ def commit_batch(
     fs, folder = file_system(spark, _batch_folder(root, "rows", batch_id))
     made = [_number(s.getPath()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
     held, attempt = _committed(spark, root).get(batch_id), max(made, default=0) + 1
-    columns = [f.name for f in LEDGER.fields if f.name != "batch_id"]
+    if "created_at" not in rows.columns:
+        rows = rows.withColumn("created_at", F.current_timestamp())
+    columns = [f.name for f in STORED_LEDGER.fields if f.name != "batch_id"]
     target = _attempt_folder(root, "rows", batch_id, attempt)
     rows.select(*columns).write.parquet(target)
     counts = freeze(batch_counts(spark.read.schema(LEDGER).parquet(target)))
@@ -181,7 +186,7 @@ def compact(spark: SparkSession, root: str, below: int) -> None:
     batches = [b for b in committed_batches(spark, root) if b < below]
     if len(batches) < 2:
         return
-    rows = read_ledger(spark, root, only=batches)
+    rows = read_ledger(spark, root, only=batches, times=True)
     expected = read_progress(spark, root).where(F.col("batch_id") < below).groupBy("job_id").agg(
         F.sum(F.col("valid_rows") + F.col("invalid_rows")).alias("expected_rows")
     )
@@ -214,6 +219,18 @@ def import_errors(ledger: DataFrame) -> DataFrame:
     return ledger.where("outcome = 'INVALID'").select(*KEY, "reason")
 
 
+def record_table(ledger: DataFrame) -> DataFrame:
+    """The records as declared, with ids and times; ``ledger`` was read with ``times``."""
+    rows = ledger.where("outcome = 'VALID'").withColumn("id", row_id("record"))
+    return rows.select(*IMPORTED_RECORDS.fieldNames())
+
+
+def error_table(ledger: DataFrame) -> DataFrame:
+    """The errors as declared, with ids and times; ``ledger`` was read with ``times``."""
+    rows = ledger.where("outcome = 'INVALID'").withColumn("id", row_id("error"))
+    return rows.select(*IMPORT_ERRORS.fieldNames())
+
+
 # --- resume --------------------------------------------------------------------------
 
 

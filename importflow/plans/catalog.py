@@ -15,7 +15,7 @@ from importflow.operators.validate import pick_fields, validate
 from importflow.plans import derive
 from importflow.plans.derive import table
 from importflow.plans.importer import import_files
-from importflow.schemas import CONTACT_FIELDS, JOB_DEFAULTS, JOBS
+from importflow.schemas import CONTACT_FIELDS, IMPORT_ERRORS, IMPORTED_RECORDS, JOB_DEFAULTS, JOBS
 from importflow.session import freeze, scratch_path
 from importflow.sources.csv_files import read_contact_files
 from importflow.sources.messages import publish, table_stream
@@ -228,6 +228,28 @@ def validate_contacts(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.to_outcomes(validate(derive.contacts(spark, folder)))
 
 
+@query(f"""WITH {CHECKED}, named AS (
+    SELECT *, CASE WHEN reason IS NULL THEN 'record' ELSE 'error' END AS kind FROM checked),
+hashed AS (SELECT *, md5(kind || '/' || job_id || '/' || source_row_number) AS h FROM named)
+SELECT kind, job_id, source_row_number, reason, true AS dated,
+       regexp_replace(h, '^(.{{8}})(.{{4}}).(.{{3}}).(.{{3}})(.{{12}})$', '\\1-\\2-8\\3-a\\4-\\5') AS id
+FROM hashed""")
+def named_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Import the contacts, replay the batch and read both row tables as they are declared."""
+    uploads = derive.upload_contacts(spark, folder)
+    home = scratch_path(spark, "ledger")
+    for _ in range(2):
+        import_files(spark, home, uploads, derive.job_of_folder, batch_id=0)
+    rows = ledger.read_ledger(spark, home, times=True)
+    records = quality.require_schema(ledger.record_table(rows), IMPORTED_RECORDS)
+    errors = quality.require_schema(ledger.error_table(rows), IMPORT_ERRORS)
+    both = records.withColumns({"kind": F.lit("record"), "reason": F.lit(None).cast("string")}).unionByName(
+        errors.withColumn("kind", F.lit("error")), allowMissingColumns=True
+    )
+    dated = F.col("created_at").isNotNull() & (F.col("created_at") <= F.current_timestamp())
+    return both.select("kind", "job_id", "source_row_number", "reason", dated.alias("dated"), "id")
+
+
 def _fancy_sql() -> str:
     return CONTACTS + r""", fancy AS (
     SELECT job_id, source_row_number, coalesce(email, '') AS email,

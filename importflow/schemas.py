@@ -53,6 +53,9 @@ LEDGER = _table(
     ("phone", S, True), ("row_hash", S, True), ("reason", S, True), ("batch_id", L, True),
 )
 
+# As stored: rows also carry the time of the commit that first wrote them.
+STORED_LEDGER = _table(*[(f.name, f.dataType, f.nullable) for f in LEDGER.fields], ("created_at", TS, True))
+
 CONTACT_FIELDS = ["email", "first_name", "last_name", "phone"]
 
 # --- fixed values -----------------------------------------------------------------

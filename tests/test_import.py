@@ -259,3 +259,27 @@ def test_reconcile_finds_nothing_after_an_import(spark, uploads, tmp_path):
     records, errors = ledger.imported_records(rows), ledger.import_errors(rows)
     assert progress.reconcile(records, errors, told).collect() == []
     assert progress.reconcile(records, errors.limit(0), told).collect()
+
+
+def test_rows_keep_their_ids_and_times(spark, uploads, tmp_path):
+    """A replay repeats the ids, a compaction also the times, and no two rows share an id."""
+    uploads.put("e", FIVE)
+    root = str(tmp_path / "ledger")
+
+    def rows(times):
+        stored_rows = ledger.read_ledger(spark, root, times=True)
+        both = [*ledger.record_table(stored_rows).collect(), *ledger.error_table(stored_rows).collect()]
+        return sorted((r.id, r.job_id, r.source_row_number, *([r.created_at] if times else [])) for r in both)
+
+    run(spark, uploads, root)
+    once = rows(False)
+    assert once and len({r[0] for r in once}) == len(once)
+    run(spark, uploads, root)
+    assert rows(False) == once
+    more = ledger.read_ledger(spark, root).where("outcome = 'INVALID'").withColumn(
+        "source_row_number", F.col("source_row_number") + 100)
+    last = 1 + max(ledger.committed_batches(spark, root))
+    ledger.commit_batch(spark, root, more.drop("batch_id"), last)
+    before = rows(True)
+    ledger.compact(spark, root, last + 1)
+    assert rows(True) == before and all(r[3] for r in before) and len({r[3] for r in before}) == 2
