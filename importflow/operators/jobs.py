@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from importflow.functions import default_to, email_matches, page_count, source_key
-from importflow.operators.ordered import number_rows
+from importflow.operators.ordered import rows_between
 from importflow.schemas import JOB_DEFAULTS, MAX_PAGE_SIZE, PAGE_SIZE, TERMINAL_STATUSES
 
-TOP_ROWS = 10_000     # pages ending beyond this are cut out of a distributed numbering
+TOP_ROWS = 10_000     # pages ending beyond this are found by counts of ranges
 
 PUBLIC_COLUMNS = [
     "id", "status", "job_type", "total_rows", "processed_rows", "failed_rows",
@@ -58,22 +58,20 @@ class Page:
 
 def list_jobs(
     jobs: DataFrame, org_id, page: int = 0, size: int = PAGE_SIZE, status: str | None = None,
-    top_rows: int | None = None, group_rows: int | None = None,
+    top_rows: int | None = None,
 ) -> DataFrame:
     """One page, newest first, ties by id.
 
     Early pages are a top-k.  A deep page would pull all rows before it into one task, so
-    there the rows are numbered in place and the page is picked by number.
+    there counts of ranges say which range holds it, and only that one is sorted.
     """
     wanted = Page.of(page, size)
     first = wanted.page * wanted.size
     found = with_status(tenant_scope(jobs, org_id), status)
-    newest = [F.col("created_at").desc(), F.col("id").desc()]
-    if first + wanted.size <= (TOP_ROWS if top_rows is None else top_rows):
-        return found.orderBy(*newest).offset(first).limit(wanted.size)
-    numbered = number_rows(found, [], newest, "position", group_rows)
-    here = F.col("position").between(first + 1, first + wanted.size)
-    return numbered.where(here).orderBy("position").drop("position")
+    most = TOP_ROWS if top_rows is None else top_rows
+    if first + wanted.size > most:
+        found, first = rows_between(found, ["created_at", "id"], first, wanted.size, most)
+    return found.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(first).limit(wanted.size)
 
 
 def page_summary(

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from importflow.session import freeze
 
 GROUP_ROWS = 5_000_000
+RANGES = 256
 SEGMENT = "__segment"
 
 
@@ -116,6 +117,45 @@ def number_rows(
     return counted.table().withColumn(name, F.col(name) + 1)
 
 
+def rows_between(
+    df: DataFrame, order: list[str], first: int, count: int, most: int, ranges: int = RANGES,
+) -> tuple[DataFrame, int]:
+    """Rows ``first`` to ``first + count`` (from 0) of ``df`` in falling ``order`` lie in the range of
+    rows that is returned, and begin at the place that is returned.
+
+    A round draws the bounds of ``ranges`` ranges from the rows by a hash, counts the rows of each
+    (combined before the shuffle, and one number a range for the driver) and goes on in those that
+    hold the page, until they have at most ``most`` rows or cannot be told apart.
+    """
+    key = F.struct(*order)
+    spot = F.struct(F.xxhash64(*order).alias("h"), key.alias("k"))
+    left = None
+    while True:
+        drawn = df.select(spot.alias("s")).orderBy("s").limit(ranges).select("s.k").distinct()
+        # the bounds in falling order; the range of a row is how many lie above it
+        bounds = freeze(drawn.agg(F.sort_array(F.collect_list("k"), asc=False))).scalar()
+        above = F.size(F.filter("bounds", lambda b: b > F.col("k")))
+        keyed = df.select(key.alias("k"), bounds.alias("bounds"))
+        sizes = dict(keyed.select(above.alias("r")).groupBy("r").count().collect())
+        total, low, high, start = 0, None, None, 0
+        for r in sorted(sizes):
+            if total < first + count and total + sizes[r] > first:
+                low, start = (r, total) if low is None else (low, start)
+                high = r
+            total += sizes[r]
+        if low is None:
+            return df.limit(0), 0
+        held = sum(n for r, n in sizes.items() if low <= r <= high)
+        if low > 0:
+            df = df.where(key < F.get(bounds, F.lit(low - 1)))
+        if high < max(sizes):
+            df = df.where(key >= F.get(bounds, F.lit(high)))
+        first -= start
+        if held <= most or held == left:
+            return df, first
+        left = held
+
+
 class Fold(Protocol):
     """A sequential calculation over one column of the rows of one key.
 

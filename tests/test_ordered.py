@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from importflow.operators import skew
 from importflow.operators.jobs import list_jobs
 from importflow.operators.lifecycle import job_states, log_decisions
-from importflow.operators.ordered import Timeline, number_rows
+from importflow.operators.ordered import Timeline, number_rows, rows_between
 from importflow.operators.quality import orphans
 from importflow.operators.skew import filter_by_keys, spread_join
 from importflow.operators.ledger import after_cursor
@@ -174,10 +174,23 @@ def test_deep_page_equals_top_k(spark):
         "created_at", F.timestamp_seconds("d")).withColumn("status", F.lit("QUEUED"))
     for page in (0, 17, 29, 40):
         top = list_jobs(df, 1, page, 100).collect()
-        deep = list_jobs(df, 1, page, 100, top_rows=0, group_rows=200).collect()
+        deep = list_jobs(df, 1, page, 100, top_rows=200).collect()
         assert top == deep
 
 
+def test_rank_index_with_ties_and_nulls(spark):
+    """A third of the rows share one time, some have none; repeated rows cannot be told apart."""
+    rows = [(f"{i:04d}", None if i % 10 == 0 else 7 if i % 3 == 0 else i) for i in range(1000)]
+    rows += [("same", 7)] * 300
+    df = table(spark, rows, "id string, d int").cache()
+    whole = df.orderBy(F.col("d").desc(), F.col("id").desc()).collect()
+    for first, count in ((0, 10), (640, 60), (700, 5), (1295, 20), (1300, 5), (5000, 5)):
+        held, place = rows_between(df, ["d", "id"], first, count, 40, ranges=8)
+        found = held.orderBy(F.col("d").desc(), F.col("id").desc()).offset(place).limit(count)
+        assert found.collect() == whole[first:first + count]
+        assert held.count() <= 500
+
+
 def test_spread_join_equals_join(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(300)}", i) for i in range(3000)]
