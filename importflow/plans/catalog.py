@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from importflow.functions import report_key, source_key
 from importflow.operators import jobs as job_ops, ledger, lifecycle, progress, quality, report, throttle
 from importflow.operators.validate import pick_fields, validate
+from importflow.operators.ordered import number_rows
 from importflow.plans import derive
 from importflow.plans.derive import table
 from importflow.plans.importer import import_files
@@ -319,6 +320,49 @@ def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""WITH placed AS (
+    SELECT CAST(o_orderkey % 4 AS varchar) AS job_id, o_orderkey % 11 <> 0 AS sound,
+           row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS n,
+           count(*) OVER (PARTITION BY o_orderkey % 4) AS size
+    FROM orders
+), faulty AS (
+    SELECT job_id, n, size, CASE WHEN job_id <> '0' THEN size - size // 3 END AS fault,
+           sum(sound::int) OVER (PARTITION BY job_id ORDER BY n) AS good, sound
+    FROM placed
+)
+SELECT job_id, CASE WHEN job_id = '0' THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+       any_value(fault) AS failed_row,
+       CASE job_id WHEN '1' THEN 'invalid character between encapsulated token and delimiter'
+            WHEN '2' THEN 'value too long'
+            WHEN '3' THEN 'EOF reached before encapsulated token finished' END AS failed_why,
+       CASE WHEN job_id = '0' THEN max(size)
+            ELSE coalesce(max(n) FILTER (sound AND good % 500 = 0 AND n < fault), 0) END AS rows_kept
+FROM faulty GROUP BY job_id""")
+def failed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that break off two thirds down, each in a way of its own, beside a sound one: what stops
+    them, and what the commits before that kept."""
+    orders = table(spark, folder, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("part"))
+    sizes = orders.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    rows = number_rows(orders, ["part"], ["o_orderkey"], "source_row_number").join(F.broadcast(sizes), "part")
+    key = F.col("o_orderkey").cast("string")
+    email = F.when(F.col("o_orderkey") % 11 != 0, F.concat(key, F.lit("@example.com"))).otherwise("")
+    whole = F.concat(email, F.lit(",First,Last,"))
+    fault = (
+        F.when(F.col("part") == 1, '"quoted"more,First,Last,')
+        .when(F.col("part") == 2, F.concat(F.lit("a@example.com,"), F.repeat(F.lit("x"), F.lit(300)), F.lit(",Last,")))
+        .when(F.col("part") == 3, '"never closed,First,Last,').otherwise(whole)
+    )
+    here = F.col("source_row_number") == F.col("size") - F.floor(F.col("size") / 3)
+    lines = rows.select(
+        F.col("part").cast("string").alias("job_id"), "source_row_number",
+        F.when(here, fault).otherwise(whole).alias("line"),
+    )
+    home = scratch_path(spark, "ledger")
+    results = import_files(spark, home, derive.upload_lines(spark, lines), derive.job_of_folder, batch_id=0)
+    kept = ledger.read_ledger(spark, home).groupBy("job_id").agg(F.count(F.lit(1)).alias("rows_kept"))
+    return results.join(kept, "job_id", "left").withColumn("rows_kept", F.coalesce("rows_kept", F.lit(0)))
+
+
 @query(f"""WITH {CONTACTS}
 SELECT job_id, CAST(33 + sum(strlen(coalesce(email, '')) + strlen(first_name)
        + strlen(coalesce(last_name, '')) + strlen(coalesce(phone, '')) + 4) AS bigint) AS length

@@ -49,13 +49,16 @@ def validate_files(
         )
 
     found: ContactFiles = read_contact_files(spark, paths, describe, line_sep)
-    rows = validate(pick_fields(found.rows)).where(F.col("source_row_number") > F.col("cursor"))
-    files = found.files
+
+    def checked(read: DataFrame) -> DataFrame:
+        return validate(pick_fields(read)).where(F.col("source_row_number") > F.col("cursor"))
+
+    rows, files = checked(found.rows), found.files
     # Only a file with a line longer than the shortest limit can hold an over-long value.
     if found.any_suspect:
         # An aggregate, not a filter: a filter would be pushed down to the scan and validate
         # every row once per use of every field.
-        over = rows.where("suspect").groupBy("file_path").agg(
+        over = checked(found.rows_of(files.where("suspect"))).groupBy("file_path").agg(
             F.min(F.when(too_long(), F.col("source_row_number"))).alias("long_row")
         )
         first = F.least("failed_row", "long_row")
@@ -75,7 +78,7 @@ def validate_files(
     if told["failed"]:
         # Of a file that fails, the commits before the failure are kept.
         failing = files.where("failed_row is not null").select("file_path", "failed_row")
-        before = rows.join(checked_broadcast(failing), "file_path").where(
+        before = checked(found.rows_of(failing)).join(checked_broadcast(failing), "file_path").where(
             F.col("source_row_number") < F.col("failed_row")
         )
         files = files.drop("kept_to").join(last_flush(before, "file_path"), "file_path", "left")

@@ -91,6 +91,15 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """``df`` with its partitions planned now, so that every use cuts the files alike.
+
+    No rows are kept: a scan reads its splits anew each time, and so does a task that was lost.
+    """
+    session, frame = df.sparkSession, df._jdf
+    return DataFrame(session._jsparkSession.createDataFrame(frame.javaRDD(), frame.schema()), session)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """The same for large data whose partitions do not matter: a Parquet table."""
     path = scratch_path(df.sparkSession, name)

@@ -1,7 +1,7 @@
 """Contact CSV files: records, source row numbers and named fields.
 
-Files are read in splits.  A file whose lines are each a whole record (nearly all files) is
-numbered with two scans and no shuffle of its lines.  A file in which a quoted value runs over
+Files are read in splits that are planned once.  A file whose lines are each a whole record (nearly
+all files) is numbered with two scans of the same splits and no shuffle of its lines.  A file in which a quoted value runs over
 a line end takes a second route that works out, per line, whether the line begins inside
 quotes; it is split across tasks just the same.
 
@@ -11,15 +11,18 @@ alike, accepts text after a closing quote, and needs one schema (so one plan) pe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from importflow.operators import skew
 from importflow.operators.skew import checked_broadcast, has_at_most
 from importflow.schemas import CONTACT_FIELDS, RECORD_LENGTHS
-from importflow.session import freeze, store
+from importflow.session import freeze, pin, store
 
 PRUNE_FILES = 1_000                  # up to here a file list goes into the scan itself
+BLOCK_ROWS = 2_000_000               # blocks whose places, about 100 bytes each, may be broadcast
 RECORD_BYTES = 1 << 30               # a longer record does not fit in a row and fails its file
 # A valid phone is far below its limit, so only the other fields can be too long.
 _LONG_LINE = min(RECORD_LENGTHS[f] for f in CONTACT_FIELDS if f != "phone")
@@ -51,11 +54,14 @@ class ContactFiles:
 
     A file's ``data_rows`` is what it must yield unless it fails at ``failed_row``.
     ``any_suspect`` says whether some file has lines long enough for over-long values.
+    ``rows_of`` gives the rows of some files (``file_path``), for which no other file is read
+    where they are few.
     """
 
     rows: DataFrame
     files: DataFrame
     any_suspect: bool
+    rows_of: Callable[[DataFrame], DataFrame]
 
 
 def scan_lines(spark: SparkSession, paths, line_sep: str = "\n") -> DataFrame:
@@ -174,13 +180,21 @@ def _profile(stamped: DataFrame) -> DataFrame:
 def _number_plain(stamped: DataFrame, blocks: DataFrame) -> DataFrame:
     """Number the records of the given blocks, which carry their file's columns.
 
-    Both scans come from one file listing, so they cut the files alike.  The commit checks
-    that every file has all of its rows, so a scan that did not could not go unnoticed.
+    The scan's splits were planned before the first use, so a block's places are the same here
+    as in its profile.  With many blocks only their places go to every task, and the columns of
+    the files are joined file by file.
     """
     placed = blocks.withColumn("shift", F.col("row_start") - F.col("first_place")).drop(
         "first_place", "lines", "first_line", "flags", "row_start"
     )
-    found = stamped.join(checked_broadcast(placed), ["task", "file_path", "block_start"])
+    block = ["task", "file_path", "block_start"]
+    if has_at_most(placed, skew.BROADCAST_ROWS):
+        found = stamped.join(F.broadcast(placed), block)
+    else:
+        places = placed.select(*block, "shift")
+        found = stamped.join(checked_broadcast(places, BLOCK_ROWS), block).join(
+            checked_broadcast(freeze(placed.drop("task", "block_start", "shift").distinct())), "file_path"
+        )
     return found.withColumn("source_row_number", F.col("place") + F.col("shift")).withColumnRenamed(
         "line", "record"
     )
@@ -351,8 +365,30 @@ def read_contact_files(
     ``describe`` may add columns (a job id, a resume cursor) to the table of files; they are
     carried on to every row through the small block table, so no join by job is needed.
     """
+    describe = describe or (lambda df: df)
     lines = scan_lines(spark, paths, line_sep)
-    stamped = _stamp(lines)
+    found = _read(lines, describe)
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        """Few files are profiled and read by themselves; more are picked from all rows."""
+        some = some.select("file_path")
+        if has_at_most(some, PRUNE_FILES):
+            return _read(_lines_of(lines, some), describe).rows
+        return found.rows.join(checked_broadcast(some), "file_path", "left_semi")
+
+    found.rows_of = rows_of
+    return found
+
+
+def _lines_of(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """The lines of some files; a short list of them prunes the scan."""
+    if has_at_most(some, PRUNE_FILES):
+        return lines.where(F.col("file_path").isin([r["file_path"] for r in some.collect()]))
+    return lines.join(checked_broadcast(some), "file_path", "left_semi")
+
+
+def _read(lines: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> ContactFiles:
+    stamped = _stamp(pin(lines))
     blocks = _profile(stamped)
     blocks = blocks.withColumn("row_start", _starts_per_file(blocks, "lines"))
     files = blocks.groupBy("file_path").agg(
@@ -361,7 +397,6 @@ def read_contact_files(
         F.max(F.size("flags") > 0).alias("suspect"),
         (F.sum("lines") - 1).alias("data_rows"),
     )
-    describe = describe or (lambda df: df)
     files = freeze(describe(files))
     seen = files.agg(F.max("odd").alias("odd"), F.max("suspect").alias("suspect")).first()
 
@@ -376,13 +411,7 @@ def read_contact_files(
     rows = rows.select(*keep)
 
     if seen["odd"]:
-        odd = files.where("odd").select("file_path")
-        if has_at_most(odd, PRUNE_FILES):
-            wanted = [r["file_path"] for r in odd.collect()]
-            odd_lines = lines.where(F.col("file_path").isin(wanted))
-        else:
-            odd_lines = lines.join(checked_broadcast(odd), "file_path", "left_semi")
-        records, headers, counted = _multi_line(odd_lines)
+        records, headers, counted = _multi_line(_lines_of(lines, files.where("odd").select("file_path")))
         quoted = freeze(
             _with_header(
                 files.where("odd").drop("odd", "header", "data_rows")
@@ -402,4 +431,7 @@ def read_contact_files(
         F.coalesce("header_error", "failed_why").alias("failed_why"),
     )
     data = rows.where(F.col("source_row_number") >= 1).withColumn("tokens", tokens("record"))
-    return ContactFiles(data.drop("record"), described, bool(seen["suspect"]))
+    every = data.drop("record")
+    return ContactFiles(
+        every, described, bool(seen["suspect"]), lambda some: every.join(some, "file_path", "left_semi")
+    )

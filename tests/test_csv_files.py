@@ -170,3 +170,34 @@ def test_columns_are_picked_by_name(spark, uploads):
     uploads.put("x", "last_name,ignored,phone,email,first_name\nL,,1234567,e@x.co,F\n")
     row = pick_fields(read_contact_files(spark, uploads.pattern).rows).first()
     assert [row[f] for f in CONTACT_FIELDS] == ["e@x.co", "F", "L", "1234567"]
+
+
+def test_splits_are_planned_once(spark, uploads):
+    """Rows keep their numbers when the settings that cut files change between the scans."""
+    for job in ("a", "b"):
+        uploads.put(job, HEADER + "".join(f"u{i}@x.co,{job}{i},L,\n" for i in range(1, 3001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_contact_files(spark, uploads.pattern, _upload_of).rows
+        for size in ("7000", "100000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = pick_fields(rows).select("job_id", "source_row_number", "first_name").collect()
+            assert sorted(r["first_name"] for r in found) == sorted(f"{j}{i}" for j in "ab" for i in range(1, 3001))
+            assert all(r["first_name"] == f"{r['job_id']}{r['source_row_number']}" for r in found)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_rows_of_some_files(spark, uploads, tmp_path, few, monkeypatch):
+    """A short list of files is read by itself: the others may be gone by then."""
+    monkeypatch.setattr(csv_files, "PRUNE_FILES", few)
+    for job in ("a", "b", "c"):
+        uploads.put(job, HEADER + f'u@x.co,{job},"two\nlines",\n' + "u@x.co,F,L,\n" * 50)
+    found = read_contact_files(spark, uploads.pattern, _upload_of)
+    if few:
+        (tmp_path / "org" / "a" / "source.csv").unlink()
+    rows = pick_fields(found.rows_of(found.files.where("job_id = 'b'"))).collect()
+    assert {r["job_id"] for r in rows} == {"b"}
+    assert sorted(r["source_row_number"] for r in rows) == list(range(1, 52))
+    assert [r["last_name"] for r in rows if r["source_row_number"] == 1] == ["two\nlines"]

@@ -20,7 +20,7 @@ def test_query_agrees_with_its_sql(spark, con, name):
     assert result["same"], result
 
 
-LARGE = ["import_contacts", "csv_roundtrip", "resume_import", "resume_from_cursor", "cascade_delete",
+LARGE = ["import_contacts", "csv_roundtrip", "failed_files", "resume_import", "resume_from_cursor", "cascade_delete",
          "orphan_records", "job_page_deep", "job_decisions", "token_bucket", "rolling_failure_rate"]
 
 
