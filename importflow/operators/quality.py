@@ -173,7 +173,7 @@ def schema_differences(actual: T.StructType, declared: T.StructType) -> list[str
     """Where a table's shape departs from the declared one; extra columns are allowed.
 
     File readers report every column as nullable, so a declared NOT NULL is not compared
-    here; ``null_counts`` checks it on the data.
+    here; ``sources.tables`` marks it on what it writes and checks it at load.
     """
     found = {f.name: f.dataType for f in actual.fields}
     problems = []
