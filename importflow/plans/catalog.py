@@ -16,11 +16,13 @@ from importflow.operators.ordered import number_rows
 from importflow.plans import derive
 from importflow.plans.derive import table
 from importflow.plans.importer import import_files
-from importflow.schemas import CONTACT_FIELDS, IMPORT_ERRORS, IMPORTED_RECORDS, JOB_DEFAULTS, JOBS
+from importflow.schemas import (
+    CONTACT_FIELDS, IMPORT_ERRORS, IMPORTED_RECORDS, JOB_DEFAULTS, JOBS, ORGANIZATIONS,
+)
 from importflow.session import freeze, scratch_path
 from importflow.sources.csv_files import read_contact_files
 from importflow.sources.messages import publish, table_stream
-from importflow.sources.tables import write_table
+from importflow.sources.tables import read_table, table_problems, write_table
 from importflow.sources.uploads import list_uploads, put_objects
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -805,6 +807,34 @@ def table_violations(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
+@query("""SELECT 'departing' AS table_name, 'column name holds ' || count(*) || ' NULLs, declared NOT NULL' AS problem
+FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT 'retyped', 'column id is bigint, declared string'
+UNION ALL SELECT 'retyped', 'missing column created_at'
+UNION ALL SELECT 'written', 'read: ' || count(*) FROM customer""")
+def schema_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored tables held against their declaration: one written under it, a foreign one that keeps to it,
+    one with NULLs and one of another shape."""
+    made = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"),
+        F.timestamp_seconds("c_custkey").alias("created_at"),
+    )
+    home = scratch_path(spark, "tables")
+    write_table(made, f"{home}/written", ORGANIZATIONS)
+    made.write.parquet(f"{home}/foreign")
+    made.withColumn("name", F.when(F.col("id").cast("bigint") % 7 != 0, F.col("name"))).write.parquet(
+        f"{home}/departing")
+    made.select(F.col("id").cast("bigint"), "name").write.parquet(f"{home}/retyped")
+    problems = [
+        (name, problem) for name in ("written", "foreign", "departing", "retyped")
+        for problem in table_problems(spark.read.parquet(f"{home}/{name}"), ORGANIZATIONS)
+    ]
+    read = read_table(spark, f"{home}/written", ORGANIZATIONS).agg(
+        F.lit("written").alias("table_name"),
+        F.concat(F.lit("read: "), F.count(F.lit(1)).cast("string")).alias("problem"))
+    return read.unionByName(spark.createDataFrame(problems, "table_name string, problem string"))
+
+
 @query(f"""WITH {CHECKED}, left_over AS (SELECT * FROM checked WHERE c_nationkey % 5 <> 0)
 SELECT 'jobs' AS table_name, job_id, CAST(NULL AS bigint) AS source_row_number
 FROM (SELECT DISTINCT job_id FROM left_over)

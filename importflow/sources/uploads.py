@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatchcase
 from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from importflow.functions import object_key_parts
 
 BLOCK_BYTES = 1 << 20   # of an object's lines that travel as one row
 MOVES = 16              # objects moved to their keys at a time
+LOOKUPS = 32            # keys asked for at a time
 
 
 def list_uploads(spark: SparkSession, root: str, pattern: str = "source.csv") -> DataFrame:
@@ -30,6 +32,27 @@ def list_uploads(spark: SparkSession, root: str, pattern: str = "source.csv") ->
     )
 
 
+def look_up(spark: SparkSession, root: str, keys: list[str], pattern: str = "*") -> list[tuple[str, int, int]]:
+    """(key, number of files, length) of those of ``keys`` that are there, each asked for by name.
+
+    The work follows the keys and not what lies below ``root``.  Empty files do not count; a key
+    that names a folder has the number of its files that match ``pattern``.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def ask(key: str) -> tuple[str, int, int] | None:
+        target = path(f"{root}/{key}")
+        if not fs.exists(target):
+            return None
+        named = [(s.getPath().getName(), s) for s in fs.listStatus(target) if s.isFile() and s.getLen() > 0]
+        sizes = [s.getLen() for name, s in named if not name.startswith(("_", ".")) and fnmatchcase(name, pattern)]
+        return key, len(sizes), max(sizes, default=0)
+
+    with ThreadPool(LOOKUPS) as pool:       # names and sizes only
+        return [found for found in pool.map(ask, keys) if found]
+
+
 def get_objects(spark: SparkSession, paths) -> DataFrame:
     """Whole objects as bytes, one row each."""
     return spark.read.format("binaryFile").load(paths).select(

@@ -27,7 +27,7 @@ from importflow.schemas import JOB_MESSAGE, JOBS
 from importflow.session import freeze
 from importflow.sources.messages import message_files, publish
 from importflow.sources.tables import read_table
-from importflow.sources.uploads import list_uploads
+from importflow.sources.uploads import look_up
 from importflow.streaming.stateful import stream_retries
 
 LOG_SCHEMA = (
@@ -107,12 +107,12 @@ def confirm_uploads(
     own = jobs.join(
         asked.select(F.col("job_id").alias("id"), F.col("org_id")), ["id", "org_id"], "left_semi"
     )
-    uploads = list_uploads(spark, home.folder("uploads"), pattern).select("path", "length")
-    keys = F.array_distinct(_keys_of(spark, home, F.col("path")))
-    # A folder of several files is no object: it has no length, and its job is refused.
-    objects = uploads.select(F.explode(keys).alias("object_key"), "length").groupBy("object_key").agg(
-        F.when(F.count(F.lit(1)) == 1, F.max("length")).alias("length")
-    )
+    own = freeze(own)
+    # Only a pending job's decision hangs on its object.  The keys reach the driver, as many as one
+    # confirmation asks for; a folder of several files is no object, and its job is refused.
+    keys = [r["source_object_key"] for r in own.where("status = 'PENDING'").select("source_object_key").collect()]
+    sizes = [(key, length) for key, files, length in look_up(spark, home.folder("uploads"), keys, pattern) if files == 1]
+    objects = spark.createDataFrame(sizes, "object_key string, length bigint")
     decided = freeze(admit_uploads(own, objects))
     queued = decided.where("outcome = 'QUEUED'").select(F.col("id").alias("job_id"))
     append_queued(spark, home, queued, number)
@@ -169,16 +169,9 @@ def process_messages(
     if not keys:
         return      # only redeliveries and unknown jobs
     claimed = keyed.select("job_id")
-    fs, _ = file_system(spark, home.root)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    objects = {k: hadoop_path(f"{home.folder('uploads')}/{k}") for k in keys}
-    there, filled = [], []
-    for k in keys:
-        found = fs.listStatus(objects[k]) if fs.exists(objects[k]) else None
-        files = [s for s in found or [] if not s.getPath().getName().startswith(("_", ".")) and s.getLen() > 0]
-        if found is not None and len(files) < 2:    # several files are no object: that job fails
-            there.append(k)
-            filled += [k] * len(files)
+    # Several files are no object: that job fails.
+    found = [(k, files) for k, files, _ in look_up(spark, home.folder("uploads"), keys) if files < 2]
+    there, filled = [k for k, _ in found], [k for k, files in found if files]
     ended = keyed.where(~F.col("source_object_key").isin(there)).select(
         "job_id", F.lit("FAILED").alias("status")
     )

@@ -11,7 +11,7 @@ from importflow.functions import (
 from importflow.operators import jobs as job_ops, lifecycle, progress, quality
 from importflow.operators.validate import validate
 from importflow.sources.tables import read_table, register, write_table
-from importflow.sources.uploads import get_objects, list_uploads
+from importflow.sources.uploads import get_objects, list_uploads, look_up
 
 
 def one(spark, column):
@@ -162,6 +162,29 @@ def test_schema_check(spark, tmp_path):
     assert quality.schema_differences(spark.read.parquet(path).schema, same) == []
 
 
+def test_not_null_is_held_and_checked(spark, tmp_path):
+    shape = "id string, name string, created_at timestamp"
+    sound = spark.createDataFrame([("a", "A", dt.datetime(2024, 1, 1))], shape)
+    broken = spark.createDataFrame([("b", None, dt.datetime(2024, 1, 1))], shape)
+    write_table(sound, f"{tmp_path}/t", schemas.ORGANIZATIONS)
+    with pytest.raises(Exception, match="column name must not be NULL"):
+        write_table(broken, f"{tmp_path}/t", schemas.ORGANIZATIONS)
+    read = read_table(spark, f"{tmp_path}/t", schemas.ORGANIZATIONS)
+    assert read.count() == 1 and all(f.metadata for f in read.schema.fields)
+    sound.unionByName(broken).write.parquet(f"{tmp_path}/foreign")
+    with pytest.raises(ValueError, match="column name holds 1 NULLs, declared NOT NULL"):
+        read_table(spark, f"{tmp_path}/foreign", schemas.ORGANIZATIONS)
+
+
+def test_keys_are_asked_for_by_name(spark, uploads, tmp_path):
+    keys = [uploads.put(f"u{i}", "x" * i) for i in range(40)]
+    (tmp_path / "org" / "two").mkdir()
+    for name in ("a.csv", "b.csv", "_c.csv", "d.txt"):
+        (tmp_path / "org" / "two" / name).write_text("xyz")
+    found = {k: rest for k, *rest in look_up(spark, str(tmp_path), [*keys, "org/two", "org/none"], "*.csv")}
+    assert found == {"org/two": [2, 3], **{k: [int(i > 0), i] for i, k in enumerate(keys)}}
+
+
 def test_constraints(spark):
     users = spark.createDataFrame([("1", "A@x.co", "ADMIN"), ("2", "a@X.co", "GUEST"), ("3", None, None)],
                                   "id string, email string, role string")
@@ -250,7 +273,7 @@ def test_transition_table(spark):
     for event in wanted:
         for status, way in ways.items():
             for n, step in enumerate(way + [event]):
-                rows.append((f"{event} {status}", dt.datetime(2024, 1, 1), n, step.rstrip("-"),
+                rows.append((f"{event} {status}", dt.dt.datetime(2024, 1, 1), n, step.rstrip("-"),
                              not step.endswith("-"), 1, 0, 1, n == len(way)))
     log = spark.createDataFrame(rows, "job_id string, ts timestamp, event_id bigint, event string, "
                                 "upload_present boolean, valid_rows bigint, invalid_rows bigint, "
