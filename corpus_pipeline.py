@@ -14,9 +14,9 @@ KEEP_TOKENS = 0.9           # expected share of the tokens that the mix keeps
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the others' labels."""
+    """Documents in one of the languages learned from the others' labels, and not unlike all of them."""
     apply_settings(spark)
-    model = language.learn(docs.where(~language.held_out()))
+    model = language.learn(docs.where(~language.held_out()), usual=True)
     return language.identify(docs, model, min_score=MIN_LANGUAGE_SCORE)
 
 

@@ -9,6 +9,11 @@ Learning: expectation maximisation over the word counts of a sample, ``max_docs`
 each language (about; all if there are fewer), of the ``max_langs`` most frequent languages.  The
 sample is a choice by the hash of the id.  Only (piece, language) sums reach the driver.
 
+Texts in no learned language: a text's log probability a letter is held against what the language's
+own sampled documents have.  Their mean, the variance of a word about it and that from document to
+document give the least that a text of so many letters may have (``WIDTH`` standard deviations
+below).  A model learned with ``usual`` gives texts below it the score 0.
+
 NULL text, or text without a letter: ``und`` with score 0.  NULL language: not learned from.  No
 language learned: every text is ``und``.  Empty table: empty result.  A run of more than
 ``RUN`` letters is taken as several.  Equal texts get equal results.
@@ -33,6 +38,7 @@ MAX_LANGS = 200
 ROUNDS = 3                  # of expectation maximisation
 SMOOTH = 0.05               # added to the count of every piece
 STRANGE = 1e-4              # probability of a letter that is no piece, in every language
+WIDTH = 20                  # standard deviations that a text may lie below its language's own
 MOST_CACHED = 150_000       # words whose scores a task keeps
 
 _WORDS = re.compile(r"[^\W\d_]{1,%d}" % RUN)
@@ -155,9 +161,10 @@ def expected(words: list[str], counts: np.ndarray, shares: np.ndarray, path: str
 
 def learn(
     labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS, vocabulary: str | None = None,
+    max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS, vocabulary: str | None = None, usual: bool = False,
 ) -> dict:
-    """The languages and the probability of each piece in each, from labelled rows."""
+    """The languages and the probability of each piece in each, from labelled rows; with ``usual``
+    also what scores are usual in each."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang")
     )
@@ -193,7 +200,45 @@ def learn(
     shares = np.full((size, len(langs)), 1 / size)
     for _ in range(ROUNDS):
         shares = _next_shares(table, shares, vocabulary)
-    return {"langs": langs, "shares": shares, "vocabulary": vocabulary}
+    model = {"langs": langs, "shares": shares, "vocabulary": vocabulary}
+    return model | {"usual": _usual(sample, model)} if usual else model
+
+
+def _usual(sample: DataFrame, model: dict) -> np.ndarray:
+    """By language: mean score a letter, its variance from document to document, and a word's a letter.
+
+    Each document counts by its letters; a word has one more, the mark before it.
+    """
+    def sums(batches):
+        scores = _Scores(model)
+        for unit in rows.gathered(batches, "__text"):
+            found = [_WORDS.findall(t.lower()) for t in unit.column("__text").to_pylist()]
+            at = [[scores[w] for w in ws] for ws in found]
+            table, out = scores.settle(), []
+            for k, ws, places in zip(unit.column("__lang").to_pylist(), found, at):
+                if ws:
+                    s, n = table[places, k], np.fromiter(map(len, ws), float, len(ws)) + 1
+                    out.append((k, s.sum(), n.sum(), s.sum() ** 2 / n.sum(), s @ s, s @ n, n @ n))
+            scores.trim()
+            if out:
+                yield rows.batch(**dict(zip(names, map(list, zip(*out)))))
+
+    names = ["lang", "s", "n", "ssn", "ss", "sn", "nn"]
+    shape = "lang long, " + ", ".join(f"{c} double" for c in names[1:])
+    result = np.full((3, len(model["langs"])), np.inf)      # a language without words bounds nothing
+    result[0] = 0
+    # seven numbers a language
+    totals = sample.mapInArrow(sums, shape).groupBy("lang").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect()
+    for lang, s, n, ssn, ss, sn, nn in totals:
+        mean = s / n
+        result[:, lang] = mean, max(ssn / n - mean ** 2, 0), (ss - 2 * mean * sn + mean ** 2 * nn) / n
+    return result
+
+
+def is_usual(score: float, letters: int, usual: np.ndarray) -> bool:
+    """Whether a text of so many letters may have this score in a language of such ``usual`` scores."""
+    mean, between, within = usual
+    return score / letters >= mean - WIDTH * np.sqrt(between + within / letters)
 
 
 def _next_shares(table: DataFrame, shares: np.ndarray, path: str | None) -> np.ndarray:
@@ -245,7 +290,9 @@ class _Scores(dict):
 
 
 def guess(texts: list[str | None], scores: _Scores) -> tuple[list[str], np.ndarray]:
-    langs = scores.model["langs"]
+    """Language and score of each text; a text unlike all languages has score 0 if the model knows
+    what is usual."""
+    langs, usual = scores.model["langs"], scores.model.get("usual")
     found = [_WORDS.findall(t.lower()) if t else [] for t in texts]
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -259,7 +306,8 @@ def guess(texts: list[str | None], scores: _Scores) -> tuple[list[str], np.ndarr
         total = table[at].sum(axis=0)
         best = int(total.argmax())
         labels.append(langs[best])
-        shares[i] = 1 / np.exp(total - total[best]).sum()
+        if usual is None or is_usual(total[best], sum(map(len, words)) + len(words), usual[:, best]):
+            shares[i] = 1 / np.exp(total - total[best]).sum()
     scores.trim()
     return labels, shares
 

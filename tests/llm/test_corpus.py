@@ -481,6 +481,40 @@ def test_languages_held_out(session, documents):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
 
 
+FOREIGN = [
+    "Suomen kieli kuuluu itämerensuomalaisiin kieliin ja sitä puhuvat miljoonat ihmiset sekä kotona että työssä "
+    "niin kaupungeissa kuin pienissä kylissä järvien ja metsien keskellä kaukana pohjoisessa.",
+    "Η ελληνική γλώσσα μιλιέται εδώ και χιλιάδες χρόνια στα νησιά και στα βουνά της χώρας και γράφεται με δικό της "
+    "αλφάβητο που το έμαθαν και άλλοι λαοί της περιοχής.",
+    "日本語は日本で話されている言語であり、漢字と仮名を使って書かれる。東京や大阪などの都市だけでなく、小さな村でも話されている。",
+    "qzxv wkjh bbtr plqm xxcv zzrt kqpl mnbv wqzx jjhg ttrw vvbn qqpl xkcd zmnv wprt hgfk lqwz bvcx ppqz "
+    "rtyk wxzq mmkj ghtq vbnx zzlk qwpx jkhv ttzx bnmq",
+]
+
+
+def test_texts_in_no_learned_language_are_rejected(session, documents):
+    """Planted foreign texts and random letters go, whatever their nearest language; clean texts stay."""
+    import corpus_pipeline as pipeline
+
+    shape = documents.schema
+    planted = [tuple({"doc_id": 10**9 + i, "text": t}.get(c) for c in shape.names) for i, t in enumerate(FOREIGN)]
+    docs = documents.unionByName(session.createDataFrame(planted, shape))
+    kept = {r.doc_id for r in pipeline.language_id(session, docs, FOLDER).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in range(len(FOREIGN))}
+    clean = {r.doc_id for r in documents.where("lang IS NOT NULL").collect() if re.search("[^\\W\\d_]{2}", r.text or "")}
+    assert len(clean - kept) <= 0.01 * len(clean)
+
+
+def test_usual_scores_follow_the_words():
+    """A document as the average is usual at any length; one that is off by a letter's worth only if short."""
+    import numpy as np
+
+    usual = np.array([-2.0, 0.01, 0.5])
+    assert all(language.is_usual(-2.0 * n, n, usual) for n in (3, 100, 10**6))
+    assert language.is_usual(-5.0 * 10, 10, usual) and not language.is_usual(-5.0 * 1000, 1000, usual)
+    assert language.is_usual(-5.0 * 1000, 1000, np.array([0, np.inf, np.inf]))
+
+
 def test_forward_sums_all_segmentations():
     import numpy as np
 
