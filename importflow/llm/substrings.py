@@ -112,13 +112,14 @@ def bucket_of(signs: np.ndarray, buckets: int) -> np.ndarray:
     return (words.mix(signs) % np.uint64(buckets)).astype(np.int64)
 
 
-def loads(unit: pa.RecordBatch, buckets: int, length: int) -> np.ndarray:
-    """Bytes of the different super-k-mers of the unit by bucket, and of all their windows, each by itself."""
+def loads(unit: pa.RecordBatch, buckets: int, length: int) -> pa.RecordBatch | None:
+    """By bucket that the unit has (bucket, whole, alone): bytes of its different super-k-mers, and of
+    all their windows, each by itself."""
     data, offsets = rows.text_bytes(unit.column("text"))
     starts, ends, first = words.word_spans(data, offsets)
     at = np.flatnonzero(words.whole_windows(first, length))
     if not len(at):
-        return np.zeros((2, buckets))
+        return None
     hashes = words.span_hashes(data, starts, ends)
     signs = minimisers(hashes, length)[at]
     line = words.owner(first)[at]
@@ -129,22 +130,18 @@ def loads(unit: pa.RecordBatch, buckets: int, length: int) -> np.ndarray:
     keys = words.windows(hashes, length)[at]
     same = words.mix(keys[begin] ^ words.mix(keys[stop - 1] ^ (stop - begin).astype(np.uint64)))
     once = np.unique(same, return_index=True)[1]
-    bucket = bucket_of(signs[begin[once]], buckets)
+    bucket, spot = np.unique(bucket_of(signs[begin[once]], buckets), return_inverse=True)
     whole = (ends[at[stop - 1] + length - 1] - starts[at[begin]])[once]
-    return np.stack([np.bincount(bucket, x, minlength=buckets) for x in (whole, alone[once])])
+    return rows.batch(bucket=bucket, whole=np.bincount(spot, whole), alone=np.bincount(spot, alone[once]))
 
 
 def heavy_parts(df: DataFrame, buckets: int, length: int, bucket_bytes: int) -> dict[int, int]:
     """The buckets to split and into how many parts each."""
-    def run(batches):
-        found = np.zeros((2, buckets))
-        for unit in rows.gathered(batches, "text", UNIT_BYTES):
-            found += loads(unit, buckets, length)
-        used = np.flatnonzero(found[0])
-        yield rows.batch(bucket=used, whole=found[0][used], alone=found[1][used])
-
-    counted = df.select("text").mapInArrow(run, "bucket long, whole double, alone double").groupBy("bucket").agg(
-        F.sum("whole").alias("whole"), F.sum("alone").alias("alone"))
+    found = rows.map_units(
+        df.select("text"), "text", lambda unit: loads(unit, buckets, length),
+        "bucket long, whole double, alone double", UNIT_BYTES,
+    )
+    counted = found.groupBy("bucket").agg(F.sum("whole").alias("whole"), F.sum("alone").alias("alone"))
     return {r["bucket"]: int(r["alone"] // bucket_bytes) + 1
             for r in counted.where(F.col("whole") > HEAVY * bucket_bytes).collect()}
 
