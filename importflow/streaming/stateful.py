@@ -1,8 +1,9 @@
 """Streaming job states and token buckets, one small state per key.
 
 Within a micro-batch the rows of a key are taken in (time, event id) order, so a task holds
-the key's rows of one micro-batch; the source must bound the micro-batch (``table_stream``
-does).  There is no watermark: state is kept for as long as its key may come back.  The state
+the key's rows of one micro-batch (a token bucket's as two numbers and a flag each, and its
+decisions leave in batches); the source must bound the micro-batch (``table_stream`` does).
+There is no watermark: state is kept for as long as its key may come back.  The state
 store must be the RocksDB one (``importflow.session.STATE_STORE``).  To work through a large
 table, use the batch operators, which cut up large keys.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -81,6 +84,9 @@ def stream_job_states(log: DataFrame) -> DataFrame:
     )
 
 
+DECISIONS = 10_000     # rows that leave a token bucket at once
+
+
 class BucketProcessor(StatefulProcessor):
     def __init__(self, bucket: Bucket, columns: list[str]):
         self.bucket, self.columns = bucket, columns
@@ -91,14 +97,26 @@ class BucketProcessor(StatefulProcessor):
         ])
         self.state = handle.getValueState("bucket", shape)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         full_at, seen = self.state.get() or (None, None)
-        named = Row(*self.columns)
-        for ts_us, event_id in sorted((r["ts_us"], r["event_id"]) for r in rows):
-            # An event older than the last one seen refills nothing.
-            seen = ts_us if seen is None else max(seen, ts_us)
-            full_at, *decision = self.bucket.step(full_at, seen)
-            yield named(key[0], event_id, *decision)
+        parts = []
+        for part in rows:
+            if part["ts_us"].isna().any():
+                raise TypeError("an event without a time has no place in the order")
+            parts.append([part[c].to_numpy() for c in ("ts_us", "nameless", "event_id")])
+        ts, nameless, ids = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        order = np.lexsort((ids, ~nameless, ts))
+        for first in range(0, len(order), DECISIONS):
+            here = order[first:first + DECISIONS]
+            decisions = []
+            for ts_us in ts[here].tolist():
+                # An event older than the last one seen refills nothing.
+                seen = ts_us if seen is None else max(seen, ts_us)
+                full_at, *decision = self.bucket.step(full_at, seen)
+                decisions.append(decision)
+            named = pd.arrays.IntegerArray(ids[here], nameless[here])
+            yield pd.DataFrame(dict(zip(self.columns, (key[0], named, *zip(*decisions)))))
         self.state.update((full_at, seen))
 
     def close(self) -> None:
@@ -108,12 +126,16 @@ class BucketProcessor(StatefulProcessor):
 def stream_token_bucket(
     events: DataFrame, key: str, capacity: int, refill: int, period_us: int
 ) -> DataFrame:
-    slim = events.where(F.col(key).isNotNull()).select(
-        key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
+    """Decide every event of a micro-batch that has a key."""
+    named = events.where(F.col(key).isNotNull())
+    shape = decision_schema(named.schema[key])
+    # pandas reads an integer column with NULL as floating point, which would round long ids
+    slim = named.select(
+        key, F.coalesce("event_id", F.lit(0)).cast("bigint").alias("event_id"),
+        F.isnull("event_id").alias("nameless"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
     )
-    shape = decision_schema(slim.schema[key])
     processor = BucketProcessor(Bucket(capacity, refill, period_us), shape.names)
-    return slim.groupBy(key).transformWithState(
+    return slim.groupBy(key).transformWithStateInPandas(
         processor, shape, outputMode="update", timeMode="none"
     )
 

@@ -1,17 +1,19 @@
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from importflow.operators import jobs as job_ops
 from importflow.operators.ledger import read_ledger
-from importflow.operators.throttle import token_bucket
+from importflow.operators.throttle import Bucket, token_bucket
 from importflow.schemas import JOBS
 from importflow.session import freeze
 from importflow.sources.messages import publish
 from importflow.sources.tables import write_table
-from importflow.streaming import import_stream
+from importflow.streaming import import_stream, stateful
 from importflow.streaming.import_stream import ImportHome, append_log, jobs_now, start_import
 from importflow.streaming.stateful import stream_token_bucket
 
@@ -184,6 +186,60 @@ def test_streamed_bucket_equals_the_batch(spark, tmp_path):
     assert got == wanted
 
 
+class Held:
+    """A value state that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def started(processor, held):
+    processor.init(SimpleNamespace(getValueState=lambda name, shape: held))
+    return processor
+
+
+def test_decisions_of_a_large_key_leave_in_batches(monkeypatch):
+    monkeypatch.setattr(stateful, "DECISIONS", 100)
+    rng = random.Random(5)
+    events = [(rng.randrange(3000) * 1_000_000, i) for i in range(1000)]
+    long_id = (1 << 60) + 1     # pandas must not round it
+    events.append((5, long_id))
+    bucket = Bucket(3, 1, 5_000_000)
+    held = Held()
+    processor = started(stateful.BucketProcessor(bucket, ["k", "event_id", "allowed", "remaining", "retry_after"]), held)
+    parts = [pd.DataFrame({"k": "a", "event_id": [e for _, e in some], "nameless": False, "ts_us": [t for t, _ in some]})
+             for some in (events[:400], events[400:])]
+    frames = list(processor.handleInputRows(("a",), iter(parts), None))
+    assert max(map(len, frames)) == 100 and sum(map(len, frames)) == 1001
+    wanted, full_at = [], None
+    for ts_us, event_id in sorted(events):
+        full_at, *decision = bucket.step(full_at, ts_us)
+        wanted.append(("a", event_id, *decision))
+    assert [tuple(r) for f in frames for r in f.astype(object).itertuples(index=False)] == wanted
+    assert held.value == (full_at, max(events)[0])
+
+
+def test_streamed_bucket_decides_events_without_an_id(spark, tmp_path):
+    shape = "k string, s bigint, event_id bigint"
+    events = spark.createDataFrame([("a", 1, (1 << 60) + 1), ("a", 1, None), (None, 1, 4), ("b", 2, None)], shape).select(
+        "k", "event_id", F.timestamp_seconds("s").alias("ts"))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events.coalesce(1).write.parquet(folder)
+    (stream_token_bucket(spark.readStream.schema(events.schema).parquet(folder), "k", 3, 1, 5_000_000)
+     .writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp"))
+     .foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).start().awaitTermination())
+    got = {(r.k, r.event_id): (r.allowed, r.remaining) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", None): (True, 2), ("a", (1 << 60) + 1): (True, 1), ("b", None): (True, 2)}
+
+
 def test_halves_find_what_fails_alone():
     calls = []
 
