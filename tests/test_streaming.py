@@ -4,10 +4,11 @@ from types import SimpleNamespace
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from importflow.operators import jobs as job_ops
 from importflow.operators.ledger import read_ledger
+from importflow.operators.lifecycle import job_states
 from importflow.operators.throttle import Bucket, token_bucket
 from importflow.schemas import JOBS
 from importflow.session import freeze
@@ -15,7 +16,7 @@ from importflow.sources.messages import publish
 from importflow.sources.tables import write_table
 from importflow.streaming import import_stream, stateful
 from importflow.streaming.import_stream import ImportHome, append_log, jobs_now, start_import
-from importflow.streaming.stateful import stream_token_bucket
+from importflow.streaming.stateful import stream_job_states, stream_token_bucket
 
 FIVE = ("email,first_name,last_name,phone\nalice@x.co,A,B,+1-555-0100\nbob@x.co,B,C,\n"
         "carol@x.co,C,D,555 0199\nnot-an-email,Dave,Davis,\neve@x.co,,Evans,")
@@ -240,6 +241,42 @@ def test_streamed_bucket_decides_events_without_an_id(spark, tmp_path):
     assert got == {("a", None): (True, 2), ("a", (1 << 60) + 1): (True, 1), ("b", None): (True, 2)}
 
 
+def test_jobs_of_a_bucket_share_one_read_and_one_write():
+    held = Held()
+    processor = started(stateful.JobStateProcessor(), held)
+    event = Row("job_id", "ts_us", "event_id", "event", "upload_present", "valid_rows", "invalid_rows", "last_row")
+    first = [event(f"j{i}", 1, i, "CONFIRM", True, 0, 0, 0) for i in range(50)]
+    out = list(processor.handleInputRows((0,), iter(first), None))
+    assert sorted(r.job_id for r in out) == sorted(f"j{i}" for i in range(50)) and held.calls == 2
+    again = [event("j7", 3, 9, "FLUSH", True, 2, 1, 5), event("j7", 2, 8, "CLAIM", True, 0, 0, 0),
+             event(None, 2, 8, "FAIL", True, 0, 0, 0)]
+    out = {r.job_id: tuple(r)[1:] for r in processor.handleInputRows((0,), iter(again), None)}
+    assert held.calls == 4
+    assert out == {"j7": ("PROCESSING", 3, 2, 1, 5, None, 3, False), None: ("FAILED", 1, 0, 0, 0, None, 2, False)}
+
+
+def test_streamed_job_states_equal_the_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "JOB_BUCKETS", 3)
+    rng = random.Random(11)
+    kinds = ["CONFIRM", "CLAIM", "FLUSH", "FLUSH", "ATTACH", "COMPLETE", "FAIL"]
+    rows = [(f"j{rng.randrange(30)}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i, rng.choice(kinds),
+             rng.random() < 0.8, rng.randrange(5), rng.randrange(3), i) for i in range(300)]
+    shape = ("job_id string, ts timestamp, event_id bigint, event string, upload_present boolean, valid_rows bigint, "
+             "invalid_rows bigint, last_row bigint")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(2):
+        spark.createDataFrame(rows[part * 150:(part + 1) * 150], shape).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    (stream_job_states(stream).writeStream.outputMode("update").trigger(availableNow=True)
+     .option("checkpointLocation", str(tmp_path / "cp"))
+     .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination())
+    got = {}
+    for r in spark.read.parquet(out).orderBy("batch").collect():
+        got[r.job_id] = tuple(r)[1:-1]
+    batch = job_states(spark.createDataFrame(rows, shape)).withColumn("updated_at", F.unix_micros("updated_at"))
+    assert got == {r.job_id: tuple(r)[1:] for r in batch.collect()}
+
+
 def test_halves_find_what_fails_alone():
     calls = []
 
