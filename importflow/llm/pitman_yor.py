@@ -32,6 +32,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -66,6 +67,46 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def steps_of(x: np.ndarray) -> np.ndarray:
+    """Checksums in rising order as their differences, byte by byte: the high bytes are all zero."""
+    return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def of_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest takes."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+
+
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of the checksums, so that those in order are in order of their buckets."""
+    return (((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def tallied(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values in order and how often each is there."""
+    ranked = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    first = np.flatnonzero(new)
+    return ranked[first], np.diff(np.append(first, len(x)))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values in order, a place of each, and the number of each element's value."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    first = np.flatnonzero(new)
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[first], order[first], inverse
+
+
 # --- seating ---------------------------------------------------------------------------------------
 
 
@@ -210,14 +251,23 @@ class Text:
         self.before[stops + 1 - self.sizes] = START
         self.line = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
-    def pairs(self):
-        """Their checksums in order, where each is first, and the number of each token's pair."""
-        return np.unique(words.chain(self.before, self.token), return_index=True, return_inverse=True)
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The unit's words and the start in order, and for each token's pair a number: that of the
+        word before times their count, and that of the word."""
+        number, found = pd.factorize(self.token)
+        known = np.append(found, START)
+        order = np.argsort(known)
+        place = np.empty(len(known), np.int64)
+        place[order] = np.arange(len(known))
+        word = place[number]
+        head = np.concatenate([word[-1:], word[:-1]])
+        head[np.cumsum(self.sizes) - self.sizes] = place[-1]
+        return known[order], head * len(known) + word
 
 
 def counted_words(train: DataFrame, text: str) -> DataFrame:
     def work(unit):
-        found, n = np.unique(Text(unit, text).token, return_counts=True)
+        found, n = tallied(Text(unit, text).token)
         return rows.batch(word=signed(found), n=n)
 
     return rows.map_units(train.select(text), text, work, "word long, n long", UNIT_BYTES).groupBy("word").agg(
@@ -225,6 +275,8 @@ def counted_words(train: DataFrame, text: str) -> DataFrame:
 
 
 def _slices(place: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    if len(place) and place.max() < 1 << 16:
+        place = place.astype(np.uint16)     # sorted by digits
     order = np.argsort(place, kind="stable")
     ranked = place[order]
     cut = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, [len(ranked)]])
@@ -242,29 +294,28 @@ def tallies(train: DataFrame, text: str, buckets: int, heavy: dict[int, int]) ->
     behind = buckets + np.cumsum(parts) - parts
 
     def send(unit):
-        whole = Text(unit, text)
-        keys, at, inverse = whole.pairs()
-        n = np.bincount(inverse, minlength=len(keys)).astype(np.int32)
-        head, word = whole.before[at], whole.token[at]
-        place = (words.mix(head) % np.uint64(buckets)).astype(np.int64)
+        known, number = Text(unit, text).numbered()
+        number, n = tallied(number)
+        head, word = known[number // len(known)], known[number % len(known)]
+        place = bucket_of(head, buckets)
         if len(split):
             spot = np.minimum(np.searchsorted(split, head), len(split) - 1)
             mine = np.flatnonzero(split[spot] == head)
             spot = spot[mine]
-            place[mine] = behind[spot] + (words.mix(keys[mine]) % parts[spot].astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((word, head))
+            keys = words.chain(head[mine], word[mine])
+            place[mine] = behind[spot] + (words.mix(keys) % parts[spot].astype(np.uint64)).astype(np.int64)
         out = []
-        for bucket, (h, w, m) in _slices(place[order], head[order], word[order], n[order]):
+        for bucket, (h, w, m) in _slices(place, head, word, n):
             cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-            out.append((bucket, pack(h[cut], np.diff(np.append(cut, len(h))).astype(np.int32), w, m)))
+            out.append((bucket, pack(steps_of(h[cut]), small(np.diff(np.append(cut, len(h)))), w, small(m))))
         return rows.batch(bucket=[b for b, _ in out], blob=pa.array([x for _, x in out], pa.binary()))
 
     def add_up(batches):
         for _, group in rows.by_group(batches, "bucket"):
             told = [unpack(b) for b in group.column("blob").to_pylist()]
-            head = np.concatenate([np.repeat(t[0], t[1]) for t in told])
+            head = np.concatenate([np.repeat(of_steps(t[0]), t[1]) for t in told])
             word, n = (np.concatenate([t[k] for t in told]) for k in (2, 3))
-            keys, at, inverse = np.unique(words.chain(head, word), return_index=True, return_inverse=True)
+            keys, at, inverse = distinct(words.chain(head, word))
             count = np.bincount(inverse, n, len(keys)).astype(np.int64)
             head, word = head[at], word[at]
             often = count > 1
@@ -354,10 +405,12 @@ def learn(
         extra = pairs.where(F.octet_length("opened") > 0).select(F.explode(F.array(*[
             F.struct(*[c.alias(name) for c, name in zip(x, ("word", "h", "f"))]) for x in seated])).alias("x")
         ).groupBy("x.word").agg(F.sum("x.h").alias("h"), F.sum("x.f").alias("f"))
-        joined = vocabulary.join(extra, "word", "left")
+        joined = vocabulary.join(extra.hint("shuffle_hash"), "word", "left")
         seats = sum(r[0] or 0 for r in vocabulary.agg(F.sum("tables")).collect())
         total = seats if sweep else kinds
+        former, lasting = lasting, rows.Scratch(spark, "pitman-yor")
         vocabulary = lasting.store(_reseat_root(joined, states, sweep, total, kinds, above, concentration))
+        former.drop()
         customers, seats = (int(x or 0) for x in vocabulary.agg(F.sum("dish"), F.sum("tables")).first())
         rest = (concentration + above * seats) / (kinds + 1)
         p = (F.col("dish") - above * F.col("tables") + rest) / (concentration + customers)
@@ -371,13 +424,20 @@ def learn(
         around = vocabulary.select("word", "ctx")
         parent = vocabulary.select(F.col("word").alias("following"), p.alias("p"))
         old, passing = passing, rows.Scratch(spark, "pitman-yor-pairs")
+        around, parent = around.hint("shuffle_hash"), parent.hint("shuffle_hash")     # pairs need no order
         pairs = passing.store(_reseat_pairs(pairs.join(around, "word").join(parent, "following"), sweep, discount, concentration))
         old.drop()
         release(spark)
         vocabulary = vocabulary.drop("ctx")
     tables = [c for c in pairs.columns if c.startswith("t")]
-    kept = pairs.where(F.greatest(F.lit(0), *tables) > 1).select(
-        "word", "following", F.array(*tables).alias("t")) if tables else pairs
+    if tables:
+        kept = lasting.store(pairs.where(F.greatest(F.lit(0), *tables) > 1).select(
+            "word", "following", F.array(*tables).alias("t")))
+        passing.drop()
+    else:
+        kept = pairs
+    joined = extra = around = parent = pairs = None
+    release(spark)
     vocabulary = vocabulary.select(
         "word", "c", F.array(*[c for c in states if c[0] == "p"]).alias("p"), F.array(*[c for c in states if c[0] == "t"]).alias("t"))
     return Model(vocabulary, kept, discount, unknown, tokens, kinds, texts, concentration)
@@ -447,25 +507,22 @@ def _name(unit: pa.RecordBatch, columns: list[str]) -> int:
     return int.from_bytes(digest.digest(), "little", signed=True)
 
 
-def _asked(unit: pa.RecordBatch, text: str, train: str, buckets: int):
-    """A unit's words and pairs in the order in which buckets answer."""
+def _ask(unit: pa.RecordBatch, text: str, train: str, columns: list[str], buckets: int) -> pa.RecordBatch:
+    """A unit's words, and its pairs with their counts in training text, in order."""
     whole = Text(unit, text)
+    known, _ = tallied(np.append(whole.token, START))     # a word is before another or the start is
     learned = unit.column(train).to_numpy(zero_copy_only=False).astype(bool)[whole.line]
-    keys, at, inverse = whole.pairs()
-    n = np.bincount(inverse[learned], minlength=len(keys)).astype(np.int32)
-    known = np.unique(np.append(whole.token[at], START))     # a word is before another or the start is
-    return whole, known, (words.mix(known) % np.uint64(buckets)).astype(np.int64), keys, n, (
-        keys % np.uint64(buckets)).astype(np.int64), at, inverse
-
-
-def _ask(unit: pa.RecordBatch, text: str, train: str, columns: list[str], buckets: int) -> pa.RecordBatch:
-    _, known, home, keys, n, place, _, _ = _asked(unit, text, train, buckets)
-    out = {b: [w, np.zeros(0, np.uint64), np.zeros(0, np.int32)] for b, (w,) in _slices(home, known)}
+    every = words.chain(whole.before, whole.token)
+    keys, n = tallied(every)
+    others, m = tallied(every[~learned])
+    n[np.searchsorted(keys, others)] -= m
+    home, place = bucket_of(known, buckets), bucket_of(keys, buckets)
+    out = {b: [w, np.zeros(0, np.uint64), np.zeros(0, np.int64)] for b, (w,) in _slices(home, known)}
     for b, (k, m) in _slices(place, keys, n):
         out[b] = [out[b][0] if b in out else np.zeros(0, np.uint64), k, m]
     return rows.batch(
         bucket=list(out), kind=[2] * len(out), unit=[_name(unit, columns)] * len(out),
-        blob=pa.array([pack(*x) for x in out.values()], pa.binary()))
+        blob=pa.array([pack(steps_of(w), steps_of(k), small(m)) for w, k, m in out.values()], pa.binary()))
 
 
 def _packed(kind: int, buckets: int):
@@ -477,11 +534,12 @@ def _packed(kind: int, buckets: int):
             word = rows.ids_of(batch.column("word")).view(np.uint64)
             if kind == 0:
                 columns = [word, rows.ids_of(batch.column("c")), *values]
-                place = (words.mix(word) % np.uint64(buckets)).astype(np.int64)
             else:
-                key = words.chain(word, rows.ids_of(batch.column("following")).view(np.uint64))
-                columns, place = [key, *values], (key % np.uint64(buckets)).astype(np.int64)
-            out = [(b, pack(*x)) for b, x in _slices(place, *columns)]
+                columns = [words.chain(word, rows.ids_of(batch.column("following")).view(np.uint64)), *values]
+            order = np.argsort(columns[0])
+            columns = [x[order] for x in columns]
+            out = [(b, pack(steps_of(x[0]), *[y if y.dtype == float else small(y) for y in x[1:]]))
+                   for b, x in _slices(bucket_of(columns[0], buckets), *columns)]
             yield rows.batch(bucket=[b for b, _ in out], kind=[kind] * len(out), unit=[0] * len(out),
                              blob=pa.array([x for _, x in out], pa.binary()))
     return run
@@ -493,7 +551,10 @@ def _answers(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[pa.Reco
         kinds = group.column("kind").to_pylist()
         told: dict[int, list] = {0: [], 1: [], 2: []}
         for kind, blob in zip(kinds, group.column("blob").to_pylist()):
-            told[kind].append(unpack(blob))
+            first, *others = unpack(blob)
+            if kind == 2:
+                others[0] = of_steps(others[0])
+            told[kind].append((of_steps(first), *others))
         none = np.zeros((0, states))
         empty = np.zeros(0, np.uint64)
         word, c = (np.concatenate([x[k] for x in told[0]] or [empty]) for k in (0, 1))
@@ -501,13 +562,15 @@ def _answers(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[pa.Reco
         order = np.append(np.argsort(word), len(word))
         word = word[order[:-1]]
         c, p, t = np.append(c, 0)[order], np.vstack([p, np.zeros((1, states))])[order], np.vstack([t, np.zeros((1, states))])[order]
-        keys, inverse = np.unique(np.concatenate([x[1] for x in told[2]] or [empty]), return_inverse=True)
+        keys, _, inverse = distinct(np.concatenate([x[1] for x in told[2]] or [empty]))
         count = np.bincount(inverse, np.concatenate([x[2] for x in told[2]] or [empty]), len(keys)).astype(np.int64)
         tables = np.repeat(np.minimum(count, 1)[:, None], states, 1)
         for key, seen in told[1]:
             spot = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             held = keys[spot] == key if len(keys) else np.zeros(len(key), bool)
             tables[spot[held]] = seen[held]
+        # few values of p differ: they are sent as numbers of the values that a unit's words have
+        coded = [distinct(p[:, s]) for s in range(states)]
         names = [u for u, kind in zip(group.column("unit").to_pylist(), kinds) if kind == 2]
         a = 0
         for unit, (asked, pairs, _) in zip(names, told[2]):
@@ -515,7 +578,11 @@ def _answers(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[pa.Reco
             spot = np.where(np.append(word, [0])[spot] == asked, spot, len(word)) if len(word) else np.zeros(len(asked), np.int64)
             mine = inverse[a:a + len(pairs)]
             a += len(pairs)
-            blob = pack(c[spot], p[spot], t[spot].astype(np.int64), count[mine], tables[mine].astype(np.int64))
+            told_p = []
+            for values, _, number in coded:
+                used, which = np.unique(number[spot], return_inverse=True)
+                told_p += [values[used], small(which)]
+            blob = pack(small(c[spot]), told_p, small(t[spot]), small(count[mine]), small(tables[mine]))
             yield rows.batch(unit=[unit], kind=[1], bucket=[bucket], blob=pa.array([blob], pa.binary()))
 
 
@@ -529,14 +596,21 @@ def _marked(group: pa.Table, model: dict, doc_id: str, text: str, train: str) ->
             units.append(pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0])
     theta, d, states = model["concentration"], model["discount"], len(model["unknown"])
     for unit in units:
-        whole, known, home, keys, _, place, at, inverse = _asked(unit, text, train, model["buckets"])
+        whole = Text(unit, text)
+        known, number = whole.numbered()
+        number, _, inverse = distinct(number)
+        head, word = number // len(known), number % len(known)
+        keys = words.chain(known[head], known[word])
+        ranked = np.argsort(keys)
+        home, place = (bucket_of(x, model["buckets"]) for x in (known, keys[ranked]))
         c, p, t = np.zeros(len(known), np.int64), np.zeros((len(known), states)), np.zeros((len(known), states))
         for b, (mine,) in _slices(home, np.arange(len(known))):
-            c[mine], p[mine], t[mine] = told[b][:3]
+            c[mine], coded, t[mine] = told[b][:3]
+            for s in range(states):
+                p[mine, s] = coded[2 * s][coded[2 * s + 1]]
         count, tables = np.zeros(len(keys), np.int64), np.zeros((len(keys), states))
-        for b, (mine,) in _slices(place, np.arange(len(keys))):
+        for b, (mine,) in _slices(place, ranked):
             count[mine], tables[mine] = told[b][3:]
-        word, head = (np.searchsorted(known, x[at]) for x in (whole.token, whole.before))
         customers = np.where(known[head] == START, model["texts"], c[head])
         above = np.where((c[word] > 0)[:, None], p[word], model["unknown"])
         own = np.maximum(count[:, None] - d * tables, 0) * (count > 0)[:, None]

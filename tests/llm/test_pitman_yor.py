@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -183,3 +184,27 @@ def test_without_training_text_and_without_rows(session):
     assert len(rows) == len(held) and all((r.n_known, r.train_tokens, r.score) == (0, 0, 0.0) for r in rows)
     none = session.createDataFrame([], SCHEMA)
     assert model.score(none, model.learn(none), F.lit(True)).collect() == []
+
+
+def test_units_ask_in_few_bytes_and_in_order():
+    """Words and pairs with their counts in training text; a checksum takes less than its eight bytes."""
+    rng = random.Random(6)
+    texts = [" ".join(f"W{rng.randrange(3000)}" for _ in range(400)) for _ in range(100)]
+    learned = [rng.random() < 0.7 for _ in texts]
+    unit = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": texts, "__train": learned})
+    asked = model._ask(unit, "text", "__train", ["doc_id", "text"], 3)
+    told = [model.unpack(b) for _, b in sorted(zip(asked.column("bucket").to_pylist(), asked.column("blob").to_pylist()))]
+    known, keys = (np.concatenate([model.of_steps(t[k]) for t in told]) for k in (0, 1))
+    single, pairs = {None}, Counter()
+    for text, mine in zip(texts, learned):
+        for pair in zip([0, *tokens_of(text)], tokens_of(text)):
+            single.add(pair[1])
+            pairs[pair] += mine
+    assert len(known) == len(single) + 1 and len(keys) == len(pairs)
+    assert (known[1:] > known[:-1]).all() and (keys[1:] > keys[:-1]).all()
+    assert Counter(np.concatenate([t[2] for t in told]).tolist()) == Counter(pairs.values())
+    assert sum(map(len, asked.column("blob").to_pylist())) < 7.5 * (len(known) + len(keys))
+    numbered, number = model.Text(unit, "text").numbered()
+    number = np.unique(number)
+    assert np.array_equal(numbered, known)
+    assert np.array_equal(np.sort(words.chain(known[number // len(known)], known[number % len(known)])), keys)
