@@ -12,8 +12,9 @@ proposal.  As usual for sampling on many machines, T and p are those from the st
 counted.  A seating takes time in proportion to its customers, memory in proportion to its tables.  The probabilities of SAMPLES states after BURN sweeps are averaged.
 
 What travels: units of text send their different word pairs, packed, to buckets that add them up; the
-heads of frequent words are split over several.  Pairs seen twice or more live in a table that every
-sweep joins with the restaurants' totals.  For scoring, units send their pairs once more and each is
+heads of frequent words are split over several.  Pairs seen twice or more stay packed by bucket: in every
+sweep the vocabulary tells each bucket the restaurants' totals of the words it once asked for, and only
+words with more tables than pairs come back as rows.  Words seen once are not drawn for.  For scoring, units send their pairs once more and each is
 told counts and tables, so no text asks for a pair twice.  Words and pairs are told apart by 64-bit
 checksums.  Draws depend on checksums and sweep only: a task that runs again draws the same.
 
@@ -44,6 +45,7 @@ BURN = 2                    # sweeps before the first state that counts
 SAMPLES = 2
 CONCENTRATION = 1.0         # theta, at both levels
 ROWS = 1 << 18              # pairs or words that are seated together
+HOME_WORDS = 1 << 17        # words of the vocabulary that answer together
 STEPS = 32                  # customers that are seated one by one, before whole stretches are
 STRETCH = 1 << 19           # customers in such stretches, of all words together
 START, END = (words.mix(np.array([k], np.uint64))[0] for k in (101, 102))
@@ -239,7 +241,7 @@ class Text:
 
     def __init__(self, unit: pa.RecordBatch, text: str):
         data, offsets = rows.text_bytes(unit.column(text))
-        data = words.LOWER[data]
+        data = np.frombuffer(data.tobytes().translate(words.LOWER.tobytes()), np.uint8)
         starts, ends, first = words.word_spans(data, offsets)
         self.sizes = np.diff(first) + 1
         stops = np.cumsum(self.sizes) - 1
@@ -285,10 +287,67 @@ def _slices(place: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list
             yield int(ranked[a]), [c[order[a:b]] for c in columns]
 
 
-def tallies(train: DataFrame, text: str, buckets: int, heavy: dict[int, int]) -> DataFrame:
-    """From all pairs: kind 0: word, following, count where that is 2 or more; kind 1: word and how many
-    words follow it; kind 2: word and how many words it follows; kind 3: how many pairs have count
-    ``word`` (1 or 2).  Kinds 1 to 3 come in parts, to be added up."""
+_SHAPE = "kind int, bucket long, other long, word long, h long, f long, blob binary"
+
+
+def _shaped(kind: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    empty = {"bucket": 0, "other": -1, "word": 0, "h": 0, "f": 0}
+    plain = {c: pa.array(columns[c] if c in columns else np.full(n, x), pa.int64()) for c, x in empty.items()}
+    return rows.batch(kind=np.full(n, kind, np.int32), **plain, blob=pa.array(columns.get("blob", [None] * n), pa.binary()))
+
+
+class Seated:
+    """Pairs of a bucket: their words in order, for each pair the numbers of its head and word among these,
+    count and openings, and its tables in the states that count."""
+
+    def __init__(self, known, head, word, c, opened, at, *states):
+        self.known, self.head, self.word, self.c, self.at, self.states = known, head, word, c, at, list(states)
+        self.owner = np.repeat(np.arange(len(c)), opened)
+
+    @classmethod
+    def of(cls, head: np.ndarray, word: np.ndarray, c: np.ndarray) -> Seated:
+        known, _, number = distinct(np.concatenate([head, word]))
+        head, word = number[:len(c)], number[len(c):]
+        order = np.argsort(head, kind="stable")
+        return cls(known, head[order], word[order], c[order], np.zeros(len(c), np.int64), np.zeros(0, np.int64))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Seated:
+        known, *others = unpack(blob)
+        return cls(of_steps(known), *[x.astype(np.int64) for x in others])
+
+    def packed(self) -> bytes:
+        opened = np.bincount(self.owner, minlength=len(self.c))
+        return pack(steps_of(self.known), *[small(x) for x in (self.head, self.word, self.c, opened, self.at, *self.states)])
+
+    def tables(self) -> np.ndarray:
+        return 1 + np.bincount(self.owner, minlength=len(self.c))
+
+    def reseat(self, p, others, sweep: int, discount: float, concentration: float, together: int = ROWS) -> None:
+        name = words.chain(self.known[self.head], self.known[self.word])
+        owners, places = [], []
+        for a in range(0, len(self.c), together):
+            part = slice(a, a + together)
+            low, high = np.searchsorted(self.owner, [a, a + together])
+            owner, at = reseat(self.c[part], p[part], others[part], self.owner[low:high] - a, self.at[low:high], discount,
+                               concentration, _seeds(name[part], sweep), not sweep)
+            owners.append(owner + a)
+            places.append(at)
+        self.owner, self.at = np.concatenate(owners), np.concatenate(places)
+
+    def by_head(self, n: np.ndarray) -> np.ndarray:
+        return np.bincount(self.head, n, len(self.known)).astype(np.int64)
+
+    def by_word(self, n: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, n, len(self.known)).astype(np.int64)
+
+
+def tallies(train: DataFrame, text: str, buckets: int, heavy: dict[int, int], homes: int) -> DataFrame:
+    """From all pairs, by bucket; a pair is seen again each time after its first.  Kind 0: those seen again,
+    as ``Seated``; kind 1: a word of these, how often it was before a word again (h) and how often it
+    followed one again (f); kind 2: to ``bucket`` of the words, the words that the pairs of ``other`` have;
+    kind 3: how many pairs have count 1 (h) and 2 (f).  Kinds 1 and 3 come in parts, to be added up."""
     split = np.array(sorted(heavy), np.uint64)
     parts = np.array([heavy[h] for h in sorted(heavy)], np.int64)
     behind = buckets + np.cumsum(parts) - parts
@@ -311,26 +370,25 @@ def tallies(train: DataFrame, text: str, buckets: int, heavy: dict[int, int]) ->
         return rows.batch(bucket=[b for b, _ in out], blob=pa.array([x for _, x in out], pa.binary()))
 
     def add_up(batches):
-        for _, group in rows.by_group(batches, "bucket"):
+        for bucket, group in rows.by_group(batches, "bucket"):
             told = [unpack(b) for b in group.column("blob").to_pylist()]
             head = np.concatenate([np.repeat(of_steps(t[0]), t[1]) for t in told])
             word, n = (np.concatenate([t[k] for t in told]) for k in (2, 3))
             keys, at, inverse = distinct(words.chain(head, word))
             count = np.bincount(inverse, n, len(keys)).astype(np.int64)
-            head, word = head[at], word[at]
-            often = count > 1
-            heads, k_heads = np.unique(head, return_counts=True)
-            follow, k_follow = np.unique(word, return_counts=True)
-            sizes = np.array([(count == 1).sum(), (count == 2).sum()])
-            for kind, a, b, c in (
-                (0, head[often], word[often], count[often]), (1, heads, heads, k_heads),
-                (2, follow, follow, k_follow), (3, np.array([1, 2], np.uint64), np.array([0, 0], np.uint64), sizes),
-            ):
-                yield rows.batch(kind=np.full(len(a), kind, np.int32), word=signed(a), following=signed(b), n=c)
+            sizes = [(count == 1).sum()], [(count == 2).sum()]
+            often = np.flatnonzero(count > 1)
+            pairs = Seated.of(head[at[often]], word[at[often]], count[often])
+            asked = list(_slices(bucket_of(pairs.known, homes), pairs.known))
+            yield _shaped(0, bucket=[bucket], blob=[pairs.packed()])
+            yield _shaped(1, word=signed(pairs.known), h=pairs.by_head(pairs.c - 1), f=pairs.by_word(pairs.c - 1))
+            yield _shaped(2, bucket=[home for home, _ in asked], other=[bucket] * len(asked),
+                          blob=[pack(steps_of(x)) for _, (x,) in asked])
+            yield _shaped(3, h=sizes[0], f=sizes[1])
 
     sent = rows.map_units(train.select(text), text, send, "bucket long, blob binary", UNIT_BYTES)
     dealt = sent.repartition(_partitions(train.sparkSession, buckets), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(add_up, "kind int, word long, following long, n long")
+    return dealt.mapInArrow(add_up, _SHAPE)
 
 
 def _partitions(spark: SparkSession, buckets: int) -> int:
@@ -372,74 +430,77 @@ def learn(
 ) -> Model:
     """Fit the model to all texts of ``train``."""
     spark = train.sparkSession
-    lasting, passing = rows.Scratch(spark, "pitman-yor"), rows.Scratch(spark, "pitman-yor-pairs")
-    counts = passing.store(counted_words(train, text))
-    tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    texts = sum(r["c"] for r in counts.where(F.col("word") == int(END.astype(np.int64))).collect())
+    start, end = (int(x.astype(np.int64)) for x in (START, END))
+    lasting, passing = rows.Scratch(spark, "pitman-yor"), None
+    counts = rows.Scratch(spark, "pitman-yor-counts").store(counted_words(train, text))
+    # A word that is there once has one table at either level whatever is drawn: it is only counted.
+    single = (F.col("c") == 1) & (F.col("word") != end)
+    tokens, kinds, singles = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(single)).first()
+    texts = sum(r["c"] for r in counts.where(F.col("word") == end).collect())
     buckets = _buckets(train, text)
     # words that would take more than a bucket by themselves: fewer than there are buckets
     heavy = {np.uint64(r["word"] % 2**64): r["c"] * buckets // tokens + 1
              for r in counts.where(F.col("c") * buckets > tokens).collect()}
     if heavy.pop(END, None):
         heavy[START] = texts * buckets // tokens + 1
-    told = passing.store(tallies(train, text, buckets, {int(k): v for k, v in heavy.items()}))
+    homes = (kinds - singles) // HOME_WORDS + 16
+    tallied_once = rows.Scratch(spark, "pitman-yor-tallies")
+    told = tallied_once.store(tallies(train, text, buckets, {int(k): v for k, v in heavy.items()}, homes))
     release(spark)
-    seen = {r["word"]: r["n"] for r in told.where("kind = 3").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    discount = _discount(seen.get(1, 0), seen.get(2, 0))
+    discount = _discount(*[x or 0 for x in told.where("kind = 3").agg(F.sum("h"), F.sum("f")).first()])
     zero = F.lit(0).cast("long")
-    vocabulary = counts.select("word", "c", zero.alias("heads"), zero.alias("follows")).unionAll(
-        told.where("kind = 1").select("word", zero, "n", zero)
-    ).unionAll(told.where("kind = 2").select("word", zero, zero, "n")).groupBy("word").agg(
+    # Before each token is a word or the start, and each word is before a token: less the pairs seen
+    # again, that is how many words follow it and how many it follows.
+    heads = F.when(F.col("word") == end, zero).otherwise(F.col("c"))
+    vocabulary = counts.where(~single).select("word", "c", heads.alias("heads"), F.col("c").alias("follows")).unionAll(
+        spark.range(1 if texts else 0).select(F.lit(start), zero, F.lit(texts).cast("long"), zero)
+    ).unionAll(told.where("kind = 1").select("word", zero, -F.col("h"), -F.col("f"))).groupBy("word").agg(
         *[F.sum(c).alias(c) for c in ("c", "heads", "follows")])
     vocabulary = lasting.store(vocabulary.select("*", F.lit(None).cast("binary").alias("opened"), zero.alias("tables"),
                                                  zero.alias("dish")))
-    once = vocabulary.agg(*[F.count_if(F.col("follows") == k) for k in (1, 2)]).first()
-    above = _discount(*once)
-    pairs = told.where("kind = 0").select(
-        "word", "following", F.col("n").alias("c"), F.lit(None).cast("binary").alias("opened"))
+    ones, twos = vocabulary.agg(*[F.count_if(F.col("follows") == k) for k in (1, 2)]).first()
+    above = _discount(ones + singles, twos)
+    pairs, asked = told.where("kind = 0"), told.where("kind = 2")
     states: list[str] = []
     unknown: list[float] = []
+    p_single: list[float] = []
+    seats = 0
     for sweep in range(burn + samples):
-        more = (F.coalesce(F.octet_length("opened"), F.lit(0)) / 8).cast("long")
-        seated = [(F.col("word"), more, zero), (F.col("following"), zero, more)]
-        extra = pairs.where(F.octet_length("opened") > 0).select(F.explode(F.array(*[
-            F.struct(*[c.alias(name) for c, name in zip(x, ("word", "h", "f"))]) for x in seated])).alias("x")
-        ).groupBy("x.word").agg(F.sum("x.h").alias("h"), F.sum("x.f").alias("f"))
+        extra = pairs.where("kind = 1").groupBy("word").agg(F.sum("h").alias("h"), F.sum("f").alias("f"))
         joined = vocabulary.join(extra.hint("shuffle_hash"), "word", "left")
-        seats = sum(r[0] or 0 for r in vocabulary.agg(F.sum("tables")).collect())
         total = seats if sweep else kinds
         former, lasting = lasting, rows.Scratch(spark, "pitman-yor")
         vocabulary = lasting.store(_reseat_root(joined, states, sweep, total, kinds, above, concentration))
         former.drop()
-        customers, seats = (int(x or 0) for x in vocabulary.agg(F.sum("dish"), F.sum("tables")).first())
+        customers, seats = (int(x or 0) + singles for x in vocabulary.agg(F.sum("dish"), F.sum("tables")).first())
         rest = (concentration + above * seats) / (kinds + 1)
         p = (F.col("dish") - above * F.col("tables") + rest) / (concentration + customers)
         if sweep >= burn:
             vocabulary = vocabulary.withColumns({f"p{sweep}": p, f"t{sweep}": F.col("ctx")})
-            pairs = pairs.withColumn(f"t{sweep}", (more + 1).cast("long"))
             unknown.append(rest / (concentration + customers))
+            p_single.append((1 - above + rest) / (concentration + customers))
             states = [*states, f"p{sweep}", f"t{sweep}"]
         if sweep == burn + samples - 1:
             break
-        around = vocabulary.select("word", "ctx")
-        parent = vocabulary.select(F.col("word").alias("following"), p.alias("p"))
         old, passing = passing, rows.Scratch(spark, "pitman-yor-pairs")
-        around, parent = around.hint("shuffle_hash"), parent.hint("shuffle_hash")     # pairs need no order
-        pairs = passing.store(_reseat_pairs(pairs.join(around, "word").join(parent, "following"), sweep, discount, concentration))
-        old.drop()
+        answers = _tell(asked, vocabulary.select("word", "ctx", p.alias("p")), homes, buckets)
+        pairs = passing.store(_reseat_pairs(
+            pairs.where("kind = 0"), answers, buckets, sweep, sweep >= burn, discount, concentration))
+        if old:
+            old.drop()
         release(spark)
         vocabulary = vocabulary.drop("ctx")
-    tables = [c for c in pairs.columns if c.startswith("t")]
-    if tables:
-        kept = lasting.store(pairs.where(F.greatest(F.lit(0), *tables) > 1).select(
-            "word", "following", F.array(*tables).alias("t")))
+    kept = lasting.store(_with_tables(pairs.where("kind = 0"), samples))
+    tallied_once.drop()
+    if passing:
         passing.drop()
-    else:
-        kept = pairs
-    joined = extra = around = parent = pairs = None
+    joined = extra = answers = asked = told = pairs = None
     release(spark)
     vocabulary = vocabulary.select(
-        "word", "c", F.array(*[c for c in states if c[0] == "p"]).alias("p"), F.array(*[c for c in states if c[0] == "t"]).alias("t"))
+        "word", "c", F.array(*[c for c in states if c[0] == "p"]).alias("p"), F.array(*[c for c in states if c[0] == "t"]).alias("t")
+    ).unionAll(counts.where(single).select(
+        "word", "c", F.array(*[F.lit(x) for x in p_single]), F.array(*[F.lit(1).cast("long") for _ in p_single])))
     return Model(vocabulary, kept, discount, unknown, tokens, kinds, texts, concentration)
 
 
@@ -474,23 +535,67 @@ def _reseat_root(joined: DataFrame, states: list[str], sweep: int, total: int, k
     return joined.mapInArrow(run, f"{_VOCABULARY}, ctx long{kept}")
 
 
-def _reseat_pairs(joined: DataFrame, sweep: int, discount: float, concentration: float) -> DataFrame:
-    kept = [c for c in joined.columns if c.startswith("t")]
+def _tell(asked: DataFrame, vocabulary: DataFrame, homes: int, buckets: int) -> DataFrame:
+    """To each bucket of pairs, ctx and p of its words, one answer from each bucket of words, in order."""
+    home = F.shiftright(F.shiftrightunsigned("word", 32) * F.lit(homes).cast("long"), 32)      # as bucket_of
+    known = vocabulary.select(
+        home.alias("bucket"), F.lit(-1).cast("long").alias("other"), "word", "ctx", "p", F.lit(None).cast("binary").alias("blob"))
+    asks = asked.select(
+        "bucket", "other", "word", F.lit(0).cast("long").alias("ctx"), F.lit(0.0).alias("p"), "blob")
 
     def run(batches):
-        for batch in _large(batches):
-            word, following, c, ctx = (rows.ids_of(batch.column(x)) for x in ("word", "following", "c", "ctx"))
-            owner, at = read_openings(batch.column("opened"))
-            tables = 1 + np.bincount(owner, minlength=len(c))
-            name = words.chain(word.view(np.uint64), following.view(np.uint64))
-            owner, at = reseat(
-                c, batch.column("p").to_numpy(), ctx - tables, owner, at, discount, concentration, _seeds(name, sweep),
-                not sweep)
-            yield rows.batch(word=word, following=following, c=c, opened=write_openings(owner, at, len(c)),
-                             **{x: batch.column(x) for x in kept})
+        for bucket, group in rows.by_group(batches, "bucket"):
+            other = group.column("other").to_numpy()
+            mine, others = group.filter(pa.array(other < 0)), group.filter(pa.array(other >= 0))
+            word = mine.column("word").to_numpy().view(np.uint64)
+            order = np.argsort(word)
+            word, ctx, p = word[order], mine.column("ctx").to_numpy()[order], mine.column("p").to_numpy()[order]
+            for to, blob in zip(others.column("other").to_pylist(), others.column("blob").to_pylist()):
+                spot = np.searchsorted(word, of_steps(unpack(blob)[0]))
+                yield rows.batch(bucket=[to], other=[bucket], blob=pa.array([pack(small(ctx[spot]), p[spot])], pa.binary()))
+
+    return known.unionAll(asks).repartition(_partitions(asked.sparkSession, buckets), "bucket").sortWithinPartitions(
+        "bucket").mapInArrow(run, "bucket long, other long, blob binary")
+
+
+def _reseat_pairs(pairs: DataFrame, answers: DataFrame, buckets: int, sweep: int, counts: bool, discount: float, concentration: float):
+    """Kind 0: the pairs of a bucket seated anew; kind 1: the tables that a word's pairs have beyond one each,
+    as head (h) and as word that follows (f), in parts.  ``counts``: keep the tables there were."""
+    def run(batches):
+        for bucket, group in rows.by_group(batches, "bucket"):
+            state, *told = group.column("blob").to_pylist()
+            told = [unpack(x) for x in told]
+            now = Seated.unpacked(state)
+            if not len(now.c):
+                continue
+            ctx, p = (np.concatenate([x[k] for x in told]) for k in (0, 1))
+            tables = now.tables()
+            if counts:
+                now.states.append(tables)
+            now.reseat(p[now.word], ctx[now.head].astype(np.int64) - tables, sweep, discount, concentration)
+            more = now.tables() - 1
+            h, f = now.by_head(more), now.by_word(more)
+            some = np.flatnonzero(h + f)
+            yield _shaped(0, bucket=[bucket], blob=[now.packed()])
+            yield _shaped(1, word=signed(now.known)[some], h=h[some], f=f[some])
+
+    columns = ["bucket", "other", "blob"]
+    return pairs.select(columns).unionAll(answers.select(columns)).repartition(
+        _partitions(pairs.sparkSession, buckets), "bucket").sortWithinPartitions("bucket", "other").mapInArrow(run, _SHAPE)
+
+
+def _with_tables(pairs: DataFrame, samples: int) -> DataFrame:
+    """Pairs with more than one table in a state: word, following, t."""
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                now = Seated.unpacked(blob)
+                t = np.stack([*now.states, now.tables()][:samples], 1)
+                some = np.flatnonzero((t > 1).any(axis=1))
+                lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * samples, pa.array(t[some].ravel(), pa.int64()))
+                yield rows.batch(word=signed(now.known)[now.head[some]], following=signed(now.known)[now.word[some]], t=lists)
 
-    return joined.mapInArrow(
-        run, "word long, following long, c long, opened binary" + "".join(f", {x} long" for x in kept))
+    return pairs.select("blob").mapInArrow(run, "word long, following long, t array<long>")
 
 
 # --- scoring ---------------------------------------------------------------------------------------
@@ -530,7 +635,7 @@ def _packed(kind: int, buckets: int):
     def run(batches):
         for batch in _large(batches):
             lists = [c for c in ("p", "t") if c in batch.schema.names]
-            values = [np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in lists]
+            values = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in lists]
             word = rows.ids_of(batch.column("word")).view(np.uint64)
             if kind == 0:
                 columns = [word, rows.ids_of(batch.column("c")), *values]
@@ -598,7 +703,7 @@ def _marked(group: pa.Table, model: dict, doc_id: str, text: str, train: str) ->
     for unit in units:
         whole = Text(unit, text)
         known, number = whole.numbered()
-        number, _, inverse = distinct(number)
+        inverse, number = pd.factorize(number)
         head, word = number // len(known), number % len(known)
         keys = words.chain(known[head], known[word])
         ranked = np.argsort(keys)

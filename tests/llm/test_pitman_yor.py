@@ -208,3 +208,56 @@ def test_units_ask_in_few_bytes_and_in_order():
     number = np.unique(number)
     assert np.array_equal(numbered, known)
     assert np.array_equal(np.sort(words.chain(known[number // len(known)], known[number % len(known)])), keys)
+
+
+def test_sweeps_move_no_row_for_each_pair_and_none_for_words_seen_once(session, monkeypatch):
+    """Pairs stay packed by bucket between sweeps; a word that is there once is only counted."""
+    kept = []
+    store = model.rows.Scratch.store
+
+    def watch(self, df):
+        stored = store(self, df)
+        kept.append((self.folder, stored.columns, stored.count()))
+        return stored
+
+    monkeypatch.setattr(model.rows.Scratch, "store", watch)
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(300)) + f" once{i}" for i in range(60)]
+    found = Counter(pair for t in texts for pair in zip([0, *tokens_of(t)], tokens_of(t)))
+    again = {pair for pair, n in found.items() if n > 1}
+    assert len(again) > 1200
+    frame = session.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    fitted = model.learn(frame)
+    assert fitted.kinds == 40 + 60 + 1 and fitted.vocabulary.count() == fitted.kinds + 1
+    states = [n for folder, columns, n in kept if "pitman-yor-pairs" in folder]
+    assert len(states) == model.BURN + model.SAMPLES - 1 and max(states) < len(again) / 2
+    vocabularies = [n for _, columns, n in kept if "dish" in columns]
+    assert vocabularies and set(vocabularies) == {40 + 2}
+
+
+def test_packed_pairs_come_back_as_they_were():
+    rng = np.random.default_rng(5)
+    names = np.sort(rng.integers(0, 2**63, 50).astype(np.uint64))
+    at = rng.choice(2500, 400, replace=False)
+    head, word, c = names[at // 50], names[at % 50], rng.integers(2, 90, 400)
+    pairs = model.Seated.of(head, word, c)
+    pairs.owner, pairs.at = np.array([3, 3, 9]), np.array([1, 4, 1])
+    pairs.states.append(pairs.tables())
+    got = model.Seated.unpacked(pairs.packed())
+    assert sorted(zip(got.known[got.head], got.known[got.word], got.c)) == sorted(zip(head, word, c))
+    assert got.owner.tolist() == [3, 3, 9] and got.at.tolist() == [1, 4, 1] and got.tables().tolist() == got.states[0].tolist()
+    assert got.by_head(got.c).sum() == got.by_word(got.c).sum() == c.sum()
+
+
+def test_pairs_of_a_bucket_are_seated_alike_in_any_portions():
+    rng = np.random.default_rng(7)
+    names = np.sort(rng.integers(0, 2**63, 50).astype(np.uint64))
+    at = rng.choice(2500, 400, replace=False)
+    c, p, others = rng.integers(2, 90, 400), rng.random(400) * 0.1, rng.integers(0, 300, 400)
+    found = []
+    for together in (7, 399, 1 << 18):
+        pairs = model.Seated.of(names[at // 50], names[at % 50], c)
+        for sweep in range(3):
+            pairs.reseat(p, others, sweep, 0.7, 1.0, together)
+        found.append((pairs.owner.tolist(), pairs.at.tolist()))
+    assert len(found[0][0]) > 400 and found[0] == found[1] == found[2]
