@@ -374,8 +374,10 @@ def tallies(train: DataFrame, text: str, buckets: int, heavy: dict[int, int], ho
             told = [unpack(b) for b in group.column("blob").to_pylist()]
             head = np.concatenate([np.repeat(of_steps(t[0]), t[1]) for t in told])
             word, n = (np.concatenate([t[k] for t in told]) for k in (2, 3))
+            told = group = None
             keys, at, inverse = distinct(words.chain(head, word))
             count = np.bincount(inverse, n, len(keys)).astype(np.int64)
+            n = keys = inverse = None
             sizes = [(count == 1).sum()], [(count == 2).sum()]
             often = np.flatnonzero(count > 1)
             pairs = Seated.of(head[at[often]], word[at[often]], count[often])
